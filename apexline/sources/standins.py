@@ -19,7 +19,7 @@ DAY = 24 * HOUR
 
 
 def day_text(t):
-    return F.date_from_unix_date(F.expr(f"cast({t} div {DAY} as int)")).cast("string")
+    return F.date_from_unix_date(F.call_function("div", t, F.lit(DAY)).cast("int")).cast("string")
 
 
 class Timing:
@@ -154,3 +154,146 @@ class Timing:
             ).otherwise(F.col("s")).alias("s"),
             "spd", "tend", F.col("rt_before").alias("rt"), "inpit", "driver", "vehicle",
         )
+
+
+def seconds_text(ms):
+    """'83.400' from 83400."""
+    return F.concat(
+        F.call_function("div", ms, F.lit(1000)).cast("string"),
+        F.lit("."),
+        F.lpad((ms % 1000).cast("string"), 3, "0"),
+    )
+
+
+def minutes_text(ms):
+    """'1:23.400' from 83400."""
+    minutes = F.call_function("div", ms, F.lit(60_000))
+    return F.concat(
+        minutes.cast("string"), F.lit(":"),
+        F.lpad(F.call_function("div", ms % 60_000, F.lit(1000)).cast("string"), 2, "0"),
+        F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"),
+    )
+
+
+def clock_text(ms):
+    """'13:05:09.250' for an instant in ms."""
+    return F.concat(hms_text(ms), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+
+
+def hms_text(ms):
+    """'13:05:09' for an instant in ms."""
+    s = F.call_function("div", ms % 86_400_000, F.lit(1000))
+
+    def two(x):
+        return F.lpad(x.cast("string"), 2, "0")
+
+    return F.concat_ws(
+        ":",
+        two(F.call_function("div", s, F.lit(3600))),
+        two(F.call_function("div", s % 3600, F.lit(60))),
+        two(s % 60),
+    )
+
+
+class Frames:
+    """Feed frames of at most twenty crossings each, as JSON text."""
+
+    def __init__(self, timing: Timing):
+        self.timing = timing
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.timing.crossing.withColumns(
+            {
+                "frame_no": F.expr("event_id div 20"),
+                "ms": F.expr("reading div 1000"),
+                "t_ms": F.expr("t div 1000"),
+            }
+        )
+
+    @cached_property
+    def once(self) -> DataFrame:
+        k, ms = F.col("k"), F.col("ms")
+        shown = (
+            F.when(ms.isNull(), F.when(k % 2 == 0, "-").otherwise(""))
+            .when(k % 5 == 0, minutes_text(ms))
+            .otherwise(seconds_text(ms))
+        )
+        car = F.struct(
+            F.when(k % 97 == 0, " ").otherwise(F.col("car")).alias("STNR"),
+            F.col("klass").alias("CLASSNAME"),
+            F.col("event_type").alias("NAME"),
+            F.concat(F.lit("V"), k % 3).alias("CAR"),
+            F.when(k % 89 == 0, "x").when(k % 6 != 0, F.col("lap").cast("string")).alias("LAPS"),
+            F.col("lap").alias("LAP"),
+            *[F.when(F.col("sector") == i, shown).alias(f"S{i}TIME") for i in range(1, 6)],
+            *[
+                F.when(F.col("sector") == i, F.col("cents") / 100).alias(f"S{i}SPEED")
+                for i in range(1, 6)
+            ],
+            F.when(F.col("sector") == 5, shown).alias("LASTLAPTIME"),
+            F.when(k % 4 == 0, clock_text(F.col("t_ms"))).alias("TAGESZEIT"),
+            F.when(k % 4 == 1, F.col("t_ms")).alias("LASTPASSING"),
+            F.col("counter").alias("PITSTOPCOUNT"),
+        )
+        note = F.struct(
+            F.when(k % 17 == 0, "--").otherwise(hms_text(F.col("t_ms"))).alias("MESSAGETIME"),
+            F.when(k % 19 == 0, "  ")
+            .otherwise(F.concat(F.lit(" # "), "car", F.lit(" "), "event_type"))
+            .alias("MESSAGE"),
+        )
+        n = F.col("frame_no")
+        frames = (
+            self.rows.groupBy("event", "frame_no")
+            .agg(
+                (F.expr("max(t) div 1000") + 500).alias("received"),
+                F.array_sort(F.collect_list(F.struct("event_id", car.alias("c")))).alias("cs"),
+                F.array_sort(F.collect_list(F.struct("event_id", note.alias("m")))).alias("ms"),
+            )
+            .withColumns(
+                {
+                    "pid": F.when(n % 7 == 0, "LTS_TIMESYNC").when(n % 7 == 3, "3")
+                    .when(n % 7 == 5, "4").otherwise("0"),
+                    "event_date": day_text(F.col("received") * 1000),
+                }
+            )
+        )
+        board = ~F.col("pid").isin("LTS_TIMESYNC", "3")
+        body = F.struct(
+            F.col("pid").alias("PID"),
+            F.concat("event", F.lit("-"), n % 5).alias("EXPORTID"),
+            F.concat(F.lit("S"), n % 3).alias("SESSION"),
+            F.concat(F.lit("H"), n % 2).alias("HEAT"),
+            F.element_at(
+                F.array(
+                    *[
+                        F.lit(x)
+                        for x in (
+                            "Nürburgring", "24h Nordschleife", "Hockenheimring", "", "NUERBURGRING",
+                        )
+                    ]
+                ),
+                (n % 5 + 1).cast("int"),
+            ).alias("TRACKNAME"),
+            F.when(n % 10 == 3, F.date_format(F.timestamp_millis("received"),
+                                              "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+            .when(n % 10 != 9, clock_text(F.col("received"))).alias("TOD"),
+            F.when(n % 3 == 0, 3).otherwise(5).alias("NROFINTERMEDIATETIMES"),
+            F.when(board, F.col("cs.c")).alias("RESULT"),
+            F.when(F.col("pid") == "3", F.col("ms.m")).alias("MESSAGES"),
+        )
+        return frames.select(
+            "event_date", "pid", "frame_no", "event", "received",
+            F.to_json(body).alias("payload"),
+        )
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """Frames as received: every fourth is sent again a second later."""
+        times = F.expr("if(frame_no % 4 = 0, array(0, 1000), array(0))")
+        return self.once.withColumn("later", F.explode(times)).select(
+            day_text((F.col("received") + F.col("later")) * 1000).alias("event_date"),
+            "pid", "frame_no", "event",
+            (F.col("received") + F.col("later")).alias("received"),
+            "payload",
+        )

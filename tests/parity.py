@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 
@@ -64,9 +65,10 @@ def compare(df, con, text):
         b = {_kind(r[i]) for r in want} - {None}
         if a != b:
             return f"types of {c}: {a} against {b}"
-    got.sort(key=_key)
-    want.sort(key=_key)
-    for a, b in zip(got, want):
-        if a != b:
-            return f"{dict(zip(cols, a))} against {dict(zip(cols, b))}"
+    ours, theirs = Counter(got), Counter(want)
+    if ours != theirs:
+        a = sorted((ours - theirs).elements(), key=_key)
+        b = sorted((theirs - ours).elements(), key=_key)
+        shown = dict(zip(cols, a[0])), dict(zip(cols, b[0]))
+        return f"{len(a)} of {len(got)} rows differ: {shown[0]} against {shown[1]}"
     return ""
