@@ -1,6 +1,6 @@
 """Registered queries: each operator over the given tables, with its check SQL."""
 
-from apexline.plans import ingest, timeline  # noqa: F401
+from apexline.plans import asof, ingest, pits, timeline  # noqa: F401
 from apexline.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

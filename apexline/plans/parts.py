@@ -47,7 +47,7 @@ part(
     "lap",
     """
 SELECT *, CASE WHEN inpit AND k5 % 7 <> 0 THEN tend - d5 // 10 END AS pit_in,
-  CASE WHEN inpit AND k4 % 5 <> 0 THEN d2 // 50 END AS pit_dur,
+  CASE WHEN inpit AND k4 % 5 <> 0 THEN d2 END AS pit_dur,
   CASE WHEN inpit THEN 'J'
        WHEN EXISTS (SELECT 1 FROM lap0 b WHERE b.event = a.event AND b.car = a.car
                     AND b.lap = a.lap - 1 AND b.inpit) THEN 'A' ELSE 'N' END AS pit_status

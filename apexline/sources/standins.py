@@ -103,7 +103,7 @@ class Timing:
         return laps.select(
             "event", "car", "klass", "lap", "s", "spd", "tend", "rt", "inpit", "driver", "vehicle",
             F.expr("if(inpit and k5 % 7 <> 0, tend - d5 div 10, null)").alias("pit_in"),
-            F.expr("if(inpit and k4 % 5 <> 0, d2 div 50, null)").alias("pit_dur"),
+            F.expr("if(inpit and k4 % 5 <> 0, d2, null)").alias("pit_dur"),
             "k5",
         )
 
