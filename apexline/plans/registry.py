@@ -33,7 +33,7 @@ def sql(body: str, *needs: str) -> str:
         visit(name)
     if not order:
         return body
-    inner = ",\n".join(f"{name} AS ({_PARTS[name][1]})" for name in order)
+    inner = ",\n".join(f'"{name}" AS ({_PARTS[name][1]})' for name in order)
     recursive = "RECURSIVE " if "greedy" in order else ""
     return f"WITH {recursive}{inner}\n{body}"
 
