@@ -1,6 +1,8 @@
 """Registered queries: each operator over the given tables, with its check SQL."""
 
-from apexline.plans import asof, ingest, notes, pits, results, timeline  # noqa: F401
+from apexline.plans import (  # noqa: F401
+    asof, ingest, notes, pits, results, sheets, timeline,
+)
 from apexline.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
