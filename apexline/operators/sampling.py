@@ -39,17 +39,29 @@ def _slice_exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return times[ends], times[last[ends]]
 
 
-def sample_frames(frames: DataFrame, min_ms: int = 15_000, channel: str = "pid") -> DataFrame:
+def sample_frames(
+    frames: DataFrame, min_ms: int = 15_000, channel: str = "pid", held: DataFrame | None = None
+) -> DataFrame:
     """Per day and channel, keep a frame iff min_ms passed since the last kept.
 
     Greedy, hence order-dependent. Frames reduce to distinct instants per hour
     slice, so no task sees more than an hour's milliseconds. Each slice tells
     which exit follows from which entry, the slices of a channel are chained on
     those steps alone, and each slice then lists what it keeps.
+
+    held: event_date, channel and the last kept instant of earlier runs.
     """
     keyed = frames.withColumn("channel", F.coalesce(channel, F.lit("?")))
     if min_ms <= 0:
         return keyed.drop("channel")
+    if held is None:
+        held = keyed.select(*_CHANNEL, F.col("received").alias("last")).limit(0)
+    else:
+        keyed = (
+            keyed.join(held.select(*_CHANNEL, "last"), _CHANNEL, "left")
+            .filter("last is null or received > last")
+            .drop("last")
+        )
     parts = [*_CHANNEL, "slice"]
     instants = keyed.withColumn("slice", F.expr(f"received div {SLICE_MS}")).select(
         *parts, "received"
@@ -61,16 +73,16 @@ def sample_frames(frames: DataFrame, min_ms: int = 15_000, channel: str = "pid")
         head = pdf.iloc[[0] * len(upto)][parts].reset_index(drop=True)
         return head.assign(upto=upto, leave=leave, first=times[0])
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        need = None
-        for number, part in pdf.sort_values(["slice", "upto"]).groupby("slice", sort=True):
+        need = None if right.empty else int(right["last"].iloc[0]) + min_ms
+        for number, part in left.sort_values(["slice", "upto"]).groupby("slice", sort=True):
             rows.append((number, need if need is not None else int(part["first"].iloc[0])))
             reached = np.searchsorted(part["upto"].to_numpy(), rows[-1][1])
             if reached < len(part):
                 need = int(part["leave"].iloc[reached]) + min_ms
-        out = pd.DataFrame(rows, columns=["slice", "need"])
-        return out.assign(event_date=pdf["event_date"].iloc[0], channel=pdf["channel"].iloc[0])
+        out = pd.DataFrame(rows, columns=["slice", "need"]).astype("int64")
+        return out.assign(event_date=key[0], channel=key[1])
 
     def keep(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(left["received"].to_numpy())
@@ -85,6 +97,7 @@ def sample_frames(frames: DataFrame, min_ms: int = 15_000, channel: str = "pid")
         instants.groupBy(*parts)
         .applyInPandas(steps, f"{types}, slice bigint, upto bigint, leave bigint, first bigint")
         .groupBy(*_CHANNEL)
+        .cogroup(held.select(*_CHANNEL, "last").groupBy(*_CHANNEL))
         .applyInPandas(chain, f"slice bigint, need bigint, {types}")
     )
     kept = (

@@ -34,7 +34,7 @@ def sql(body: str, *needs: str) -> str:
     if not order:
         return body
     inner = ",\n".join(f'"{name}" AS ({_PARTS[name][1]})' for name in order)
-    recursive = "RECURSIVE " if "greedy" in order else ""
+    recursive = "RECURSIVE " if any(n.startswith("greedy") for n in order) else ""
     return f"WITH {recursive}{inner}\n{body}"
 
 
