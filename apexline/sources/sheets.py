@@ -140,9 +140,10 @@ def _folding() -> tuple[str, str]:
     """Lower-case letters whose decomposition starts with a plain letter."""
     pairs = {}
     for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFD", chr(code).lower())
-        if len(base) > 1 and base[0].isascii():
-            pairs[chr(code).lower()] = base[0]
+        letter = chr(code).lower()
+        base = unicodedata.normalize("NFD", letter)
+        if len(letter) == 1 and len(base) > 1 and base[0].isascii():
+            pairs[letter] = base[0]
     return "".join(pairs), "".join(pairs.values())
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,7 +48,8 @@ def _held(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
     """What earlier batches wrote; an empty table before the first."""
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    kept = spark.read.schema(schema.add("batch", "bigint")).parquet(path)
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    kept = spark.read.schema(stored).parquet(path)
     return kept.filter(F.col("batch") < batch_id).drop("batch")
 
 
