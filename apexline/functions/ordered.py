@@ -223,7 +223,13 @@ def medians(
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, value, *tie)
-    numbered = scan(known, keys, [value, *tie], {"_i": number()}, hot)
+    if hot is None:
+        hot = has_hot_group(known, keys)
+    if not hot:
+        return known.groupBy(*keys).agg(
+            F.round(F.percentile(value, 0.5) * 2).cast("bigint").alias(name)
+        )
+    numbered = scan(known, keys, [value, *tie], {"_i": number()}, hot=True)
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     middle = numbered.join(sizes, keys).filter(
         F.col("_i").between(F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import following, highest, lowest, number, scan
+from apexline.functions.session import cut
 from apexline.operators.timeline import TICKS_PER_SECOND
 
 CAR = ["event", "car"]
@@ -24,6 +25,13 @@ def active_leg(legs: DataFrame, at: int) -> DataFrame:
     return latest.select(*CAR, "x.lap", "x.sector", "x.t0", "x.t1").filter(F.col("t1") > at)
 
 
+def _with_class(legs: DataFrame, dim: DataFrame) -> DataFrame:
+    """Legs with their car's class, joined unless they carry it."""
+    if "klass" in legs.columns:
+        return legs
+    return legs.join(dim.select(*CAR, "klass"), CAR)
+
+
 def _progress(at) -> Column:
     length = F.coalesce(F.nullif(F.col("t1") - F.col("t0"), F.lit(0)), F.lit(1))
     done = (F.lit(at) if isinstance(at, int) else at) - F.col("t0")
@@ -66,10 +74,9 @@ def gap_ahead_series(
     """
     dim = bounds.select(*CAR, "klass").distinct()
     spans = (
-        scan(legs, CAR, ["t0", "lap", "sector"], {"_t": following("t0")}, hot_car)
+        scan(_with_class(legs, dim), CAR, ["t0", "lap", "sector"], {"_t": following("t0")}, hot_car)
         .withColumn("until", F.least("t1", "_t"))
         .filter("until > t0")
-        .join(dim, CAR)
         .select("event", "klass", "car", "lap", "sector", "t0", "t1", "until")
     )
     asked = bounds.join(refs.select(*CAR), CAR).select(
@@ -102,6 +109,8 @@ def gap_ahead_series(
         .agg(F.max(F.struct(-F.col("theirs"), F.length("car"), "car")).alias("x"))
         .select("event", "klass", "ref", "at", "at_lap", "at_sector", F.col("x.car").alias("ahead"))
     )
+    # Asked twice below, so it is written down once.
+    ahead = cut(ahead)
     # Points both cars have passed, as of the later of the two, and the questions.
     pairs = ahead.select("event", "klass", "ref", "ahead").distinct()
     mine = asked.select(
@@ -213,7 +222,7 @@ def delay_flag(
     tenths = averages.select(
         "event", "klass", "sector", F.round(F.col("avg_s") * 10).cast("bigint").alias("_tenths")
     ).filter("_tenths > 0")
-    timed = legs.join(dim.select(*CAR, "klass"), CAR).withColumn("dur", F.expr("t1 - t0"))
+    timed = _with_class(legs, dim).withColumn("dur", F.expr("t1 - t0"))
     return (
         timed.join(tenths, ["event", "klass", "sector"])
         .filter(F.col("dur") * 1000 > F.col("_tenths") * (ticks * (100 + percent)))
@@ -311,7 +320,7 @@ def frozen_sector_marks(
 ) -> DataFrame:
     """Each crossing against the bests up to its own moment, never judged again."""
     seen = legs if at is None else legs.filter(F.col("t1") <= at)
-    timed = seen.join(dim.select(*CAR, "klass"), CAR).withColumn("dur", F.expr("t1 - t0"))
+    timed = _with_class(seen, dim).withColumn("dur", F.expr("t1 - t0"))
     own = scan(
         timed, [*CAR, "sector"], ["t1", "lap"], {"_own": lowest("dur", before=True)}, hot_car
     )

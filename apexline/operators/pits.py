@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexline.functions.ordered import latest, medians, number, scan, total
+from apexline.functions.ordered import has_hot_group, latest, medians, number, scan, total
 from apexline.operators.timeline import TICKS_PER_SECOND
 
 CAR = ["event", "car"]
@@ -106,10 +106,21 @@ def pit_entry_time(
     )
 
 
-def green_medians(laps: DataFrame, sector: int, name: str, hot_car: bool | None = None):
-    """Twice the median of a sector over a car's green laps."""
-    green = laps.filter("pit_status = 'N'").select(*LAP, F.col("s")[sector - 1].alias("v"))
-    return medians(green, CAR, "v", ["lap"], name, hot_car)
+def green_medians(laps: DataFrame, hot_car: bool | None = None) -> DataFrame:
+    """Twice the medians of first (g1) and fifth (g5) sector over a car's green laps."""
+    green = laps.filter("pit_status = 'N'").select(
+        *LAP, F.col("s")[0].alias("v1"), F.col("s")[4].alias("v5")
+    )
+    if hot_car is None:
+        hot_car = has_hot_group(green, CAR)
+    if hot_car:
+        first = medians(green, CAR, "v1", ["lap"], "g1", True)
+        return first.join(medians(green, CAR, "v5", ["lap"], "g5", True), CAR, "full")
+
+    def doubled(col):
+        return F.round(F.percentile(col, 0.5) * 2).cast("bigint")
+
+    return green.groupBy(*CAR).agg(doubled("v1").alias("g1"), doubled("v5").alias("g5"))
 
 
 def _holes(stops: DataFrame, legs: DataFrame) -> DataFrame:
@@ -122,30 +133,24 @@ def _holes(stops: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def anchor_guard(
-    stops: DataFrame, legs: DataFrame, green_s5: DataFrame, ticks: int = TICKS_PER_SECOND
+    stops: DataFrame, legs: DataFrame, green: DataFrame, ticks: int = TICKS_PER_SECOND
 ) -> DataFrame:
     """Stops whose S4-to-line hole exceeds the car's green S5 by too much.
 
-    green_s5: event, car, g5 (twice the median).
+    green: as of green_medians.
     """
     over = F.col("hole") * 2 - F.col("g5") > 2 * HOLE_GUARD_SECONDS * ticks
-    return _holes(stops.select(*LAP), legs).join(green_s5, CAR, "left").select(
+    return _holes(stops.select(*LAP), legs).join(green, CAR, "left").select(
         *LAP, "hole", F.coalesce(over, F.lit(False)).alias("guarded")
     )
 
 
-def stopped_estimate(
-    stops: DataFrame, legs: DataFrame, green_s1: DataFrame, green_s5: DataFrame
-) -> DataFrame:
+def stopped_estimate(stops: DataFrame, legs: DataFrame, green: DataFrame) -> DataFrame:
     """Standing time: measured, else what hole and out-lap hold over green pace.
 
     stops: event, car, lap, pit_dur. Both figures are kept for the error budget.
     """
-    full = (
-        _holes(stops.select(*LAP, "pit_dur"), legs)
-        .join(green_s1, CAR, "left")
-        .join(green_s5, CAR, "left")
-    )
+    full = _holes(stops.select(*LAP, "pit_dur"), legs).join(green, CAR, "left")
     estimate = (
         (F.col("hole") + F.col("_out_s1")) * 2 - F.col("g5") - F.col("g1")
     ) / 2

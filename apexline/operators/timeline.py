@@ -16,8 +16,11 @@ TICKS_PER_SECOND = 1_000_000
 PALETTE_SIZE = 16
 
 
-def legs(laps: DataFrame) -> DataFrame:
-    """Sector legs of each lap; a missing sector neither emits nor advances."""
+def legs(laps: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sector legs of each lap; a missing sector neither emits nor advances.
+
+    `keep` names lap columns to carry along.
+    """
     zero = F.lit(0).cast("bigint")
 
     def reached(upto):
@@ -26,7 +29,7 @@ def legs(laps: DataFrame) -> DataFrame:
         )
 
     timed = laps.select(
-        "event", "car", "lap",
+        "event", "car", "lap", *keep,
         F.col("tend").alias("_end"),
         F.coalesce(F.nullif(F.col("rt"), zero), reached(F.lit(5))).alias("_rt"),
         F.arrays_zip(
@@ -35,7 +38,9 @@ def legs(laps: DataFrame) -> DataFrame:
             F.transform("s", lambda x, i: reached(i + 1)).alias("upto"),
         ).alias("z"),
     )
-    out = timed.select("event", "car", "lap", "_end", "_rt", F.posexplode("z").alias("i", "z"))
+    out = timed.select(
+        "event", "car", "lap", *keep, "_end", "_rt", F.posexplode("z").alias("i", "z")
+    )
     start = F.col("_end") - F.col("_rt") + F.col("z.upto")
     return out.filter("z.s is not null").select(
         "event", "car", "lap",
@@ -43,6 +48,7 @@ def legs(laps: DataFrame) -> DataFrame:
         (start - F.col("z.s")).alias("t0"),
         start.alias("t1"),
         F.col("z.spd").alias("speed"),
+        *keep,
     )
 
 
@@ -53,12 +59,30 @@ def car_dim(laps: DataFrame) -> DataFrame:
     )
 
 
+def classed(laps: DataFrame, hot_car: bool | None = None) -> DataFrame:
+    """Laps with the car's class in place of the lap's.
+
+    As a window it shares the shuffle by car with what follows; a car too long
+    for one task gets its class by a join instead.
+    """
+    if hot_car is None:
+        hot_car = has_hot_group(laps, ["event", "car"])
+    if hot_car:
+        return laps.drop("klass").join(car_dim(laps).select("event", "car", "klass"), ["event", "car"])
+    return laps.withColumn(
+        "klass", F.max_by("klass", "lap").over(Window.partitionBy("event", "car"))
+    )
+
+
 def boundaries(laps: DataFrame, hot_car: bool | None = None) -> DataFrame:
     """Leg ends numbered along each car, with the car's class."""
-    ends = legs(laps).select("event", "car", "lap", "sector", F.col("t1").alias("t"))
-    dim = car_dim(laps).select("event", "car", "klass")
+    if hot_car is None:
+        hot_car = has_hot_group(laps, ["event", "car"])
+    ends = legs(classed(laps, hot_car), keep=("klass",)).select(
+        "event", "klass", "car", "lap", "sector", F.col("t1").alias("t")
+    )
     return scan(
-        ends.join(dim, ["event", "car"]),
+        ends,
         ["event", "car"],
         ["t", "lap", "sector"],
         {"k": number(), "t_next": following("t")},

@@ -5,6 +5,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import has_hot_group
+from apexline.functions.session import cut
 from apexline.operators import asof, timeline
 from apexline.plans import ingest  # noqa: F401
 from apexline.plans.registry import part, query, sql
@@ -16,18 +17,22 @@ T = 1_705_276_800_000_000  # 2024-01-15 00:00
 
 
 class Race:
-    """The derived tables the point-in-time queries start from."""
+    """The derived tables the point-in-time queries start from.
 
-    def __init__(self, spark, folder):
-        self.timing = Timing(spark, folder)
+    `stored` writes the cleaned laps down first, for queries that read them often.
+    """
+
+    def __init__(self, spark, folder, stored=False):
+        self.timing, self.stored = Timing(spark, folder), stored
 
     @cached_property
     def laps(self):
-        return clean(self.timing)
+        laps = timeline.classed(clean(self.timing), self.timing.hot_car)
+        return cut(laps) if self.stored else laps
 
     @cached_property
     def legs(self):
-        return timeline.legs(self.laps)
+        return timeline.legs(self.laps, keep=("klass",))
 
     @cached_property
     def dim(self):
@@ -148,7 +153,7 @@ LEFT JOIN gaps g ON g.event = q.event AND g.ref = q.ref AND g.at_lap = q.at_lap
     ),
 )
 def _(spark, folder):
-    race = Race(spark, folder)
+    race = Race(spark, folder, stored=True)
     return asof.gap_ahead_series(
         race.legs, race.bounds, race.chosen, 6 * HOUR, race.timing.hot_car
     )
@@ -190,7 +195,7 @@ LEFT JOIN lasts r ON r.event = b.event AND r.car = b.rival""",
     ),
 )
 def _(spark, folder):
-    race = Race(spark, folder)
+    race = Race(spark, folder, stored=True)
     return asof.leader_comparison(
         race.laps, race.legs, race.bounds, race.dim, race.chosen, T, race.timing.hot_class
     )

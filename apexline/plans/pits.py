@@ -5,6 +5,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import has_hot_group
+from apexline.functions.session import cut
 from apexline.operators import pits, timeline
 from apexline.plans.asof import Race
 from apexline.plans.registry import part, query, sql
@@ -18,21 +19,17 @@ TICKS = 400_000_000
 class Box(Race):
     """Stops of the stand-in race with everything known about them."""
 
-    @cached_property
-    def laps(self):
-        return timeline.pit_status(super().laps)
+    def __init__(self, spark, folder):
+        super().__init__(spark, folder)
+        self.laps = cut(timeline.pit_status(self.laps))
 
     @cached_property
     def flagged(self):
         return self.laps.filter("inpit").select("event", "car", "lap", "pit_in", "pit_dur")
 
     @cached_property
-    def g1(self):
-        return pits.green_medians(self.laps, 1, "g1", self.timing.hot_car)
-
-    @cached_property
-    def g5(self):
-        return pits.green_medians(self.laps, 5, "g5", self.timing.hot_car)
+    def green(self):
+        return pits.green_medians(self.laps, self.timing.hot_car)
 
     @cached_property
     def stints(self):
@@ -44,7 +41,7 @@ class Box(Race):
 
     @cached_property
     def stopped(self):
-        return pits.stopped_estimate(self.flagged, self.legs, self.g1, self.g5)
+        return pits.stopped_estimate(self.flagged, self.legs, self.green)
 
     @cached_property
     def last_hour(self):
@@ -234,7 +231,7 @@ FROM stop_leg LEFT JOIN green USING (event, car)""",
 )
 def _(spark, folder):
     box = Box(spark, folder)
-    return pits.anchor_guard(box.flagged, box.legs, box.g5, TICKS)
+    return pits.anchor_guard(box.flagged, box.legs, box.green, TICKS)
 
 
 @query("stopped_estimate", sql("SELECT * FROM standing", "standing"))
