@@ -396,6 +396,7 @@ QUALIFY row_number() OVER w = 1 OR (s1, s2, s3, s4, s5, lap_time, tend, inpit)
     ),
 )
 def _(spark, folder):
+    # A lap row has at most ten versions here.
     return ingest.changed_rows(Timing(spark, folder).snapshots, hot=False)
 
 
