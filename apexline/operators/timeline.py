@@ -248,15 +248,20 @@ def all_classes(dim: DataFrame, max_laps: DataFrame, averages: DataFrame) -> Dat
     return cars.join(laps, "event").join(means, "event")
 
 
-def dataset_report(laps: DataFrame, ticks: int = TICKS_PER_SECOND) -> DataFrame:
-    """Per class: cars, laps and means, largest class first; with event totals."""
+def dataset_report(
+    laps: DataFrame, repaired: DataFrame | None = None, ticks: int = TICKS_PER_SECOND
+) -> DataFrame:
+    """Per class: cars, laps and means, largest class first; with event totals.
+
+    Means are over the published laps, the time range over the repaired ones.
+    """
     dim = car_dim(laps)
     sizes = dim.groupBy("event", "klass").agg(F.count(F.lit(1)).alias("cars"))
     means = class_sector_avg(laps, ticks).groupBy("event", "klass").agg(
         *[F.max(F.when(F.col("sector") == i, F.col("avg_s"))).alias(f"avg_s{i}")
           for i in range(1, 6)]
     )
-    span = legs(laps).groupBy("event").agg(F.min("t0").alias("t_min"), F.max("t1").alias("t_max"))
+    span = legs(laps if repaired is None else repaired).groupBy("event").agg(F.min("t0").alias("t_min"), F.max("t1").alias("t_max"))
     full = F.col("pit_in").isNotNull() & F.col("pit_dur").isNotNull()
     stops = laps.groupBy("event").agg(
         F.count_if("inpit").alias("stops"),

@@ -48,7 +48,7 @@ class Race:
 
     @cached_property
     def averages(self):
-        return timeline.class_sector_avg(self.laps)
+        return timeline.class_sector_avg(self.timing.lap)
 
     @cached_property
     def chosen(self):
@@ -227,7 +227,7 @@ def _session(race: Race):
 
 def _reference(race: Race):
     laps, legs, archive = _session(race)
-    averages = timeline.class_sector_avg(laps)
+    averages = timeline.class_sector_avg(race.timing.lap.filter("lap > 3"))
     return asof.reference_duration(laps, legs, archive, averages, timeline.car_dim(laps), T)
 
 
@@ -253,9 +253,10 @@ LEFT JOIN (SELECT car, sector, arg_max(v, day) AS v FROM (
   ON e.car = p.car AND e.sector = p.sector
 LEFT JOIN (SELECT d.event, d.klass, g.sector,
     nullif(CAST(floor((sum(g.v) * 20 + count(*) * 1000000) / (count(*) * 2000000)) AS BIGINT) * 100000, 0) AS v
-  FROM green_value g JOIN dim d USING (event, car) WHERE g.lap > 3 GROUP BY ALL) m
+  FROM (SELECT event, car, sector, s AS v FROM raw_sector WHERE lap > 3 AND NOT inpit AND s IS NOT NULL) g
+  JOIN dim d USING (event, car) GROUP BY ALL) m
   ON m.event = p.event AND m.klass = p.klass AND m.sector = p.sector""",
-    "leg", "dim", "green_value",
+    "leg", "dim", "green_value", "raw_sector",
 )
 
 

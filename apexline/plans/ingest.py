@@ -320,7 +320,7 @@ def _(spark, folder):
 SELECT event_date, export_id AS event_id, 'S' || (frame_no % 3) AS session, 'H' || (frame_no % 2) AS heat,
   CASE frame_no % 5 WHEN 0 THEN 'Nürburgring' WHEN 1 THEN '24h Nordschleife' WHEN 2 THEN 'Hockenheimring'
     WHEN 3 THEN '' ELSE 'NUERBURGRING' END AS track,
-  (SELECT count(*) FROM car_row c WHERE c.event_date = b.event_date) AS cars, received AS updated, true AS live
+  (SELECT count(DISTINCT (c.event, c.car, c.lap)) FROM car_row c WHERE c.event_date = b.event_date) AS cars, received AS updated, true AS live
 FROM board b QUALIFY row_number() OVER (PARTITION BY event_date
   ORDER BY received DESC, frame_no DESC, event DESC) = 1""",
         "board", "car_row",
@@ -328,7 +328,8 @@ FROM board b QUALIFY row_number() OVER (PARTITION BY event_date
 )
 def _(spark, folder):
     frames = Frames(Timing(spark, folder)).once
-    return feed.live_status(frames, feed.flatten_leaderboard(frames))
+    rows = feed.flatten_leaderboard(frames).select("event_date", "event", "car", "lap").distinct()
+    return feed.live_status(frames, rows)
 
 
 _NOW = 1_706_659_200_000  # 2024-01-31

@@ -124,6 +124,14 @@ SELECT d.event, d.klass, greatest(max(l.lap), 1) AS max_lap
 FROM lap l JOIN dim d ON d.event = l.event AND d.car = l.car GROUP BY d.event, d.klass""",
     "lap", "dim",
 )
+part(
+    "raw_sector",
+    " UNION ALL ".join(
+        f"SELECT event, car, lap, {i} AS sector, s{i} AS s, inpit, pit_status FROM lap"
+        for i in range(1, 6)
+    ),
+    "lap",
+)
 part(
     "class_avg",
     """
@@ -131,8 +139,8 @@ SELECT p.event, p.klass, p.sector, coalesce(floor((a.total * 20 + a.n * 1000000)
   / (a.n * 2000000)) / 10, 0.0) AS avg_s
 FROM (SELECT DISTINCT event, klass, CAST(sector AS BIGINT) AS sector FROM dim, range(1, 6) g(sector)) p
 LEFT JOIN (SELECT d.event, d.klass, r.sector, CAST(sum(r.s) AS BIGINT) AS total, count(*) AS n
-  FROM sector_row r JOIN dim d USING (event, car) WHERE NOT r.inpit AND r.s IS NOT NULL
+  FROM raw_sector r JOIN dim d USING (event, car) WHERE NOT r.inpit AND r.s IS NOT NULL
   GROUP BY d.event, d.klass, r.sector) a
 ON a.event = p.event AND a.klass = p.klass AND a.sector = p.sector""",
-    "sector_row", "dim",
+    "raw_sector", "dim",
 )

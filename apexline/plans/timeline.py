@@ -104,7 +104,7 @@ def _(spark, folder):
 
 @query("class_sector_avg", sql("SELECT event, klass, sector, avg_s FROM class_avg", "class_avg"))
 def _(spark, folder):
-    return timeline.class_sector_avg(clean(Timing(spark, folder)))
+    return timeline.class_sector_avg(Timing(spark, folder).lap)
 
 
 @query(
@@ -115,14 +115,14 @@ SELECT p.event, p.klass, p.sector,
   coalesce(floor((a.total * 20 + a.n * 1000000) / (a.n * 2000000)) / 10, 0.0) AS avg_s
 FROM (SELECT DISTINCT event, klass, CAST(sector AS BIGINT) AS sector FROM dim, range(1, 6) g(sector)) p
 LEFT JOIN (SELECT d.event, d.klass, r.sector, CAST(sum(r.s) AS BIGINT) AS total, count(*) AS n
-  FROM sector_row r JOIN dim d USING (event, car) WHERE r.pit_status = 'N' AND r.s IS NOT NULL
+  FROM raw_sector r JOIN dim d USING (event, car) WHERE r.pit_status = 'N' AND r.s IS NOT NULL
   GROUP BY d.event, d.klass, r.sector) a
 ON a.event = p.event AND a.klass = p.klass AND a.sector = p.sector""",
-        "sector_row", "dim",
+        "raw_sector", "dim",
     ),
 )
 def _(spark, folder):
-    return timeline.class_sector_avg_green(timeline.pit_status(clean(Timing(spark, folder))))
+    return timeline.class_sector_avg_green(timeline.pit_status(Timing(spark, folder).lap))
 
 
 @query(
@@ -169,7 +169,8 @@ JOIN (SELECT event, {_MEANS} FROM class_avg GROUP BY event) USING (event)""",
     ),
 )
 def _(spark, folder):
-    laps = clean(Timing(spark, folder))
+    # Means are over published values: a repaired sector is not one.
+    laps = Timing(spark, folder).lap
     return timeline.all_classes(
         timeline.car_dim(laps), timeline.class_max_lap(laps), timeline.class_sector_avg(laps)
     )
@@ -194,4 +195,5 @@ JOIN (SELECT event, count(*) FILTER (inpit) AS stops,
     ),
 )
 def _(spark, folder):
-    return timeline.dataset_report(clean(Timing(spark, folder)))
+    timing = Timing(spark, folder)
+    return timeline.dataset_report(timing.lap, clean(timing))

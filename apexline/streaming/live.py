@@ -71,13 +71,15 @@ def stream_timing(
             _held(spark, f"{path}/rows", batch_id, newest.schema).join(
                 batch.select("event_date").distinct(), "event_date", "left_semi"
             )
-        ).select(*KEY, F.struct(*_SIGNATURE).alias("_old"))
-        changed = newest.join(held, KEY, "left").filter(
+        )
+        old = held.select(*KEY, F.struct(*_SIGNATURE).alias("_old"))
+        changed = newest.join(old, KEY, "left").filter(
             ~F.struct(*_SIGNATURE).eqNullSafe(F.col("_old"))
         ).drop("_old")
         changed.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         # Written with every batch, changed rows or not: the sign of life.
-        feed.live_status(batch, timing_rows(batch)).write.mode("overwrite").parquet(
+        rows = held.select("event_date", *KEY).union(newest.select("event_date", *KEY)).distinct()
+        feed.live_status(batch, rows).write.mode("overwrite").parquet(
             f"{path}/status/batch={batch_id}"
         )
         batch.unpersist()
