@@ -10,12 +10,11 @@ def clock_ms(text: Column) -> Column:
     """'h:m:s.mmm', 'm:s.mmm', 's.mmm' or German 's,mmm'; blank and '-' are null."""
     clean = F.nullif(F.nullif(F.trim(text), F.lit("")), F.lit("-"))
     parts = F.split(F.replace(clean, F.lit(","), F.lit(".")), ":")
-    seconds = F.aggregate(
-        F.transform(parts, lambda p: p.try_cast("decimal(18,3)")),
-        F.lit(0).cast("decimal(24,3)"),
-        lambda acc, p: (acc * 60 + p).cast("decimal(24,3)"),
-    )
-    return (seconds * 1000).cast("bigint")
+    count = F.size(parts)
+    first, second = (F.get(parts, i).try_cast("bigint") for i in (0, 1))
+    minutes = F.when(count == 1, 0).when(count == 2, first).when(count == 3, first * 60 + second)
+    seconds = (F.element_at(parts, -1).try_cast("decimal(18,3)") * 1000).cast("bigint")
+    return minutes * 60_000 + seconds
 
 
 def pit_ms(text: Column) -> Column:

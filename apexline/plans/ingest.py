@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from apexline.functions.session import fresh_dir
 from apexline.operators import ingest, sampling
 from apexline.plans import parts  # noqa: F401
 from apexline.plans.registry import part, query, sql
@@ -15,8 +16,8 @@ from apexline.sources.standins import (
 # ---- sector export ---------------------------------------------------------
 
 
-def sector_rows(timing: Timing):
-    """Laps written as export lines and split into columns again."""
+def sector_export(timing: Timing) -> str:
+    """Laps written as export files; gives their folder."""
     laps = timing.lap
     ms = F.transform("s", lambda x: F.call_function("div", x, F.lit(1000)))
     named = laps.withColumns(
@@ -51,10 +52,10 @@ def sector_rows(timing: Timing):
         **{f"FAHRER{i}_NAME": F.lit("") for i in range(4, 9)},
         "FAHRZEUG": F.col("vehicle"),
     }
-    line = F.concat_ws(";", *[values[c] for c in sector_csv.COLUMNS])
-    shape = ", ".join(f"{c} string" for c in sector_csv.COLUMNS)
-    lines = named.select(F.from_csv(line, F.lit(shape), {"sep": ";"}).alias("x"))
-    return lines.select("x.*")
+    path = fresh_dir(timing.spark, "sector-export")
+    rows = named.select(*[values[c].alias(c) for c in sector_csv.COLUMNS])
+    rows.write.csv(path, sep=";", encoding="ISO-8859-1", header=True)
+    return path
 
 
 @query(
@@ -69,7 +70,7 @@ FROM lap WHERE coalesce(s1, s2, s3, s4, s5) IS NOT NULL""",
     ),
 )
 def _(spark, folder):
-    laps = sector_csv.normalise(sector_rows(Timing(spark, folder)))
+    laps = sector_csv.read_sector_csv(spark, sector_export(Timing(spark, folder)))
     return laps.select(
         "car", "lap", "klass", *[F.col("s")[i].alias(f"s{i + 1}") for i in range(5)],
         F.col("spd")[0].alias("v1"), "tend", "rt", "inpit", "pit_in", "pit_dur", "fastest",
@@ -85,7 +86,9 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = sector_csv.active_driver(sector_rows(Timing(spark, folder)))
+    rows = sector_csv.active_driver(
+        sector_csv.read_rows(spark, sector_export(Timing(spark, folder)))
+    )
     return rows.select(
         F.trim("STNR").alias("car"), F.col("RUNDE_NR").cast("bigint").alias("lap"), "driver"
     )

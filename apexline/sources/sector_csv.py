@@ -16,11 +16,16 @@ COLUMNS = (
 )
 
 
-def read_sector_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw laps of one or more export files, read by header name."""
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Export rows as text, by header name; columns a file lacks are null."""
     rows = spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True)
     absent = [c for c in COLUMNS if c not in rows.columns]
-    return normalise(rows.withColumns({c: F.lit(None).cast("string") for c in absent}))
+    return rows.withColumns({c: F.lit(None).cast("string") for c in absent})
+
+
+def read_sector_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Raw laps of one or more export files."""
+    return normalise(read_rows(spark, path))
 
 
 def active_driver(rows: DataFrame) -> DataFrame:
@@ -37,7 +42,10 @@ def normalise(rows: DataFrame) -> DataFrame:
     """Typed raw laps; rows without any sector time are dropped. Times in ms."""
     kmh = [F.col(f"SEKTOR{i}_KMH") for i in range(1, 6)]
     dotted = [F.replace(F.trim(v), F.lit(","), F.lit(".")).try_cast("decimal(18,2)") for v in kmh]
-    laps = active_driver(rows).select(
+    # Looked at as text, so that the times are not worked out twice.
+    texts = [F.trim(f"SEKTOR{i}_ZEIT") for i in range(1, 6)]
+    shown = F.coalesce(*[F.nullif(F.nullif(t, F.lit("")), F.lit("-")) for t in texts])
+    return active_driver(rows.filter(shown.isNotNull())).select(
         F.trim("STNR").alias("car"),
         F.trim("RUNDE_NR").try_cast("bigint").alias("lap"),
         F.trim("KLASSEKURZ").alias("klass"),
@@ -53,4 +61,3 @@ def normalise(rows: DataFrame) -> DataFrame:
         "driver",
         F.trim("FAHRZEUG").alias("vehicle"),
     )
-    return laps.filter(F.size(F.filter("s", lambda x: x.isNotNull())) > 0)
