@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apexline.functions.ordered import has_hot_group
+
 # A slice holds at most this many distinct instants, however many frames it gets.
 SLICE_MS = 3_600_000
 _CHANNEL = ["event_date", "channel"]
@@ -40,14 +42,16 @@ def _slice_exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_frames(
-    frames: DataFrame, min_ms: int = 15_000, channel: str = "pid", held: DataFrame | None = None
+    frames: DataFrame, min_ms: int = 15_000, channel: str = "pid", held: DataFrame | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Per day and channel, keep a frame iff min_ms passed since the last kept.
 
-    Greedy, hence order-dependent. Frames reduce to distinct instants per hour
-    slice, so no task sees more than an hour's milliseconds. Each slice tells
-    which exit follows from which entry, the slices of a channel are chained on
-    those steps alone, and each slice then lists what it keeps.
+    Greedy, hence order-dependent. Frames reduce to distinct instants, and a
+    day's channel is walked in one task while these fit. A hot one is walked in
+    hour slices, so no task sees more than an hour's milliseconds: each slice
+    tells which exit follows from which entry, the slices of a channel are
+    chained on those steps alone, and each slice then lists what it keeps.
 
     held: event_date, channel and the last kept instant of earlier runs.
     """
@@ -67,6 +71,18 @@ def sample_frames(
         *parts, "received"
     ).distinct()
 
+    types = "event_date string, channel string"
+    if hot is None:
+        hot = has_hot_group(instants, _CHANNEL)
+
+    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(left["received"].to_numpy())
+        first = 0
+        if not right.empty:
+            first = int(np.searchsorted(times, int(right["last"].iloc[0]) + min_ms))
+        kept = times[_run_through(times, first, min_ms)]
+        return pd.DataFrame({"event_date": key[0], "channel": key[1], "received": kept})
+
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["received"].to_numpy())
         upto, leave = _slice_exits(times, min_ms)
@@ -92,19 +108,26 @@ def sample_frames(
         kept = times[_run_through(times, first, min_ms)]
         return pd.DataFrame({"event_date": key[0], "channel": key[1], "received": kept})
 
-    types = "event_date string, channel string"
-    entered = (
-        instants.groupBy(*parts)
-        .applyInPandas(steps, f"{types}, slice bigint, upto bigint, leave bigint, first bigint")
-        .groupBy(*_CHANNEL)
-        .cogroup(held.select(*_CHANNEL, "last").groupBy(*_CHANNEL))
-        .applyInPandas(chain, f"slice bigint, need bigint, {types}")
-    )
-    kept = (
-        instants.groupBy(*parts)
-        .cogroup(entered.groupBy(*parts))
-        .applyInPandas(keep, f"{types}, received bigint")
-    )
+    earlier = held.select(*_CHANNEL, "last").groupBy(*_CHANNEL)
+    if hot:
+        entered = (
+            instants.groupBy(*parts)
+            .applyInPandas(steps, f"{types}, slice bigint, upto bigint, leave bigint, first bigint")
+            .groupBy(*_CHANNEL)
+            .cogroup(earlier)
+            .applyInPandas(chain, f"slice bigint, need bigint, {types}")
+        )
+        kept = (
+            instants.groupBy(*parts)
+            .cogroup(entered.groupBy(*parts))
+            .applyInPandas(keep, f"{types}, received bigint")
+        )
+    else:
+        kept = (
+            instants.groupBy(*_CHANNEL)
+            .cogroup(earlier)
+            .applyInPandas(walk, f"{types}, received bigint")
+        )
     # Of several frames at a kept instant the first one is it.
     found = keyed.join(kept, [*_CHANNEL, "received"], "left_semi")
     order = F.struct("frame_no", "event")

@@ -86,8 +86,9 @@ def test_frame_archive(spark, dropped, tmp_path):
     assert {(r.event_date, r.pid, r.received) for r in got} == want
 
 
+@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("gap", [900, 15_000, 4_000_000])
-def test_sampling_is_greedy(spark, gap):
+def test_sampling_is_greedy(spark, gap, split):
     rng = random.Random(gap)
     rows = []
     for channel in ("0", "4", None):
@@ -97,7 +98,7 @@ def test_sampling_is_greedy(spark, gap):
             rows.append(("2026-01-01", channel, i, "e", t, f"{i}"))
     frames = spark.createDataFrame(rows, "event_date string, pid string, frame_no int, event string,"
                                    " received bigint, payload string")
-    got = sampling.sample_frames(frames, gap).collect()
+    got = sampling.sample_frames(frames, gap, hot=split).collect()
     for channel in ("0", "4", None):
         mine = [r for r in rows if r[1] == channel]
         want = _greedy({r[4] for r in mine}, gap)
