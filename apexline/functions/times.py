@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def clock_ms(text: Column) -> Column:
     """'h:m:s.mmm', 'm:s.mmm', 's.mmm' or German 's,mmm'; blank and '-' are null."""
-    clean = F.nullif(F.nullif(F.trim(text), F.lit("")), F.lit("-"))
-    parts = F.split(F.replace(clean, F.lit(","), F.lit(".")), ":")
+    # Blank and "-" fail the cast of the last part and so are null.
+    parts = F.split(F.replace(F.trim(text), F.lit(","), F.lit(".")), ":")
     count = F.size(parts)
     first, second = (F.get(parts, i).try_cast("bigint") for i in (0, 1))
     minutes = F.when(count == 1, 0).when(count == 2, first).when(count == 3, first * 60 + second)
