@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexline.llm import media, packing, simhash, token_count
+from apexline.llm import decontaminate, language, media, packing, pii, quality, simhash, token_count
 from apexline.llm.common import documents
 
 QUERIES = {}
@@ -23,6 +23,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = language.learn(docs.filter(_remainder(4) != 2))
+    return language.identify(docs, model).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
@@ -46,6 +60,12 @@ def op4_media(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, folder), benchmark)
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), _tokenizer("word_bpe_49k.json"))
@@ -54,3 +74,25 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = pii.find(docs, pii.learn(docs))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(F.array_sort("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(_remainder(3) != 1)
+    space = quality.learn(docs, labels)
+    return quality.score(docs, space).select(
+        "doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
