@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexline.llm import decontaminate, language, media, packing, pii, quality, simhash, token_count
+from apexline.llm import decontaminate, language, lines, media, packing, pii, quality, simhash, token_count
 from apexline.llm.common import documents
 
 QUERIES = {}
@@ -44,6 +44,17 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", printed.alias("fingerprint"), "component_id")
 
 
+@query
+def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.line_report(documents(spark, folder))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda n: n.cast("string")), ",").alias("removed"),
+    )
+
+
 @query
 def op4_media(spark: SparkSession, folder: str) -> DataFrame:
     stored = media.fingerprints(media.to_media(documents(spark, folder)))
