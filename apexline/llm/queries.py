@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexline.llm import decontaminate, language, lines, media, packing, pii, quality, simhash, token_count
+from apexline.llm import decontaminate, language, lines, media, packing, pii, quality, simhash, suffixes, token_count
 from apexline.llm.common import documents
 
 QUERIES = {}
@@ -77,6 +77,14 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, folder), benchmark)
 
 
+@query
+def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.deduplicate(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), _tokenizer("word_bpe_49k.json"))
