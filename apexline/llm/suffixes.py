@@ -75,6 +75,10 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_ODD), n, 1 << 64))
+
+
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every run of that many values."""
     done = 1
@@ -96,7 +100,7 @@ class Block:
         self.starts = self.ends - sizes
         grams, width = _BYTES[data], 1
         while width < GRAM:
-            longer = grams[:-width] * _ODD
+            longer = grams[:-width] * _power(width)
             longer += grams[width:]
             grams, width = longer, 2 * width
         self.grams = (grams ^ (grams >> np.uint64(31))) * _MIX
