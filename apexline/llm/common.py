@@ -38,3 +38,16 @@ def slices(batches, *, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[by
             held += size
         if ids[begin:]:
             yield ids[begin:], [t or b"" for t in texts[begin:]]
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """id and row (all columns as one struct), so that no name of a document's columns can clash."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*columns).alias("row"))
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, *, kept: bool) -> DataFrame:
+    """The documents whose id is among the ids (one column), or the others."""
+    other = ids.toDF("other").filter("other is not null").distinct()
+    met = as_rows(docs).join(other, F.col("id") == F.col("other"), "left_semi" if kept else "left_anti")
+    return met.select("row.*")

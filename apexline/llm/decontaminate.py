@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexline.llm.common import slices, whole_text
+from apexline.llm.common import slices, whole_text, with_ids
 
 WINDOW = 8
 # Matching windows an alignment needs: together they span thirteen tokens.
@@ -175,5 +175,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark item."""
-    hit = contaminated(docs, benchmark).filter("doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return with_ids(docs, contaminated(docs, benchmark).select("doc_id"), kept=False)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.session import cut
-from apexline.llm.common import slices, whole_text
+from apexline.llm.common import slices, whole_text, with_ids
 from apexline.llm.graph import components
 
 SEED = 42
@@ -132,3 +132,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, distance: int = 4) -> Da
     named = known.groupBy("root").agg(F.min("first").alias("component_id"))
     members = known.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id")
     return prints.join(members, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, words: int = 4, distance: int = 4) -> DataFrame:
+    """The documents that name their class; rows without an id cannot be told apart and stay."""
+    found = near_duplicates(docs, words=words, distance=distance)
+    return with_ids(docs, found.filter("doc_id <> component_id").select("doc_id"), kept=False)
