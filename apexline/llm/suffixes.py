@@ -196,13 +196,15 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 
 def _dealt(bucket: np.ndarray, count: int, columns: list[np.ndarray], riding: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket with what goes there; the riding columns go along with the first row."""
-    order = np.argsort(bucket, kind="stable")
+    """One row per bucket with what goes there; the riding columns go along with one of the rows."""
+    # In order of document and place, which come last, a bucket's numbers are alike and pack well.
+    order = np.lexsort((columns[-1], columns[-2], bucket))
     found, begins = np.unique(bucket[order], return_index=True)
     ends = np.r_[begins[1:], len(order)] if len(found) else np.zeros(0, int)
     if not len(found):
         found, ends = np.array([0]), np.array([0])
-    rest = [np.r_[np.full(len(found), len(r))] for r in riding]
+    rides = int(riding[0][0]) % len(found) if len(riding[0]) else 0
+    rest = [np.where(np.arange(len(found)) < rides, 0, len(r)) for r in riding]
     arrays = [pa.array(found.astype(np.int32))]
     arrays += [_lists(c[order], ends) for c in columns]
     arrays += [_lists(r, e) for r, e in zip(riding, rest)]
@@ -266,6 +268,20 @@ def _runs(doc: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     return [doc[begin], place[begin].astype(np.int32), (place[end] + LENGTH).astype(np.int32)]
 
 
+def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """Union of spans, document by document."""
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order].astype(np.int64), high[order].astype(np.int64)
+    number = np.cumsum(_changes(doc)) if len(doc) else low
+    # The furthest end so far in the same document.
+    reach = np.maximum.accumulate(number << 32 | high) & 0xFFFFFFFF if len(doc) else high
+    new = _changes(doc)
+    new[1:] |= low[1:] > reach[:-1]
+    begin = np.flatnonzero(new)
+    end = np.r_[begin[1:], len(doc)] - 1 if len(begin) else begin
+    return [doc[begin], low[begin].astype(np.int32), reach[end].astype(np.int32)]
+
+
 def _spans(batches):
     """Spans of a bucket's windows that are not the first of their kind, and those that ride along."""
     value, tag, doc, place, *riding = _whole(batches, _WINDOW + _SPAN)
@@ -339,7 +355,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             order = multikey_order([value, tag, doc, place])
             new = _changes(value[order], tag[order])
             first, again = order[new], order[~new]
-            sure = _joined([*sure, _runs(doc[again], place[again])], _SPAN)
+            sure = _merged(*_joined([*sure, _runs(doc[again], place[again])], _SPAN))
             bucket = ((value[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             yield _dealt(bucket.astype(np.int64), buckets, [value[first].view(np.int64), tag[first], doc[first], place[first]], sure)
 
