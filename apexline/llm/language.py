@@ -247,19 +247,25 @@ def learn(labelled: DataFrame) -> tuple[Network, list[str]] | None:
     return network, names
 
 
+def _judged(model, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [k for k, t in enumerate(texts) if model and has_letter(t.decode())]
+    if known:
+        network, langs = model
+        found = pooled(network, [texts[k] for k in known])
+        for k, best, value in zip(known, found.argmax(axis=1), found.max(axis=1)):
+            names[k], scores[k] = langs[best], min(1.0, round(float(value), 6))
+    return names, scores
+
+
 def identify(docs: DataFrame, model: tuple[Network, list[str]] | None) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def identified(batches):
         for ids, texts in slices(batches):
-            names, scores = [UNKNOWN] * len(ids), [0.0] * len(ids)
-            known = [k for k, t in enumerate(texts) if held.value and has_letter(t.decode())]
-            if known:
-                network, langs = held.value
-                found = pooled(network, [texts[k] for k in known])
-                for k, best, value in zip(known, found.argmax(axis=1), found.max(axis=1)):
-                    names[k], scores[k] = langs[best], min(1.0, round(float(value), 6))
+            names, scores = _judged(held.value, texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(names), pa.array(scores)],
                 ["doc_id", "lang_pred", "score"],
@@ -267,3 +273,21 @@ def identify(docs: DataFrame, model: tuple[Network, list[str]] | None) -> DataFr
 
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return rows.mapInArrow(identified, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: tuple[Network, list[str]] | None, *, least: float) -> DataFrame:
+    """The rows, all columns, whose text has a language with at least that score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        for batch in batches:
+            places = pa.RecordBatch.from_arrays(
+                [pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["place", "text"]
+            )
+            mask = []
+            for _, texts in slices([places]):
+                mask += [n != UNKNOWN and s >= least for n, s in zip(*_judged(held.value, texts))]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
