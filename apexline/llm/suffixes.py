@@ -79,6 +79,12 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_ODD), n, 1 << 64))
 
 
+def _later(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """True where a row of a run stands later than the run's first row (repeated rows do not)."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[first]) | (place != place[first])
+
+
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every run of that many values."""
     done = 1
@@ -238,8 +244,9 @@ def _reduced_suffixes(lead, around, doc, place):
     first[group[::-1]] = number[::-1]
     nth = number - first[group] if len(group) else number
     dealt = new & (nth < 2)
-    mark = np.where(new, _OPEN, _COVERED).astype(np.int8)[~dealt]
-    return [c[dealt] for c in (lead, around, doc, place)], [doc[~dealt], place[~dealt], mark]
+    sure = _later(new, doc, place) | (new & ~dealt)
+    mark = np.where(new, _OPEN, _COVERED).astype(np.int8)[sure]
+    return [c[dealt] for c in (lead, around, doc, place)], [doc[sure], place[sure], mark]
 
 
 def _marked(batches):
@@ -251,7 +258,7 @@ def _marked(batches):
     new = _changes(lead, around)
     group = np.cumsum(_changes(lead)) - 1
     mixed = (np.bincount(group, weights=new) > 1)[group] if len(group) else new
-    mark = np.where(~new, _COVERED, np.where(mixed, _OPEN, 0)).astype(np.int8)
+    mark = np.where(_later(new, doc, place), _COVERED, np.where(new & mixed, _OPEN, 0)).astype(np.int8)
     kept = mark > 0
     out = [np.concatenate([a, b]) for a, b in zip((doc[kept], place[kept], mark[kept]), riding)]
     for k in range(0, len(out[0]), 1 << 18):
@@ -286,7 +293,7 @@ def _spans(batches):
     """Spans of a bucket's windows that are not the first of their kind, and those that ride along."""
     value, tag, doc, place, *riding = _whole(batches, _WINDOW + _SPAN)
     order = multikey_order([value, tag, doc, place])
-    again = order[~_changes(value[order], tag[order])]
+    again = order[_later(_changes(value[order], tag[order]), doc[order], place[order])]
     out = [np.concatenate([a, b]) for a, b in zip(_runs(doc[again], place[again]), riding)]
     for k in range(0, len(out[0]), 1 << 18):
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in out], ["doc", "start", "end"])
@@ -354,7 +361,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             value, tag, doc, place = _joined(parts, (np.uint64, np.int32, np.int64, np.int32))
             order = multikey_order([value, tag, doc, place])
             new = _changes(value[order], tag[order])
-            first, again = order[new], order[~new]
+            first, again = order[new], order[_later(new, doc[order], place[order])]
             sure = _merged(*_joined([*sure, _runs(doc[again], place[again])], _SPAN))
             bucket = ((value[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             yield _dealt(bucket.astype(np.int64), buckets, [value[first].view(np.int64), tag[first], doc[first], place[first]], sure)
