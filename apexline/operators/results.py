@@ -101,21 +101,31 @@ def driver_stats(results: DataFrame) -> DataFrame:
     """Career figures per driver; the latest known nationality."""
 
     def podium(col):
-        return F.count_distinct(F.when(F.col(col).between(1, 3), F.col("event_date")))
+        return F.count_if(F.col(f"on_{col}"))
 
+    # Down to one row per driver and event first, so that events are counted and not made distinct.
+    raced = results.groupBy("driver_key", "event_date").agg(
+        F.max("driver_name").alias("driver_name"),
+        F.max("nationality").alias("nationality"),
+        *[F.max(F.col(c).between(1, 3)).alias(f"on_{c}") for c in ("pos_overall", "pos_class")],
+        *[F.min(c).alias(c) for c in ("pos_overall", "pos_class", "best_lap_ms")],
+    )
     latest = F.when(F.col("nationality").isNotNull(), F.struct("event_date", "nationality"))
-    return results.groupBy("driver_key").agg(
+    figures = raced.groupBy("driver_key").agg(
         F.max("driver_name").alias("driver_name"),
         F.max(latest)["nationality"].alias("nationality"),
-        F.count_distinct("event_date").alias("races"),
+        F.count("event_date").alias("races"),
         podium("pos_overall").alias("podiums_overall"),
         podium("pos_class").alias("podiums_class"),
         F.min("pos_overall").alias("best_pos_overall"),
         F.min("pos_class").alias("best_pos_class"),
         F.min("best_lap_ms").alias("best_lap_ms"),
-        F.count_distinct("car_model").alias("distinct_cars"),
-        F.count_distinct("team").alias("distinct_teams"),
     )
+    for source, name in (("car_model", "distinct_cars"), ("team", "distinct_teams")):
+        values = results.select("driver_key", source).distinct()
+        counts = values.groupBy(F.col("driver_key").alias("_driver")).agg(F.count(source).alias(name))
+        figures = figures.join(counts, F.col("driver_key").eqNullSafe(F.col("_driver"))).drop("_driver")
+    return figures
 
 
 def class_key(col):
@@ -217,11 +227,14 @@ def session_windows(sessions: DataFrame, required: tuple[str, ...] = ("race",))
     last = timed.groupBy("event_date", "label").agg(
         F.max_by(F.struct("start_ts", "end_ts"), "at").alias("x")
     )
-    needed = last.filter(F.col("label").isin(*required))
-    complete = needed.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).filter(
-        F.col("n") == len(required)
-    )
-    return last.join(complete.select("event_date"), "event_date", "left_semi").select(
+    kept = last
+    if required:
+        needed = last.filter(F.col("label").isin(*required))
+        complete = needed.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).filter(
+            F.col("n") == len(required)
+        )
+        kept = last.join(complete.select("event_date"), "event_date", "left_semi")
+    return kept.select(
         "event_date", "label", "x.start_ts", "x.end_ts"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apexline.functions.texts import stripped
 from apexline.functions.times import berlin_instant, clock_ms, instant_clock_ms
 
 # The feed's heartbeat channels and its per-car crossing-time keys.
@@ -47,9 +48,9 @@ def flatten_leaderboard(frames: DataFrame) -> DataFrame:
     )
     lap = F.coalesce("c.LAPS", "c.LAP").try_cast("double").cast("bigint")
     own = F.coalesce(*[F.nullif(F.col(f"c.{key}"), F.lit("")) for key in CROSSING_KEYS])
-    root = F.coalesce(
-        instant_clock_ms(F.nullif(F.col("TOD"), F.lit(""))), F.col("received") % 86_400_000
-    )
+    # A clock that is there but cannot be read is unknown; only a missing one is replaced.
+    told = F.nullif(F.col("TOD"), F.lit(""))
+    root = F.when(told.isNotNull(), instant_clock_ms(told)).otherwise(F.col("received") % 86_400_000)
 
     def shown(i, col):
         return F.when(F.col("n") >= i, col)
@@ -57,7 +58,7 @@ def flatten_leaderboard(frames: DataFrame) -> DataFrame:
     return opened.select(
         "event_date", "received", "frame_no", "at",
         F.col("EXPORTID").alias("event"),
-        F.trim("c.STNR").alias("car"),
+        stripped("c.STNR").alias("car"),
         lap.alias("lap"),
         F.col("c.CLASSNAME").alias("klass"),
         *[shown(i, clock_ms(F.col(f"c.S{i}TIME"))).alias(f"s{i}") for i in range(1, 6)],
@@ -105,8 +106,8 @@ def map_messages(frames: DataFrame) -> DataFrame:
     opened = _parsed(frames, f"MESSAGES: array<struct<{_MESSAGE}>>").select(
         "event_date", "received", "frame_no", F.posexplode("m.MESSAGES").alias("at", "x")
     )
-    text = F.trim("x.MESSAGE")
-    clock = F.trim(F.coalesce("x.MESSAGETIME", F.lit("")))
+    text = stripped("x.MESSAGE")
+    clock = stripped(F.coalesce("x.MESSAGETIME", F.lit("")))
     return opened.filter(text != "").select(
         "event_date", "received", "frame_no", "at",
         F.nullif(F.regexp_extract(text, r"#\s*(\d+)", 1), F.lit("")).alias("car"),
@@ -153,7 +154,7 @@ def lap_snapshots(objects: DataFrame) -> DataFrame:
     )
     return o.select(
         "event_date",
-        F.trim("o.stnr").alias("car"),
+        stripped("o.stnr").alias("car"),
         F.col("o.lap").try_cast("double").cast("bigint").alias("lap"),
         F.col("o.className").alias("klass"),
         *[clock_ms(F.col(f"o.s{i}Time")).alias(f"s{i}") for i in range(1, 6)],
@@ -181,7 +182,7 @@ def entry_lists(objects: DataFrame) -> DataFrame:
     sectors = F.coalesce("o.sectors", "o.sectorTimes")
     return o.select(
         "event_date",
-        F.trim(F.coalesce("o.number", "o.startNumber", "o.no")).alias("car"),
+        stripped(F.coalesce("o.number", "o.startNumber", "o.no")).alias("car"),
         F.coalesce("o.lap", "o.laps", "o.lapNumber").try_cast("double").cast("bigint").alias("lap"),
         F.coalesce("o.class", "o.className").alias("klass"),
         *[clock_ms(F.get(sectors, i)).alias(f"s{i + 1}") for i in range(5)],

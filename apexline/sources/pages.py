@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import latest, scan
+from apexline.functions.texts import plain_blanks
 from apexline.operators.results import berlin_ms
 
 # Timetable labels by the start of their printed name, first match wins.
@@ -100,7 +101,7 @@ def anchored_timetable(
     """
     day = f"{_BLOCK}D{_FIELD}$1{_FIELD}$2{_FIELD}$3{_REST}"
     time = f"{_BLOCK}T{_FIELD}$1{_FIELD}$2{_REST}"
-    marked = F.regexp_replace(F.regexp_replace("text", _DAY, day), _TIME, time)
+    marked = F.regexp_replace(F.regexp_replace(plain_blanks("text"), _DAY, day), _TIME, time)
     year = F.coalesce(
         F.nullif(F.regexp_extract("text", r"\b(20\d{2})\b", 1), F.lit("")), F.lit(default_year)
     )
@@ -158,6 +159,8 @@ def anchored_timetable(
             F.col("s.ts").alias("start_ts"), F.col("f.ts").alias("end_ts"), F.col("s.at").alias("at"),
         )
         plain = plain.unionByName(fused)
+    if not required:
+        return plain
     present = (
         plain.filter(F.col("label").isin(*required))
         .groupBy("source").agg(F.count_distinct("label").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apexline.functions.texts import stripped
 from apexline.functions.times import clock_ms, pit_ms
 
 # The export's column names.
@@ -14,13 +15,47 @@ COLUMNS = (
     "INPIT", "PITIN_TIME", "PITSTOPDURATION", "DIESCHNELLSTE", "FAHRER_NR",
     *(f"FAHRER{i}_NAME" for i in range(1, 9)), "FAHRZEUG",
 )
+# Windows Latin text is read as ISO Latin; the 27 characters in which they differ are put right after.
+_CONTROLS = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+_AS_READ = "".join(map(chr, _CONTROLS))
+_AS_MEANT = bytes(_CONTROLS).decode("cp1252")
+
+
+def _layouts(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Files by their header line; a table of files, not of rows."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.filter(F.col("value").contains("RUNDE_NR") & F.col("value").contains("STNR"))
+    found: dict[str, list[str]] = {}
+    for row in heads.groupBy("file").agg(F.min("value").alias("head")).collect():
+        found.setdefault(row["head"], []).append(row["file"])
+    return found
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Export rows as text, by header name; columns a file lacks are null."""
-    rows = spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True)
-    absent = [c for c in COLUMNS if c not in rows.columns]
-    return rows.withColumns({c: F.lit(None).cast("string") for c in absent})
+    """Export rows as text, by header name, with their file; columns a file lacks are null.
+
+    Files with the same header are one scan; a header holds for its own files only.
+    """
+    parts = []
+    for files in _layouts(spark, path).values():
+        rows = spark.read.csv(sorted(files), sep=";", encoding="ISO-8859-1", header=True)
+        named = {stripped_name(c): c for c in rows.columns}
+        columns = [
+            F.translate(F.col(f"`{named[c]}`"), _AS_READ, _AS_MEANT) if c in named else F.lit(None).cast("string")
+            for c in COLUMNS
+        ]
+        file = F.col("_metadata.file_name").alias("file")
+        parts.append(rows.select(*[col.alias(c) for col, c in zip(columns, COLUMNS)], file))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*COLUMNS, "file")))
+    both = parts[0]
+    for other in parts[1:]:
+        both = both.unionByName(other)
+    return both
+
+
+def stripped_name(name: str) -> str:
+    return name.strip().lstrip("\u00ef\u00bb\u00bf")
 
 
 def read_sector_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -30,9 +65,9 @@ def read_sector_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def active_driver(rows: DataFrame) -> DataFrame:
     """Name of the driver whose number the row gives, else the first listed."""
-    first = F.trim("FAHRER1_NAME")
-    listed = F.array(*[F.trim(f"FAHRER{i}_NAME") for i in range(1, 9)])
-    at = F.trim("FAHRER_NR").try_cast("int") - 1
+    first = stripped("FAHRER1_NAME")
+    listed = F.array(*[stripped(f"FAHRER{i}_NAME") for i in range(1, 9)])
+    at = stripped("FAHRER_NR").try_cast("int") - 1
     return rows.withColumn(
         "driver", F.coalesce(F.nullif(F.get(listed, at), F.lit("")), first)
     )
@@ -41,23 +76,23 @@ def active_driver(rows: DataFrame) -> DataFrame:
 def normalise(rows: DataFrame) -> DataFrame:
     """Typed raw laps; rows without any sector time are dropped. Times in ms."""
     kmh = [F.col(f"SEKTOR{i}_KMH") for i in range(1, 6)]
-    dotted = [F.replace(F.trim(v), F.lit(","), F.lit(".")).try_cast("decimal(18,2)") for v in kmh]
+    dotted = [F.replace(stripped(v), F.lit(","), F.lit(".")).try_cast("decimal(18,2)") for v in kmh]
     # Looked at as text, so that the times are not worked out twice.
-    texts = [F.trim(f"SEKTOR{i}_ZEIT") for i in range(1, 6)]
+    texts = [stripped(f"SEKTOR{i}_ZEIT") for i in range(1, 6)]
     shown = F.coalesce(*[F.nullif(F.nullif(t, F.lit("")), F.lit("-")) for t in texts])
     return active_driver(rows.filter(shown.isNotNull())).select(
-        F.trim("STNR").alias("car"),
-        F.trim("RUNDE_NR").try_cast("bigint").alias("lap"),
-        F.trim("KLASSEKURZ").alias("klass"),
+        stripped("STNR").alias("car"),
+        stripped("RUNDE_NR").try_cast("bigint").alias("lap"),
+        stripped("KLASSEKURZ").alias("klass"),
         F.array(*[clock_ms(F.col(f"SEKTOR{i}_ZEIT")) for i in range(1, 6)]).alias("s"),
         F.array(*[(v * 100).cast("bigint") for v in dotted]).alias("spd"),
         clock_ms(F.col("TAGESZEIT")).alias("tend"),
         clock_ms(F.col("RUNDENZEIT_IN_SEKUNDEN")).alias("rt"),
-        F.coalesce(F.trim("INPIT") == "J", F.lit(False)).alias("inpit"),
-        F.trim("INPIT").alias("pit_status"),
+        F.coalesce(stripped("INPIT") == "J", F.lit(False)).alias("inpit"),
+        stripped("INPIT").alias("pit_status"),
         pit_ms(F.col("PITIN_TIME")).alias("pit_in"),
         pit_ms(F.col("PITSTOPDURATION")).alias("pit_dur"),
-        F.coalesce(F.trim("DIESCHNELLSTE") == "J", F.lit(False)).alias("fastest"),
+        F.coalesce(stripped("DIESCHNELLSTE") == "J", F.lit(False)).alias("fastest"),
         "driver",
-        F.trim("FAHRZEUG").alias("vehicle"),
+        stripped("FAHRZEUG").alias("vehicle"),
     )

@@ -8,11 +8,13 @@ at the marks, and each block is read by itself.
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import number, previous, scan
+from apexline.functions.texts import plain_blanks
 from apexline.functions.times import lap_text_ms
 
 # Manufacturer names that open a vehicle field, longer ones first.
@@ -89,6 +91,7 @@ def _squeezed(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Sheet text without page furniture, on single blanks."""
+    text = plain_blanks(text)
     for pattern in FURNITURE:
         text = F.regexp_replace(text, pattern, " ")
     return _squeezed(text)
@@ -136,14 +139,17 @@ def parse_result_sheets(corpus: DataFrame) -> DataFrame:
     )
 
 
+@cache
 def _folding() -> tuple[str, str]:
-    """Lower-case letters whose decomposition starts with a plain letter."""
+    """Lower-case letters that are one letter with combining marks, and that letter."""
     pairs = {}
-    for code in range(0xC0, 0x250):
+    for code in range(0xC0, 0x30000):
         letter = chr(code).lower()
-        base = unicodedata.normalize("NFD", letter)
-        if len(letter) == 1 and len(base) > 1 and base[0].isascii():
-            pairs[letter] = base[0]
+        if len(letter) == 1 and unicodedata.decomposition(letter):
+            parts = unicodedata.normalize("NFD", letter)
+            base = "".join(c for c in parts if not "\u0300" <= c <= "\u036f")
+            if len(base) == 1 and base != letter and len(parts) > 1:
+                pairs[letter] = base
     return "".join(pairs), "".join(pairs.values())
 
 
@@ -242,7 +248,7 @@ def explode_drivers(cars: DataFrame) -> DataFrame:
 
 def driver_best_laps(charts: DataFrame) -> DataFrame:
     """Fastest lap of each driver number of each car on the lap charts."""
-    text = F.replace("text", F.lit(CHART_HEADER), F.lit(" | "))
+    text = F.replace(plain_blanks("text"), F.lit(CHART_HEADER), F.lit(" | "))
     text = _squeezed(F.regexp_replace(text, CHART_FOOTER, " "))
     marked = F.regexp_replace(text, CHART_HEAD, f"{_BLOCK}$1{_REST}$0")
     parts = charts.select("event", F.posexplode(F.split(marked, _BLOCK)).alias("at", "block"))

@@ -77,7 +77,7 @@ class Timing:
 
     @cached_property
     def lap(self) -> DataFrame:
-        """Raw lap rows: laps with all five crossings."""
+        """Raw lap rows; a lap still being driven has fewer crossings and no lap time."""
 
         def at(sector, col):
             return F.max(F.when(F.col("sector") == sector, F.col(col)))
@@ -85,20 +85,18 @@ class Timing:
         laps = (
             self.crossing.groupBy("event", "car", "klass", "lap")
             .agg(
-                F.count(F.lit(1)).alias("present"),
                 F.array(*[at(i, "reading") for i in range(1, 6)]).alias("s"),
                 F.array(*[at(i, "cents") for i in range(1, 6)]).alias("spd"),
                 F.max("t").alias("tend"),
-                F.sum("dur").alias("rt"),
+                F.when(F.count(F.lit(1)) == 5, F.sum("dur")).alias("rt"),
                 (F.count_if(F.col("event_type") == "error") >= 2).alias("inpit"),
                 at(1, "event_type").alias("driver"),
-                at(5, "event_type").alias("vehicle"),
+                F.max_by("event_type", "sector").alias("vehicle"),
                 at(5, "dur").alias("d5"),
                 at(2, "dur").alias("d2"),
                 at(4, "k").alias("k4"),
-                at(5, "k").alias("k5"),
+                F.max_by("k", "sector").alias("k5"),
             )
-            .filter("present = 5")
         )
         return laps.select(
             "event", "car", "klass", "lap", "s", "spd", "tend", "rt", "inpit", "driver", "vehicle",
