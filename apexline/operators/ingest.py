@@ -50,15 +50,18 @@ def merge_latest_rows(log: DataFrame) -> DataFrame:
 def changed_rows(log: DataFrame, hot: bool | None = None) -> DataFrame:
     """Versions whose signature differs from the version before."""
     signed = log.withColumn("_sig", F.struct(*SIGNATURE))
-    seen = scan(signed, KEY, ["received"], {"_prev": previous("_sig")}, hot)
+    # Versions of one instant stand in the order of their frames, and of places in a frame.
+    order = ["received", *[c for c in ("frame_no", "at") if c in log.columns]]
+    seen = scan(signed, KEY, order, {"_prev": previous("_sig")}, hot)
     return seen.filter(~F.col("_sig").eqNullSafe(F.col("_prev"))).drop("_sig", "_prev")
 
 
 def pit_from_counter(seen: DataFrame, hot: bool | None = None) -> DataFrame:
     """Laps on which a car's stop counter rose over the frame before."""
-    counted = seen.filter("counter is not null").select(*KEY, "received", "counter")
+    ties = [c for c in ("frame_no", "at") if c in seen.columns]
+    counted = seen.filter("counter is not null").select(*KEY, "received", *ties, "counter")
     steps = scan(
-        counted, ["event", "car"], ["received", "lap"], {"_prev": previous("counter")}, hot
+        counted, ["event", "car"], ["received", "lap", *ties], {"_prev": previous("counter")}, hot
     )
     return steps.filter("counter > _prev").select(*KEY).distinct()
 

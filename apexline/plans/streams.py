@@ -1,4 +1,4 @@
-"""Streaming queries: the given events as a stream, run until all are read."""
+"""Streaming queries: the given events as a stream of files out of time order, run until all are read."""
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from apexline.streaming import live
 
 HALF_DAY = 43_200_000
 GAP = 3_600_000
+FILES = 5
 
 part(
     "streamed",
@@ -23,13 +24,15 @@ SELECT event_id AS frame_no, 'E' || (user_id % 2) AS event, CAST(user_id AS VARC
 
 
 def frame_stream(spark, folder):
-    """One frame per event: a car object, or a message for errors."""
+    """One frame per event: a car object, or a message for errors; one file per batch.
+
+    Events are dealt into files by a hash, so every batch reaches back behind the ones before it.
+    """
     given = table(spark, folder, "events")
-    events = (
-        spark.readStream.schema(given.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(folder)
-    )
+    path = fresh_dir(spark, "stream-events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(FILES)).cast("int")
+    given.repartition(FILES, part).write.parquet(path)
+    events = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(path)
     ms = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
     rows = events.select(
         F.concat(F.lit("E"), F.col("user_id") % 2).alias("event"),
@@ -98,7 +101,7 @@ WHERE counter > before""",
 )
 def _(spark, folder):
     path = _run(live.stream_pit_counter, spark, folder, "stream-pits")
-    return spark.read.parquet(path).distinct()
+    return live.read_pit_laps(spark, path)
 
 
 @query(
@@ -112,7 +115,7 @@ SELECT DISTINCT event_date, CAST(k % 20 AS VARCHAR) AS car, '# ' || (k % 20) ||
 )
 def _(spark, folder):
     path = _run(live.stream_messages, spark, folder, "stream-messages")
-    return spark.read.parquet(path).select("event_date", "car", "message", "ext_key")
+    return live.read_messages(spark, path).select("event_date", "car", "message", "ext_key")
 
 
 part(
@@ -132,5 +135,5 @@ FROM greedy_stream g WHERE g.received IS NOT NULL""",
         "greedy_stream"),
 )
 def _(spark, folder):
-    path = _run(live.stream_frame_archive, spark, folder, "stream-archive", min_ms=GAP)
-    return spark.read.parquet(path).select("event_date", "pid", "received")
+    path = _run(live.stream_frame_archive, spark, folder, "stream-archive")
+    return live.read_frame_archive(spark, path, min_ms=GAP).select("event_date", "pid", "received")

@@ -2,22 +2,19 @@
 
 A stream of frames has event_date, pid, frame_no, event, received (ms) and
 payload. Tables the streams keep are append-only folders with one sub-folder
-per micro-batch; a batch that runs again overwrites its own. Reading a table
-merges its rows, so an upsert is an append.
+per micro-batch and day; a batch that runs again overwrites its own. Reading a
+table merges its rows, so an upsert is an append, and what a table holds does
+not depend on the order in which frames arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from apexline.operators.ingest import KEY, merge_latest_rows
+from apexline.operators.ingest import KEY, merge_latest_rows, merge_messages, pit_from_counter
 from apexline.operators.sampling import sample_frames
 from apexline.sources import frames as feed
 
@@ -25,7 +22,6 @@ FRAME_SCHEMA = (
     "event_date string, pid string, frame_no bigint, event string, received bigint, payload string"
 )
 FLUSH = "5 seconds"
-MESSAGE_DELAY = "1 day"
 _SIGNATURE = ["s1", "s2", "s3", "s4", "s5", "lap_time", "lap_end"]
 
 
@@ -44,13 +40,26 @@ def _started(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
-def _held(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """What earlier batches wrote; an empty table before the first."""
+def _held(spark: SparkSession, path: str, batch_id: int, schema, days: list[str]) -> DataFrame:
+    """What earlier batches wrote for these days; an empty table before the first.
+
+    Days are folders, so the files of other days are not opened.
+    """
     if batch_id == 0:
         return spark.createDataFrame([], schema)
     stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     kept = spark.read.schema(stored).parquet(path)
-    return kept.filter(F.col("batch") < batch_id).drop("batch")
+    return kept.filter(F.col("event_date").isin(days) & (F.col("batch") < batch_id)).drop("batch")
+
+
+def _write(rows: DataFrame, path: str, batch_id: int) -> None:
+    """A batch's rows: one file per day."""
+    by_day = rows.repartition("event_date")
+    by_day.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={batch_id}")
+
+
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).drop("batch")
 
 
 def timing_rows(frames: DataFrame) -> DataFrame:
@@ -66,111 +75,99 @@ def stream_timing(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        newest = merge_latest_rows(timing_rows(batch))
-        held = merge_latest_rows(
-            _held(spark, f"{path}/rows", batch_id, newest.schema).join(
-                batch.select("event_date").distinct(), "event_date", "left_semi"
+        try:
+            newest = merge_latest_rows(timing_rows(batch))
+            # The days of one batch: today, and perhaps yesterday.
+            days = [r[0] for r in batch.select("event_date").distinct().collect()]
+            held = merge_latest_rows(_held(spark, f"{path}/rows", batch_id, newest.schema, days))
+            old = held.select(*KEY, F.struct(*_SIGNATURE).alias("_old"))
+            changed = newest.join(old, KEY, "left").filter(
+                ~F.struct(*_SIGNATURE).eqNullSafe(F.col("_old"))
+            ).drop("_old")
+            _write(changed, f"{path}/rows", batch_id)
+            # Written with every batch, changed rows or not: the sign of life.
+            rows = held.select("event_date", *KEY).union(newest.select("event_date", *KEY)).distinct()
+            feed.live_status(batch, rows).write.mode("overwrite").parquet(
+                f"{path}/status/batch={batch_id}"
             )
-        )
-        old = held.select(*KEY, F.struct(*_SIGNATURE).alias("_old"))
-        changed = newest.join(old, KEY, "left").filter(
-            ~F.struct(*_SIGNATURE).eqNullSafe(F.col("_old"))
-        ).drop("_old")
-        changed.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        # Written with every batch, changed rows or not: the sign of life.
-        rows = held.select("event_date", *KEY).union(newest.select("event_date", *KEY)).distinct()
-        feed.live_status(batch, rows).write.mode("overwrite").parquet(
-            f"{path}/status/batch={batch_id}"
-        )
-        batch.unpersist()
+        finally:
+            batch.unpersist()
 
     return _started(frames.writeStream.foreachBatch(write), checkpoint, once)
 
 
 def read_timing(spark: SparkSession, path: str) -> DataFrame:
     """The timing table: the last version of each lap row."""
-    return merge_latest_rows(spark.read.parquet(f"{path}/rows").drop("batch"))
+    schema = timing_rows(_no_frames(spark)).schema
+    return merge_latest_rows(_stored(spark, f"{path}/rows", schema))
 
 
-def _rises(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Laps on which the counter of one car rose, over the state's last value."""
-    rows = pd.concat(list(batches)).sort_values(["received", "lap"])
-    counts = rows["counter"].to_numpy()
-    before = pd.Series(counts).shift()
-    if state.exists:
-        before.iloc[0] = state.get[0]
-    state.update((int(counts[-1]),))
-    risen = rows[(counts > before.to_numpy())]
-    yield pd.DataFrame({"event": key[0], "car": key[1], "lap": risen["lap"].unique()})
+def _no_frames(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], FRAME_SCHEMA)
 
 
-def pit_counter(frames: DataFrame) -> DataFrame:
-    """Pit laps from the stop counter, with its last value kept across batches.
-
-    A group holds three numbers per frame of one car and batch; the batch size
-    bounds it.
-    """
-    counted = timing_rows(frames).filter("counter is not null").select(
-        "event", "car", "lap", "received", "counter"
-    )
-    return counted.groupBy("event", "car").applyInPandasWithState(
-        _rises, "event string, car string, lap bigint", "counter bigint", "append",
-        GroupStateTimeout.NoTimeout,
+def _appended(rows, frames: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    """Append what a function makes of each batch."""
+    return _started(
+        frames.writeStream.foreachBatch(lambda batch, n: _write(rows(batch), path, n)), checkpoint, once
     )
 
 
+def counted_rows(frames: DataFrame) -> DataFrame:
+    """Stop counters as shown, one narrow row per car and frame."""
+    shown = feed.flatten_leaderboard(feed.frame_gate(frames)).filter("counter is not null")
+    return shown.select("event_date", *KEY, "received", "frame_no", "at", "counter").distinct()
+
+
 def stream_pit_counter(
     frames: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Append pit laps as the counters rise; a lap may come twice, readers merge."""
-    writer = pit_counter(frames).writeStream.format("parquet").option("path", path)
-    return _started(writer, checkpoint, once)
+    """Append the counters of each batch; rises are found on reading, over all batches in time order."""
+    return _appended(counted_rows, frames, path, checkpoint, once)
+
 
+def read_pit_laps(spark: SparkSession, path: str) -> DataFrame:
+    """Laps on which a car's counter rose, wherever the frames before it arrived."""
+    rows = _stored(spark, path, counted_rows(_no_frames(spark)).schema)
+    return pit_from_counter(rows.distinct())
 
-def new_messages(frames: DataFrame, delay: str = MESSAGE_DELAY) -> DataFrame:
-    """Messages not seen before, remembering keys for the delay."""
-    timed = feed.map_messages(frames).withColumn("seen", F.timestamp_millis("received"))
-    return timed.withWatermark("seen", delay).dropDuplicatesWithinWatermark(["ext_key"])
+
+def batch_messages(frames: DataFrame) -> DataFrame:
+    """Messages of a batch, each key once."""
+    return merge_messages(feed.map_messages(frames))
 
 
 def stream_messages(
     frames: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Append each message once, however often the feed repeats it."""
-    writer = new_messages(frames).drop("seen").writeStream.format("parquet").option("path", path)
-    return _started(writer, checkpoint, once)
+    """Append the messages of each batch, however late they come."""
+    return _appended(batch_messages, frames, path, checkpoint, once)
 
 
-def stream_frame_archive(
-    frames: DataFrame, path: str, checkpoint: str, min_ms: int = 15_000, once: bool = False
-) -> StreamingQuery:
-    """Append sampled frames, whole; a query of its own, so that a failure here
-    never touches the timing."""
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The message table: the first of each key; messages without one all stay."""
+    return merge_messages(_stored(spark, path, batch_messages(_no_frames(spark)).schema))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        hashed = batch.withColumn("body_hash", F.sha2("payload", 256))
-        held = _held(spark, path, batch_id, hashed.schema).join(
-            batch.select("event_date").distinct(), "event_date", "left_semi"
-        )
-        channel = F.coalesce("pid", F.lit("?"))
-        last = held.groupBy("event_date", channel.alias("channel")).agg(
-            F.max("received").alias("last")
-        )
-        live = hashed.filter(~F.coalesce("pid", F.lit("")).isin(*feed.HEARTBEATS))
-        kept = sample_frames(live, min_ms, held=last)
-        rest = F.struct(*[F.col(c) for c in kept.columns])
-        first = kept.groupBy("event_date", channel.alias("_c"), "body_hash").agg(
-            F.min_by(rest, F.struct("received", "frame_no", "event")).alias("x")
-        ).select("x.*")
-        new = first.join(
-            held.select("event_date", "pid", "body_hash"), ["event_date", "pid", "body_hash"],
-            "left_anti",
-        )
-        new.select(*hashed.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
 
-    return _started(frames.writeStream.foreachBatch(write), checkpoint, once)
+def archived_frames(frames: DataFrame) -> DataFrame:
+    """Frames that are no heartbeats, with a hash of their payload."""
+    live = frames.filter(~F.coalesce("pid", F.lit("")).isin(*feed.HEARTBEATS))
+    return live.withColumn("body_hash", F.sha2("payload", 256))
+
+
+def stream_frame_archive(frames: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Append whole frames; a query of its own, so that a failure here never touches the timing.
+
+    Nothing is thinned out on writing: what a late or backfilled frame is worth shows only beside its
+    neighbours, which may arrive after it.
+    """
+    return _appended(archived_frames, frames, path, checkpoint, once)
+
+
+def read_frame_archive(spark: SparkSession, path: str, min_ms: int = 15_000) -> DataFrame:
+    """Frames of the archive at least min_ms apart within a day and channel, equal payloads once."""
+    kept = sample_frames(_stored(spark, path, archived_frames(_no_frames(spark)).schema), min_ms)
+    rest = F.struct(*[F.col(c) for c in kept.columns])
+    return kept.groupBy("event_date", F.coalesce("pid", F.lit("?")).alias("_c"), "body_hash").agg(
+        F.min_by(rest, F.struct("received", "frame_no", "event")).alias("x")
+    ).select("x.*")

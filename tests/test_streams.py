@@ -14,15 +14,17 @@ from apexline.streaming import live
 COLUMNS = ["event_date", "pid", "frame_no", "event", "received", "payload"]
 
 
-@pytest.fixture(scope="module")
-def dropped(spark, tmp_path_factory):
-    """Frames as JSON files, later frames in later files."""
+@pytest.fixture(scope="module", params=["in time", "shuffled"])
+def dropped(spark, tmp_path_factory, request):
+    """Frames as JSON files: later frames in later files, or dealt out by a hash."""
     folder = str(tmp_path_factory.mktemp("frames"))
     frames = Frames(Timing(spark, SMALL)).log.select(*COLUMNS).cache()
     cuts = frames.approxQuantile("received", [0.25, 0.5, 0.75], 0.0)
-    for low, high in zip([0, *cuts], [*cuts, 1e18]):
-        part = frames.filter((F.col("received") > low) & (F.col("received") <= high))
-        part.coalesce(1).write.mode("append").json(folder)
+    for n, (low, high) in enumerate(zip([0, *cuts], [*cuts, 1e18])):
+        part = (F.col("received") > low) & (F.col("received") <= high)
+        if request.param == "shuffled":
+            part = F.pmod(F.xxhash64("frame_no"), F.lit(4)) == n
+        frames.filter(part).coalesce(1).write.mode("append").json(folder)
     return folder, frames
 
 
@@ -51,15 +53,42 @@ def test_timing_table(spark, dropped, tmp_path):
 
 def test_pit_counter(spark, dropped, tmp_path):
     path = _run(live.stream_pit_counter, spark, dropped, tmp_path)
-    want = ingest.pit_from_counter(live.timing_rows(dropped[1]), False).distinct()
-    assert sorted(spark.read.parquet(path).distinct().collect()) == sorted(want.collect())
+    want = ingest.pit_from_counter(live.counted_rows(dropped[1]), False).distinct()
+    assert sorted(live.read_pit_laps(spark, path).collect()) == sorted(want.collect())
 
 
 def test_messages_once(spark, dropped, tmp_path):
     path = _run(live.stream_messages, spark, dropped, tmp_path)
-    got = [r.ext_key for r in spark.read.parquet(path).collect()]
-    want = {r.ext_key for r in feed.map_messages(dropped[1]).collect()}
-    assert sorted(got) == sorted(want)
+    got = live.read_messages(spark, path)
+    want = ingest.merge_messages(feed.map_messages(dropped[1]))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_late_message_is_kept(spark, tmp_path):
+    """A message five days older than what came before it, and a repeat of an early one."""
+    day = 86_400_000
+
+    def frame(n, at, text):
+        body = '{"PID": "3", "MESSAGES": [{"MESSAGETIME": "10:00:00", "MESSAGE": "%s"}]}' % text
+        return (f"2026-03-{10 + at // day:02d}", "3", n, "e", at, body)
+
+    folder = str(tmp_path / "in")
+    for n, (at, text) in enumerate([(6 * day, "# 5 fine"), (7 * day, "# 6 fine"), (day, "# 7 late"), (6 * day + 1, "# 5 fine")]):
+        spark.createDataFrame([frame(n, at, text)], live.FRAME_SCHEMA).coalesce(1).write.mode("append").json(folder)
+    path = _run(live.stream_messages, spark, (folder,), tmp_path)
+    got = live.read_messages(spark, path).collect()
+    assert sorted((r.message, r.received) for r in got) == [("# 5 fine", 6 * day), ("# 6 fine", 7 * day), ("# 7 late", day)]
+
+
+def test_a_batch_opens_only_its_days(spark, dropped, tmp_path):
+    path = _run(live.stream_timing, spark, dropped, tmp_path)
+    schema = live.read_timing(spark, path).schema
+    held = live._held(spark, f"{path}/rows", 3, schema, ["2024-01-05"])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    day = spark.read.parquet(f"{path}/rows").filter("event_date = '2024-01-05'")
+    # One file per day and batch, however long the history.
+    assert day.select(F.input_file_name()).distinct().count() <= day.select("batch").distinct().count()
 
 
 def _greedy(times, gap):
@@ -72,7 +101,7 @@ def _greedy(times, gap):
 
 def test_frame_archive(spark, dropped, tmp_path):
     gap = 7_200_000
-    path = _run(live.stream_frame_archive, spark, dropped, tmp_path, min_ms=gap)
+    path = _run(live.stream_frame_archive, spark, dropped, tmp_path)
     rows = dropped[1].filter("pid <> 'LTS_TIMESYNC'").collect()
     want, seen = set(), set()
     for key in {(r.event_date, r.pid) for r in rows}:
@@ -82,7 +111,7 @@ def test_frame_archive(spark, dropped, tmp_path):
             if (key, first.payload) not in seen:
                 seen.add((key, first.payload))
                 want.add((*key, t))
-    got = spark.read.parquet(path).collect()
+    got = live.read_frame_archive(spark, path, min_ms=gap).collect()
     assert {(r.event_date, r.pid, r.received) for r in got} == want
 
 
