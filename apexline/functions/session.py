@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        # Only where everything runs in one process; gone when it ends.
         shared = tempfile.mkdtemp(prefix="apexline-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 

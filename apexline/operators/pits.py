@@ -46,8 +46,10 @@ def pit_laps_inferred(
 
 
 def pit_laps_no_last_sector(laps: DataFrame) -> DataFrame:
-    """Completed laps that published no fifth sector."""
-    return laps.filter(F.col("s")[4].isNull()).select(*LAP)
+    """Completed laps that published no fifth sector: another lap follows, or the lap has a time."""
+    last = laps.groupBy("event", "car").agg(F.max("lap").alias("_last"))
+    silent = laps.filter(F.col("s")[4].isNull()).join(last, ["event", "car"])
+    return silent.filter((F.col("lap") < F.col("_last")) | F.col("rt").isNotNull()).select(*LAP)
 
 
 def detector_quality(detected: DataFrame, flagged: DataFrame) -> DataFrame:

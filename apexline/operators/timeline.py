@@ -173,12 +173,11 @@ def class_members(dim: DataFrame, hot_class: bool | None = None) -> DataFrame:
 
 def class_max_lap(laps: DataFrame) -> DataFrame:
     """Highest lap in each class, at least one."""
-    dim = car_dim(laps).select("event", "car", "klass")
-    per_car = laps.groupBy("event", "car").agg(F.max("lap").alias("lap"))
-    return (
-        per_car.join(dim, ["event", "car"])
-        .groupBy("event", "klass")
-        .agg(F.greatest(F.max("lap"), F.lit(1)).alias("max_lap"))
+    per_car = laps.groupBy("event", "car").agg(
+        F.max("lap").alias("lap"), F.max_by("klass", "lap").alias("klass")
+    )
+    return per_car.groupBy("event", "klass").agg(
+        F.greatest(F.max("lap"), F.lit(1)).alias("max_lap")
     )
 
 

@@ -34,13 +34,13 @@ part(
     "lap0",
     f"""
 SELECT event, car, klass, lap, {_five('reading', 's')}, {_five('cents', 'v')},
-  max(t) AS tend, CAST(sum(dur) AS BIGINT) AS rt,
+  max(t) AS tend, CASE WHEN count(*) = 5 THEN CAST(sum(dur) AS BIGINT) END AS rt,
   count(*) FILTER (event_type = 'error') >= 2 AS inpit,
   max(CASE WHEN sector = 1 THEN event_type END) AS driver,
-  max(CASE WHEN sector = 5 THEN event_type END) AS vehicle,
+  arg_max(event_type, sector) AS vehicle,
   max(CASE WHEN sector = 5 THEN dur END) AS d5, max(CASE WHEN sector = 2 THEN dur END) AS d2,
-  max(CASE WHEN sector = 4 THEN k END) AS k4, max(CASE WHEN sector = 5 THEN k END) AS k5
-FROM crossing GROUP BY event, car, klass, lap HAVING count(*) = 5""",
+  max(CASE WHEN sector = 4 THEN k END) AS k4, arg_max(k, sector) AS k5
+FROM crossing GROUP BY event, car, klass, lap""",
     "crossing",
 )
 part(

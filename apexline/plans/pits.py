@@ -9,7 +9,7 @@ from apexline.functions.session import cut
 from apexline.operators import pits, timeline
 from apexline.plans.asof import Race
 from apexline.plans.registry import part, query, sql
-from apexline.sources.standins import DAY
+from apexline.sources.standins import DAY, Timing
 from apexline.sources.tables import table
 
 # The stand-in's laps take days: one of its seconds is 400 of a race's.
@@ -177,9 +177,15 @@ def _(spark, folder):
     return pits.pit_laps_inferred(box.legs, box.flagged, TICKS, box.timing.hot_car)
 
 
-@query("pit_laps_no_last_sector", sql("SELECT event, car, lap FROM lap WHERE s5 IS NULL", "lap"))
+# A lap that neither has a time nor is followed by another one is still being driven.
+_SILENT = """
+SELECT event, car, lap FROM lap a WHERE s5 IS NULL AND (rt IS NOT NULL
+  OR lap < (SELECT max(lap) FROM lap b WHERE b.event = a.event AND b.car = a.car))"""
+
+
+@query("pit_laps_no_last_sector", sql(_SILENT, "lap"))
 def _(spark, folder):
-    return pits.pit_laps_no_last_sector(Box(spark, folder).timing.lap)
+    return pits.pit_laps_no_last_sector(Timing(spark, folder).lap)
 
 
 _QUALITY = """
@@ -194,7 +200,7 @@ FROM ({1}) d FULL JOIN flagged f ON f.event = d.event AND f.car = d.car AND f.la
     sql(
         _QUALITY.format("first_sector", "SELECT event, car, lap FROM slow_first")
         + " UNION ALL "
-        + _QUALITY.format("no_last_sector", "SELECT event, car, lap FROM lap WHERE s5 IS NULL"),
+        + _QUALITY.format("no_last_sector", _SILENT),
         "slow_first", "flagged", "lap",
     ),
 )

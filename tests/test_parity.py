@@ -5,8 +5,9 @@ from conftest import SMALL
 from parity import compare, connect
 
 import __spark_entry__ as entry
+from apexline import plans
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = plans.QUERIES, plans.CHECKS
 # Queries that order rows inside a key, hence have a split form.
 ORDERED = (
     "boundaries class_members pit_laps class_position pit_from_counter gap_ahead_series"
@@ -26,6 +27,10 @@ def test_every_query_has_a_check():
     assert set(QUERIES) == set(CHECKS)
 
 
+def test_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
+
+
 def test_entry_is_the_flagship(spark):
     assert entry.entry(spark).count() > 0
 
