@@ -1,8 +1,10 @@
 """Timeline queries."""
 
-from apexline.operators import ingest, timeline
+from pyspark.sql import functions as F
+
+from apexline.operators import ingest, live_laps, timeline
 from apexline.plans import parts  # noqa: F401
-from apexline.plans.registry import query, sql
+from apexline.plans.registry import part, query, sql
 from apexline.sources.standins import HOUR, Timing
 
 # The stand-in's crossings lie hours apart, so its limits are wider than a race's.
@@ -197,3 +199,49 @@ JOIN (SELECT event, count(*) FILTER (inpit) AS stops,
 def _(spark, folder):
     timing = Timing(spark, folder)
     return timeline.dataset_report(timing.lap, clean(timing))
+
+
+# Caps of the clean-up, in the stand-in's slow time.
+_SECTOR_CAP, _LAP_CAP = 60 * HOUR, 200 * HOUR
+
+part(
+    "live_shown",
+    "SELECT event, car, klass, lap, "
+    + ", ".join(f"CASE WHEN s{i} <= {_SECTOR_CAP} THEN s{i} END AS s{i}" for i in range(1, 6))
+    + f", tend, CASE WHEN rt <= {_LAP_CAP} THEN rt END AS rt, inpit FROM lap",
+    "lap",
+)
+part(
+    "live_own",
+    """
+SELECT a.event, a.car, a.klass, a.lap, a.s1, a.s2, a.s3, a.s4,
+  coalesce(a.s5, b.rt - (a.s1 + a.s2 + a.s3 + a.s4)) AS s5, a.tend, a.inpit,
+  CASE WHEN b.lap IS NOT NULL THEN b.rt ELSE a.rt END AS rt
+FROM live_shown a LEFT JOIN live_shown b ON b.event = a.event AND b.car = a.car AND b.lap = a.lap + 1""",
+    "live_shown",
+)
+part(
+    "live_holes",
+    """
+SELECT *, (s1 IS NULL)::INT + (s2 IS NULL)::INT + (s3 IS NULL)::INT + (s4 IS NULL)::INT AS missing,
+  rt - (coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0) + coalesce(s4, 0) + coalesce(s5, 0)) AS hole
+FROM live_own""",
+    "live_own",
+)
+_FITS = f"missing = 1 AND s5 IS NOT NULL AND rt <> 0 AND hole > 0 AND hole < {_SECTOR_CAP}"
+
+
+@query(
+    "live_clean_laps",
+    sql(
+        "SELECT event, car, klass, lap, "
+        + ", ".join(f"CASE WHEN s{i} IS NULL AND {_FITS} THEN hole ELSE s{i} END AS s{i}" for i in range(1, 5))
+        + ", s5, tend, rt, inpit FROM live_holes",
+        "live_holes",
+    ),
+)
+def _(spark, folder):
+    laps = live_laps.clean_live(Timing(spark, folder).lap, _SECTOR_CAP, _LAP_CAP)
+    return laps.select(
+        "event", "car", "klass", "lap", *[F.col("s")[i].alias(f"s{i + 1}") for i in range(5)], "tend", "rt", "inpit"
+    )
