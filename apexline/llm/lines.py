@@ -6,12 +6,12 @@ set with a Jaccard similarity of at least 0.8, whether or not that earlier line
 1. Words are counted over the whole corpus in 2 ** TABLE_BITS buckets of their hash. A word's rarity is
    the class of its bucket's count, which any row can look up without a join. Lines become arrays of
    numbers, rarest word first.
-2. Lines with the same set are one class, standing where its first line stands. Copies end here.
-3. Sets of four or more words enter the join: the longer set's prefix meets the shorter one's shorter
-   prefix on a word, under the length and the positional filter. (Smaller sets must be equal.)
-4. Candidates are verified on the words themselves. Each line is first verified against one earlier line
-   that stands first among those sharing its word and size; only lines that this does not remove meet
-   all the others. So a large group of alike lines gives about one pair a line and not all pairs.
+2. Equal lines are one class, standing where its first line stands. Copies end here.
+3. Prefixes meet on a word, under the length and the positional filter and a bitmap filter: the bits in
+   which two sets' parities differ bound from below in how many words they differ.
+4. Candidates are verified on the words themselves. Each line is first verified against one earlier line,
+   the first of those with the same neighbouring rare words; only lines that this does not remove meet all
+   the others. So a large group of alike lines gives about one pair a line and not all pairs.
 
 Defined cases: null text is empty; lines without a word are always kept; words are separated by white
 space and compared as they are; rows with the same doc_id are taken as the same document, so
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.session import cut, fresh_dir
-from apexline.llm.common import whole_text
+from apexline.llm.common import as_rows, whole_text
 
 # Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
 TABLE_BITS = 18
-# Needed lines are sent to every executor up to this many (16 bytes each), and shuffled beyond.
-SENT_LINES = 1_000_000
+# Numbers of needed lines are sent to every executor up to this many, and shuffled beyond.
+SENT_LINES = 2_000_000
+# Pairs of neighbouring words that the first comparison goes by.
+STAR_WORDS = 2
 SPACES = r"\s+"
 
 
@@ -52,182 +54,193 @@ def probe_length(size: Column) -> Column:
     return size - _up(size, NUM, DEN) + 1
 
 
-def index_length(size: Column) -> Column:
-    return size - _up(size, 2 * NUM, NUM + DEN) + 1
+# Stands for a missing doc_id, so that joins are on plain values; it sorts before all others.
+_MISSING = -(1 << 63)
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_key().alias("doc_id"), whole_text().alias("text"))
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, line_no, line and a 128-bit name of the line's text, for lines that have a word."""
+    rows = _keyed(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.filter(F.col("line").rlike(r"\S")).select(
+        "doc_id", "line_no", "line", F.xxhash64("line").alias("name_a"), F.xxhash64(F.lit(1), "line").alias("name_b")
+    )
+
+
+def _words(line: Column) -> Column:
+    """Words of a line; the blank is by far the most common separator, and cheap to split on."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | line.rlike("[\x0b\f]")
+    return F.when(other, F.split(line, SPACES)).otherwise(F.split(line, " "))
 
 
 def rarity_classes(docs: DataFrame) -> str:
-    """A JSON list: for each bucket of word hashes the class of its count, at most 127."""
-    words = docs.select(F.explode(F.split(whole_text(), SPACES)).alias("word"))
+    """A JSON list: for each bucket of word hashes the class of its count, as the top byte of a long."""
+    words = _exploded(docs).select(F.explode(_words(F.col("line"))).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int")
     counts = words.groupBy(bucket.alias("bucket")).count().toArrow()
-    classes = [0] * (1 << TABLE_BITS)
+    classes = ["0"] * (1 << TABLE_BITS)
     for at, n in zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()):
-        classes[at] = min(127, int(4 * math.log2(1 + n)))
-    return f"[{','.join(map(str, classes))}]"
+        classes[at] = str(min(127, int(4 * math.log2(1 + n))) << 56)
+    return f"[{','.join(classes)}]"
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, two hashes of the word set, its size, and its rarest words' numbers."""
-    classes = F.from_json(F.lit(rarity_classes(docs)), "array<tinyint>")
-    hashes = F.transform(F.split("line", SPACES), lambda w: F.xxhash64(w))
-    hashes = F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
-    low = (1 << TABLE_BITS) - 1
+    """Each line's place and name, its word set's size and parity bits, and the numbers of its rarest words."""
+    classes = F.from_json(F.lit(rarity_classes(docs)), "array<bigint>")
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))
+    low = F.lit((1 << TABLE_BITS) - 1).cast("long")
     ordered = F.sort_array(
         F.transform(
             hashes,
-            lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(low)).cast("int")).cast("long"), 56).bitwiseOR(
-                h.bitwiseAND(F.lit((1 << 56) - 1))
-            ),
+            lambda h: F.get(classes, h.bitwiseAND(low).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8)),
         )
     )
-    rows = _exploded(docs).select("doc_id", "line_no", ordered.alias("words"))
+    rows = _exploded(docs).select("doc_id", "line_no", "name_a", "name_b", ordered.alias("words"))
     size = F.size("words")
-    return rows.filter(size > 0).select(
+    rarest = F.transform(F.slice("words", 1, probe_length(size)), lambda w: F.hash(w))
+    # Sets of fewer than NUM words have no partner but their equals: one number stands for the set.
+    return rows.select(
         "doc_id",
         "line_no",
-        F.xxhash64("words").alias("set_a"),
-        F.xxhash64(F.lit(1), F.col("words")).alias("set_b"),
+        "name_a",
+        "name_b",
         size.alias("size"),
-        # The join compares folded numbers; verification is on the words.
-        F.when(
-            size >= NUM, F.transform(F.slice("words", 1, probe_length(size)), lambda w: F.hash(w))
-        ).otherwise(F.array().cast("array<int>")).alias("prefix"),
+        _parity(F.col("words")).alias("parity"),
+        F.when(size >= NUM, rarest).otherwise(F.array(F.hash("words"))).alias("prefix"),
     )
 
 
-def _before(a: str, b: str) -> Column:
-    """Line a stands before line b."""
-    return F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
-
-
-def _postings(classes: DataFrame, side: str) -> DataFrame:
-    rows = classes.filter(F.size("prefix") > 0).select(
-        F.col("doc_id").alias(f"{side}_doc"),
-        F.col("line_no").alias(f"{side}_line"),
-        F.col("size").alias(f"{side}_size"),
-        F.posexplode("prefix").alias(f"{side}_at", "word"),
-    )
-    return rows
+def _parity(words: Column) -> Column:
+    """64 bits; each word flips one. Where two sets' bits differ, some word is in one of them only."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
 def _similar(common: Column, a: Column, b: Column) -> Column:
     return common * (NUM + DEN) >= (a + b) * NUM
 
 
-def _may_match() -> Column:
-    """Length filter, and what can still be common from the meeting word on."""
-    longer, shorter = F.col("x_size"), F.col("y_size")
-    rest = F.least(longer - F.col("x_at"), shorter - F.col("y_at"))
-    return (shorter * DEN >= longer * NUM) & _similar(rest, longer, shorter)
+def _before(a: str, b: str) -> Column:
+    """Line a stands before line b."""
+    return F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
+
+
+def _same_place(doc: str, line: str) -> Column:
+    return (F.col("doc_id") == F.col(doc)) & (F.col("line_no") == F.col(line))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (later, earlier), the later lines of those that are similar, once each."""
     pairs = cut(pairs)
-    later = pairs.select(F.col("later_doc").alias("need_doc"), F.col("later_line").alias("need_line"))
-    earlier = pairs.select("earlier_doc", "earlier_line")
-    needed = cut(later.union(earlier).distinct())
-    few = needed.count() <= SENT_LINES
+    ends = pairs.select(F.explode(F.array(*[
+        F.struct(F.col(f"{n}_doc").alias("doc"), F.col(f"{n}_line").alias("line")) for n in ("later", "earlier")
+    ])).alias("e"))
+    needed = ends.select(F.col("e.doc").alias("need_doc"), F.col("e.line").alias("need_line")).distinct()
+    # As many numbers as a document has lines, at most.
+    needed = cut(needed.groupBy("need_doc").agg(F.collect_list("need_line").alias("need_lines")))
+    few = needed.select(F.coalesce(F.sum(F.size("need_lines") + 2), F.lit(0)).alias("n")).first()["n"] <= SENT_LINES
     # The common case sends the line numbers to the scan, so that only needed lines are shuffled.
     wanted = F.broadcast(needed) if few else needed
-    lines = _exploded(docs)
-    lines = lines.join(
-        wanted,
-        F.col("doc_id").eqNullSafe(F.col("need_doc")) & (F.col("line_no") == F.col("need_line")),
-        "left_semi",
-    )
-    words = F.array_remove(F.array_distinct(F.split("line", SPACES)), "")
-    sets = lines.groupBy("doc_id", "line_no").agg(F.min("line").alias("line"))
-    sets = sets.select("doc_id", "line_no", words.alias("words"))
+    rows = _keyed(docs).join(wanted, F.col("doc_id") == F.col("need_doc"))
+    taken = F.transform("need_lines", lambda n: F.struct(n.alias("line_no"), F.get(F.split("text", "\n"), n).alias("line")))
+    lines = rows.select("doc_id", F.inline(taken)).groupBy("doc_id", "line_no").agg(F.min("line").alias("line"))
 
     def side(name: str) -> DataFrame:
-        return sets.select(
-            F.col("doc_id").alias(f"{name}_doc"), F.col("line_no").alias(f"{name}_line"), F.col("words").alias(name)
+        return lines.select(
+            F.col("doc_id").alias(f"{name}_doc"), F.col("line_no").alias(f"{name}_line"), F.col("line").alias(name)
         )
 
-    def on(name: str, left: DataFrame, right: DataFrame) -> Column:
-        return left[f"{name}_doc"].eqNullSafe(right[f"{name}_doc"]) & (left[f"{name}_line"] == right[f"{name}_line"])
-
-    a, b = side("later"), side("earlier")
-    met = pairs.join(a, on("later", pairs, a)).select(pairs["*"], "later")
-    met = met.join(b, on("earlier", met, b)).select(met["*"], "earlier")
+    met = pairs.join(side("later"), ["later_doc", "later_line"]).join(side("earlier"), ["earlier_doc", "earlier_line"])
+    sets = {n: F.array_remove(F.array_distinct(_words(F.col(n))), "") for n in ("later", "earlier")}
+    met = met.select("later_doc", "later_line", *[words.alias(n) for n, words in sets.items()])
     common = F.size(F.array_intersect("later", "earlier"))
     alike = met.filter(_similar(common, F.size("later"), F.size("earlier")))
     return alike.select(F.col("later_doc").alias("doc_id"), F.col("later_line").alias("line_no")).distinct()
 
 
+def _flagged(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """rows, with a column that is true where their place is among the places."""
+    few = places.count() <= SENT_LINES
+    places = places.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), F.lit(True).alias("_there"))
+    places = F.broadcast(places) if few else places
+    met = rows.join(places, _same_place("_doc", "_line"), "left")
+    return met.select(rows["*"], F.coalesce("_there", F.lit(False)).alias(name))
+
+
 def _near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, line_no of the classes' first lines that an earlier class is similar to."""
-    probe = _postings(classes, "x")
-    # One earlier line for each line: the first one of the same word and size, for its rarest such word.
-    first = F.min(F.struct("x_doc", "x_line"))
-    heads = probe.groupBy("word", "x_size").agg(first.alias("head"), F.count("*").alias("n")).filter("n > 1")
-    heads = heads.select(
-        "word", F.col("x_size").alias("y_size"), F.col("head.x_doc").alias("y_doc"), F.col("head.x_line").alias("y_line")
+    # One earlier line for each line: the first one with the same neighbouring rare words, by most such pairs.
+    firsts = F.slice("prefix", 1, STAR_WORDS)
+    shifted = F.slice("prefix", 2, STAR_WORDS)
+    pairs = F.when(F.size("prefix") == 1, F.transform("prefix", lambda w: F.hash(w))).otherwise(
+        F.filter(F.zip_with(firsts, shifted, lambda v, w: F.hash(v, w) + w * 0), lambda h: h.isNotNull())
     )
-    starts = probe.join(heads, (probe["word"] == heads["word"]) & (F.col("x_size") == F.col("y_size")))
-    starts = starts.filter(_before("y", "x")).groupBy("x_doc", "x_line").agg(
-        F.min(F.struct("x_at", "y_doc", "y_line")).alias("best")
+    rare = classes.select("doc_id", "line_no", F.explode(pairs).alias("pair"))
+    heads = rare.groupBy("pair").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count("*").alias("n"))
+    heads = heads.filter("n > 1").select("pair", F.col("head.doc_id").alias("h_doc"), F.col("head.line_no").alias("h_line"))
+    starts = rare.join(heads, "pair").filter(F.struct("h_doc", "h_line") < F.struct("doc_id", "line_no"))
+    starts = starts.groupBy("doc_id", "line_no", "h_doc", "h_line").count().groupBy("doc_id", "line_no").agg(
+        F.max(F.struct("count", "h_doc", "h_line")).alias("best")
     )
     starts = starts.select(
-        F.col("x_doc").alias("later_doc"),
-        F.col("x_line").alias("later_line"),
-        F.col("best.y_doc").alias("earlier_doc"),
-        F.col("best.y_line").alias("earlier_line"),
+        F.col("doc_id").alias("later_doc"),
+        F.col("line_no").alias("later_line"),
+        F.col("best.h_doc").alias("earlier_doc"),
+        F.col("best.h_line").alias("earlier_line"),
     )
     removed = cut(_verified(docs, starts))
-
-    gone = removed.select(F.col("doc_id").alias("g_doc"), F.col("line_no").alias("g_line"), F.lit(True).alias("gone"))
-    marked = classes.join(
-        gone, classes["doc_id"].eqNullSafe(gone["g_doc"]) & (classes["line_no"] == gone["g_line"]), "left"
-    ).select(classes["*"], F.coalesce("gone", F.lit(False)).alias("gone"))
-
-    def side(name: str) -> DataFrame:
-        rows = marked.filter(F.size("prefix") > 0)
-        return rows.select(
-            F.col("doc_id").alias(f"{name}_doc"),
-            F.col("line_no").alias(f"{name}_line"),
-            F.col("size").alias(f"{name}_size"),
-            F.col("gone").alias(f"{name}_gone"),
-            F.posexplode("prefix").alias(f"{name}_at", f"{name}_word"),
-        )
-
-    x, y = side("x"), side("y")
-    y = y.filter(F.col("y_at") < index_length(F.col("y_size")))
-    shorter = (F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & _before("y", "x"))
-    open_later = F.when(_before("y", "x"), ~F.col("x_gone")).otherwise(~F.col("y_gone"))
-    met = x.join(y, (F.col("x_word") == F.col("y_word")) & shorter & _may_match() & open_later)
-    y_first = _before("y", "x")
+    # A posting is the word, the document, the line with whether it is gone, and the size with the place.
+    marked = _flagged(classes, removed, "gone")
+    # The bits of its prefix words bound what two lines can share before their pair is made.
+    line = F.col("line_no").cast("long") * 2 + F.col("gone").cast("long")
+    postings = marked.select("doc_id", "size", "parity", line.alias("line"), F.posexplode("prefix").alias("at", "word"))
+    numbers = F.col("size") * F.lit(1 << 32) + F.col("at")
+    postings = postings.select("word", "doc_id", "line", numbers.alias("numbers"), "parity")
+    a, b = (F.shiftright(f"{n}.numbers", 32).cast("int") for n in "xy")
+    at_a, at_b = ((F.col(f"{n}.numbers") % F.lit(1 << 32)).cast("int") for n in "xy")
+    fits = (b * DEN >= a * NUM) & (a * DEN >= b * NUM)
+    # From their first common word on this much can be common. And each bit that differs stands for a word
+    # that is in one set only.
+    rest = F.least(a - at_a, b - at_b)
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    may_match = _similar(rest, a, b) & ((a + b - apart) * (NUM + DEN) >= (a + b) * (2 * NUM))
+    # x is the later line; only lines that are not gone yet look for an earlier one. (Asked together, so that
+    # both sides are one shuffle.)
+    earlier = F.struct("y.doc_id", F.shiftright("y.line", 1)) < F.struct("x.doc_id", F.shiftright("x.line", 1))
+    wanted = F.when(earlier, F.col("x.line") % 2 == 0).otherwise(False)
+    met = postings.alias("x").join(
+        postings.alias("y"), (F.col("x.word") == F.col("y.word")) & fits & may_match & wanted
+    )
     pairs = met.select(
-        F.when(y_first, F.col("x_doc")).otherwise(F.col("y_doc")).alias("later_doc"),
-        F.when(y_first, F.col("x_line")).otherwise(F.col("y_line")).alias("later_line"),
-        F.when(y_first, F.col("y_doc")).otherwise(F.col("x_doc")).alias("earlier_doc"),
-        F.when(y_first, F.col("y_line")).otherwise(F.col("x_line")).alias("earlier_line"),
+        F.col("x.doc_id").alias("later_doc"),
+        F.shiftright("x.line", 1).cast("int").alias("later_line"),
+        F.col("y.doc_id").alias("earlier_doc"),
+        F.shiftright("y.line", 1).cast("int").alias("earlier_line"),
     ).distinct()
-    return removed.union(_verified(docs, pairs))
+    return cut(removed.union(_verified(docs, pairs)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no of every line to remove; once each."""
-    sets = _stored(_sets(docs), "line-sets")
-    classes = sets.groupBy("set_a", "set_b").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
+    classes = _sets(docs).groupBy("name_a", "name_b").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("parity").alias("parity"),
+        F.first("prefix").alias("prefix"),
     )
-    classes = _stored(classes.select("set_a", "set_b", "at.*", "size", "prefix"), "line-classes")
-    near = _near_lines(docs, classes)
-    near = near.select(F.col("doc_id").alias("n_doc"), F.col("line_no").alias("n_line"), F.lit(True).alias("near"))
-    heads = classes.join(
-        near, classes["doc_id"].eqNullSafe(near["n_doc"]) & (classes["line_no"] == near["n_line"]), "left"
-    ).select("set_a", "set_b", F.col("doc_id").alias("h_doc"), F.col("line_no").alias("h_line"), F.coalesce("near", F.lit(False)).alias("near"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("line_no") == F.col("h_line"))
-    found = sets.select("set_a", "set_b", "doc_id", "line_no").join(heads, ["set_a", "set_b"])
-    return found.filter(F.col("near") | ~is_head).select("doc_id", "line_no").distinct()
+    classes = _stored(classes.select("name_a", "name_b", "at.*", "size", "parity", "prefix"), "line-classes")
+    heads = _flagged(classes.select("name_a", "name_b", "doc_id", "line_no"), _near_lines(docs, classes), "near")
+    heads = heads.withColumnsRenamed({"doc_id": "h_doc", "line_no": "h_line"})
+    found = _exploded(docs).drop("line").join(heads, ["name_a", "name_b"])
+    found = found.filter(F.col("near") | ~_same_place("h_doc", "h_line"))
+    # Kept, as it is used by document and is dear to make anew.
+    return cut(found.select("doc_id", "line_no").distinct())
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -235,16 +248,21 @@ def line_report(docs: DataFrame) -> DataFrame:
     gone = removed_lines(docs).groupBy(F.col("doc_id").alias("g_doc")).agg(
         F.sort_array(F.collect_set("line_no")).alias("removed")
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(whole_text(), "\n")).alias("n_lines"))
-    met = rows.join(gone, rows["doc_id"].eqNullSafe(gone["g_doc"]), "left")
+    rows = docs.select(_key().alias("doc_id"), F.size(F.split(whole_text(), "\n")).alias("n_lines"))
+    met = rows.join(gone, rows["doc_id"] == gone["g_doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return met.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+    doc_id = F.when(F.col("doc_id") != _MISSING, F.col("doc_id")).alias("doc_id")
+    return met.select(doc_id, "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with the lines to remove taken out of their texts."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_removed"))
-    met = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("_removed", at))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return met.withColumn("text", text).select(*docs.columns)
+    lines = removed_lines(docs)
+    gone = lines.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("line_no").alias("removed"))
+    # Few numbers go to the texts; else texts and numbers meet by document.
+    gone = F.broadcast(gone) if lines.count() <= SENT_LINES else gone
+    rows = as_rows(docs).withColumn("key", F.coalesce("id", F.lit(_MISSING)))
+    met = rows.join(gone, F.col("key") == F.col("gone_doc"), "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda line, at: ~F.array_contains("removed", at))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return met.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
