@@ -3,7 +3,7 @@
 Base spans follow fixed patterns and checks (email, ip, card, phone) and always stay. High-recall
 generators propose further spans: written-out or incomplete addresses, digit groups with any
 separators, dotted or colon-separated numbers. Boosted trees score a candidate by its format and the
-words before it. They are fitted on the driver, from at most `SAMPLE` candidates: one that covers a base
+words before it. They are fitted on the driver, from at most `SAMPLE` candidates of about `TEXTS` texts: one that covers a base
 span is a positive, the others are negatives, and neither checksums nor the base patterns are features. The
 threshold is the lowest score at which PRECISION of the sample's accepted candidates are positives.
 Scoring is a column expression made from the trees, so the corpus is read by Spark's functions alone.
@@ -49,6 +49,8 @@ FEATURES = (
     "joined", "checked", *CONTEXT_WORDS,
 )
 
+# Bounds of the training sample: texts, chosen by a hash of the id, and candidates of theirs.
+TEXTS = 30_000
 SAMPLE = 4096
 ROUNDS = 24
 DEPTH = 3
@@ -241,8 +243,10 @@ def _with_spans(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> Trees | None:
-    """Fit the trees on at most SAMPLE candidates, chosen by a hash of text and place."""
-    rows = _with_spans(docs)
+    """Fit the trees on at most SAMPLE candidates of about TEXTS texts."""
+    share = TEXTS / max(1, docs.count())
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rows = _with_spans(docs.filter(drawn < share))
     rows = rows.filter(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))
     rows = rows.select(F.xxhash64("text").alias("seed"), "base", F.explode(candidates(F.col("text"))).alias("c"))
     rows = rows.select(
