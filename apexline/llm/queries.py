@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexline.llm import decontaminate, language, lines, media, packing, pii, quality, simhash, suffixes, token_count
+from apexline.llm.checks import CHECKS  # noqa: F401
 from apexline.llm.common import documents
 
 QUERIES = {}
-CHECKS: dict[str, str] = {}
 
 
 def query(fn):
