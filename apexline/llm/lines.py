@@ -14,8 +14,9 @@ set with a Jaccard similarity of at least 0.8, whether or not that earlier line
    others, the likeliest first. So a large group of alike lines is verified by about one pair a line.
 
 Defined cases: null text is empty; lines without a word are always kept; words are separated by white
-space and compared as they are; rows with the same doc_id are taken as the same document, so
-repeated rows are treated alike and do not remove each other; a null doc_id comes before all others;
+space and compared as they are; rows with the same doc_id and text are taken as the same document, so
+repeated rows are treated alike and do not remove each other; rows of one doc_id, or without one, that differ in
+their texts are documents of their own, in the order of a hash of the text; a null doc_id comes before all others;
 extra columns are kept; an empty table gives an empty table.
 """
 
@@ -25,9 +26,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from apexline.functions.session import cut, fresh_dir
-from apexline.llm.common import as_rows, whole_text
+from apexline.llm.common import MISSING, as_rows, repeated_ids, whole_text, with_keys
 
 # Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -54,16 +56,12 @@ def probe_length(size: Column) -> Column:
     return size - _up(size, NUM, DEN) + 1
 
 
-# Stands for a missing doc_id, so that joins are on plain values; it sorts before all others.
-_MISSING = -(1 << 63)
-
-
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_key().alias("doc_id"), whole_text().alias("text"))
+    """doc_id, from here on the key of (doc_id, text), and text; what is keyed stays as it is."""
+    if isinstance(docs.schema["doc_id"].dataType, StructType):
+        return docs
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    return with_keys(rows, F.col("text"), repeated_ids(docs)).select(F.col("key").alias("doc_id"), "text")
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
@@ -237,7 +235,8 @@ def _near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of every line to remove; once each."""
+    """doc_id (the key of the document), line_no of every line to remove; once each."""
+    docs = _keyed(docs)
     classes = _sets(docs).groupBy("name_a", "name_b").agg(
         F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("parity").alias("parity"),
         F.first("prefix").alias("prefix"),
@@ -253,23 +252,26 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, removed (line numbers in order, from 0)."""
+    docs = _keyed(docs)
     gone = removed_lines(docs).groupBy(F.col("doc_id").alias("g_doc")).agg(
         F.sort_array(F.collect_set("line_no")).alias("removed")
     )
-    rows = docs.select(_key().alias("doc_id"), F.size(F.split(whole_text(), "\n")).alias("n_lines"))
+    rows = docs.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
     met = rows.join(gone, rows["doc_id"] == gone["g_doc"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    doc_id = F.when(F.col("doc_id") != _MISSING, F.col("doc_id")).alias("doc_id")
+    doc_id = F.when(F.col("doc_id.id") != MISSING, F.col("doc_id.id")).alias("doc_id")
     return met.select(doc_id, "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with the lines to remove taken out of their texts."""
-    lines = removed_lines(docs)
+    rows = as_rows(docs)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = with_keys(rows, text, repeated_ids(docs))
+    lines = removed_lines(rows.select(F.col("key").alias("doc_id"), text.alias("text")))
     gone = lines.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("line_no").alias("removed"))
     # Few numbers go to the texts; else texts and numbers meet by document.
     gone = F.broadcast(gone) if lines.count() <= SENT_LINES else gone
-    rows = as_rows(docs).withColumn("key", F.coalesce("id", F.lit(_MISSING)))
     met = rows.join(gone, F.col("key") == F.col("gone_doc"), "left")
     kept = F.filter(F.split("row.text", "\n"), lambda line, at: ~F.array_contains("removed", at))
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))

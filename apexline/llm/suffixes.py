@@ -20,8 +20,10 @@ Equal keys are reduced before they are dealt out: a slice of texts sends a windo
 surroundings of a gram, so no bucket grows with the number of copies. Buckets grow in number with the
 corpus. Windows are compared by 96 bits of hash, surroundings by 128.
 
-Defined cases: null and empty texts have no strings; a text is cut nowhere; a doc_id names one text, so
-repeated rows get equal results and do not remove each other; a null doc_id comes before all others; texts
+Defined cases: null and empty texts have no strings; a text is cut nowhere; rows with the same
+doc_id and text get equal results and do not remove each other; rows of one doc_id, or without one, that differ in
+their texts are documents of their own, told apart and ordered by 64 bits of hash (`sub`, zero where an id has one
+row); a null doc_id comes before all others; texts
 under LENGTH bytes keep everything; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -29,10 +31,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexline.llm.common import SLICE_BYTES, whole_text
+from apexline.llm.common import SLICE_BYTES, repeated_ids, whole_text, with_keys
 
 LENGTH = 100
 GRAM = 32
@@ -79,10 +81,10 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_ODD), n, 1 << 64))
 
 
-def _later(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _later(new: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> np.ndarray:
     """True where a row of a run stands later than the run's first row (repeated rows do not)."""
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return (doc != doc[first]) | (place != place[first])
+    return (doc != doc[first]) | (sub != sub[first]) | (place != place[first])
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -204,7 +206,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 def _dealt(bucket: np.ndarray, count: int, columns: list[np.ndarray], riding: list[np.ndarray]) -> pa.RecordBatch:
     """One row per bucket with what goes there; the riding columns go along with one of the rows."""
     # In order of document and place, which come last, a bucket's numbers are alike and pack well.
-    order = np.lexsort((columns[-1], columns[-2], bucket))
+    order = np.lexsort((*columns[:-4:-1], bucket))
     found, begins = np.unique(bucket[order], return_index=True)
     ends = np.r_[begins[1:], len(order)] if len(found) else np.zeros(0, int)
     if not len(found):
@@ -227,16 +229,16 @@ def _whole(batches, kinds: tuple) -> list[np.ndarray]:
 
 
 _COVERED, _OPEN = 1, 2
-_SUFFIX = (np.int64, np.int64, np.int64, np.int32)
-_MARK = (np.int64, np.int32, np.int8)
-_WINDOW = (np.int64, np.int32, np.int64, np.int32)
-_SPAN = (np.int64, np.int32, np.int32)
+_SUFFIX = (np.int64, np.int64, np.int64, np.int64, np.int32)
+_MARK = (np.int64, np.int64, np.int32, np.int8)
+_WINDOW = (np.int64, np.int32, np.int64, np.int64, np.int32)
+_SPAN = (np.int64, np.int64, np.int32, np.int32)
 
 
-def _reduced_suffixes(lead, around, doc, place):
-    """Which rows to deal out, and marks (doc, place, mark) that are certain already."""
-    order = multikey_order([lead, around, doc, place])
-    lead, around, doc, place = (c[order] for c in (lead, around, doc, place))
+def _reduced_suffixes(lead, around, doc, sub, place):
+    """Which rows to deal out, and marks (doc, sub, place, mark) that are certain already."""
+    order = multikey_order([lead, around, doc, sub, place])
+    lead, around, doc, sub, place = (c[order] for c in (lead, around, doc, sub, place))
     new = _changes(lead, around)
     group = np.cumsum(_changes(lead)) - 1
     number = np.cumsum(new)
@@ -244,59 +246,59 @@ def _reduced_suffixes(lead, around, doc, place):
     first[group[::-1]] = number[::-1]
     nth = number - first[group] if len(group) else number
     dealt = new & (nth < 2)
-    sure = _later(new, doc, place) | (new & ~dealt)
+    sure = _later(new, doc, sub, place) | (new & ~dealt)
     mark = np.where(new, _OPEN, _COVERED).astype(np.int8)[sure]
-    return [c[dealt] for c in (lead, around, doc, place)], [doc[sure], place[sure], mark]
+    return [c[dealt] for c in (lead, around, doc, sub, place)], [doc[sure], sub[sure], place[sure], mark]
 
 
 def _marked(batches):
     """Marks of a bucket's suffixes, and those that ride along."""
-    lead, around, doc, place, *riding = _whole(batches, _SUFFIX + _MARK)
+    lead, around, doc, sub, place, *riding = _whole(batches, _SUFFIX + _MARK)
     lead = lead.view(np.uint64)
-    order = multikey_order([lead, around, doc, place])
-    lead, around, doc, place = (c[order] for c in (lead, around, doc, place))
+    order = multikey_order([lead, around, doc, sub, place])
+    lead, around, doc, sub, place = (c[order] for c in (lead, around, doc, sub, place))
     new = _changes(lead, around)
     group = np.cumsum(_changes(lead)) - 1
     mixed = (np.bincount(group, weights=new) > 1)[group] if len(group) else new
-    mark = np.where(_later(new, doc, place), _COVERED, np.where(new & mixed, _OPEN, 0)).astype(np.int8)
+    mark = np.where(_later(new, doc, sub, place), _COVERED, np.where(new & mixed, _OPEN, 0)).astype(np.int8)
     kept = mark > 0
-    out = [np.concatenate([a, b]) for a, b in zip((doc[kept], place[kept], mark[kept]), riding)]
+    out = [np.concatenate([a, b]) for a, b in zip((doc[kept], sub[kept], place[kept], mark[kept]), riding)]
     for k in range(0, len(out[0]), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in out], ["doc", "place", "mark"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in out], ["doc", "sub", "place", "mark"])
 
 
-def _runs(doc: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+def _runs(doc: np.ndarray, sub: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """Spans of windows that start at these places; neighbours are joined."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    new = _changes(doc, place - np.arange(len(place)))
+    order = np.lexsort((place, sub, doc))
+    doc, sub, place = doc[order], sub[order], place[order]
+    new = _changes(doc, sub, place - np.arange(len(place)))
     begin = np.flatnonzero(new)
     end = np.r_[begin[1:], len(place)] - 1 if len(begin) else begin
-    return [doc[begin], place[begin].astype(np.int32), (place[end] + LENGTH).astype(np.int32)]
+    return [doc[begin], sub[begin], place[begin].astype(np.int32), (place[end] + LENGTH).astype(np.int32)]
 
 
-def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+def _merged(doc: np.ndarray, sub: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     """Union of spans, document by document."""
-    order = np.lexsort((low, doc))
-    doc, low, high = doc[order], low[order].astype(np.int64), high[order].astype(np.int64)
-    number = np.cumsum(_changes(doc)) if len(doc) else low
+    order = np.lexsort((low, sub, doc))
+    doc, sub, low, high = doc[order], sub[order], low[order].astype(np.int64), high[order].astype(np.int64)
+    number = np.cumsum(_changes(doc, sub)) if len(doc) else low
     # The furthest end so far in the same document.
     reach = np.maximum.accumulate(number << 32 | high) & 0xFFFFFFFF if len(doc) else high
-    new = _changes(doc)
+    new = _changes(doc, sub)
     new[1:] |= low[1:] > reach[:-1]
     begin = np.flatnonzero(new)
     end = np.r_[begin[1:], len(doc)] - 1 if len(begin) else begin
-    return [doc[begin], low[begin].astype(np.int32), reach[end].astype(np.int32)]
+    return [doc[begin], sub[begin], low[begin].astype(np.int32), reach[end].astype(np.int32)]
 
 
 def _spans(batches):
     """Spans of a bucket's windows that are not the first of their kind, and those that ride along."""
-    value, tag, doc, place, *riding = _whole(batches, _WINDOW + _SPAN)
-    order = multikey_order([value, tag, doc, place])
-    again = order[_later(_changes(value[order], tag[order]), doc[order], place[order])]
-    out = [np.concatenate([a, b]) for a, b in zip(_runs(doc[again], place[again]), riding)]
+    value, tag, doc, sub, place, *riding = _whole(batches, _WINDOW + _SPAN)
+    order = multikey_order([value, tag, doc, sub, place])
+    again = order[_later(_changes(value[order], tag[order]), doc[order], sub[order], place[order])]
+    out = [np.concatenate([a, b]) for a, b in zip(_runs(doc[again], sub[again], place[again]), riding)]
     for k in range(0, len(out[0]), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in out], ["doc", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in out], ["doc", "sub", "start", "end"])
 
 
 def _splitters(texts: DataFrame, buckets: int) -> np.ndarray:
@@ -309,7 +311,7 @@ def _splitters(texts: DataFrame, buckets: int) -> np.ndarray:
                 kept = np.concatenate([v[:: -(-len(v) // SAMPLE_EACH)] for v in kept if len(v)])
                 yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64))], ["lead"])
 
-    few = texts.orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_TEXTS)
+    few = texts.orderBy(F.xxhash64("doc", "sub"), "doc", "sub").limit(SAMPLE_TEXTS)
     leads = few.mapInArrow(sampled, "lead long").toArrow().column(0).to_numpy().view(np.uint64)
     if not len(leads):
         return np.zeros(0, np.uint64)
@@ -317,9 +319,9 @@ def _splitters(texts: DataFrame, buckets: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc (the id; the least number for null), start and end of spans to remove; spans may overlap."""
+    """doc (the id; the least number for null), sub, start and end of spans to remove; spans may overlap."""
     spark = docs.sparkSession
-    texts = _texts(docs).select("doc", "text")
+    texts = _texts(docs)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
     splitters = _splitters(texts, buckets)
@@ -329,22 +331,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             parts = []
             for some in _blocks(rows):
                 text, place, lead, around = Block([r[1] for r in some]).suffixes()
-                parts.append((lead, around, np.array([r[0] for r in some], np.int64)[text], place))
-            lead, around, doc, place = _joined(parts, (np.uint64, np.uint64, np.int64, np.int32))
-            dealt, marks = _reduced_suffixes(lead, around, doc, place)
+                doc, sub = (np.array([r[k] for r in some], np.int64)[text] for k in (0, 2))
+                parts.append((lead, around, doc, sub, place))
+            columns = _joined(parts, (np.uint64, np.uint64, np.int64, np.int64, np.int32))
+            dealt, marks = _reduced_suffixes(*columns)
             bucket = np.searchsorted(splitters, dealt[0], side="right")
             yield _dealt(bucket, buckets, [dealt[0].view(np.int64), dealt[1].view(np.int64), *dealt[2:]], marks)
 
     dealt = texts.mapInArrow(
         suffixes,
-        "c0 int, c1 array<long>, c2 array<long>, c3 array<long>, c4 array<int>,"
-        " c5 array<long>, c6 array<int>, c7 array<tinyint>",
+        "c0 int, c1 array<long>, c2 array<long>, c3 array<long>, c4 array<long>, c5 array<int>,"
+        " c6 array<long>, c7 array<long>, c8 array<int>, c9 array<tinyint>",
     )
-    marks = dealt.repartitionById(buckets, "c0").mapInArrow(_marked, "doc long, place int, mark tinyint")
+    marks = dealt.repartitionById(buckets, "c0").mapInArrow(_marked, "doc long, sub long, place int, mark tinyint")
     # As many marks as the text has anchors, at most.
-    marks = marks.groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("mark").alias("marks"))
-    marks = marks.withColumnRenamed("doc", "mark_doc")
-    met = texts.join(marks.hint("shuffle_hash"), F.col("doc") == F.col("mark_doc")).select("doc", "text", "places", "marks")
+    marks = marks.groupBy("doc", "sub").agg(F.collect_list("place").alias("places"), F.collect_list("mark").alias("marks"))
+    marks = marks.withColumnsRenamed({"doc": "o_doc", "sub": "o_sub"})
+    met = texts.join(marks.hint("shuffle_hash"), _same()).select("doc", "text", "sub", "places", "marks")
 
     def windows(batches):
         for rows in _grouped(batches, REDUCED_BYTES):
@@ -352,46 +355,56 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for some in _blocks(rows):
                 block = Block([r[1] for r in some])
                 text, place, value, tag = block.windows(*_places(block, some))
-                docs_of = np.array([r[0] for r in some], np.int64)
-                parts.append((value, tag, docs_of[text], place))
+                doc, sub = (np.array([r[k] for r in some], np.int64)[text] for k in (0, 2))
+                parts.append((value, tag, doc, sub, place))
                 for r in some:
-                    at = np.array(r[2], np.int64)[np.array(r[3]) == _COVERED]
+                    at = np.array(r[3], np.int64)[np.array(r[4]) == _COVERED]
                     low, high = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(r[1]))
-                    sure.append((np.full(len(at), r[0]), low, high))
-            value, tag, doc, place = _joined(parts, (np.uint64, np.int32, np.int64, np.int32))
-            order = multikey_order([value, tag, doc, place])
+                    sure.append((np.full(len(at), r[0]), np.full(len(at), r[2]), low, high))
+            value, tag, doc, sub, place = _joined(parts, (np.uint64, np.int32, np.int64, np.int64, np.int32))
+            order = multikey_order([value, tag, doc, sub, place])
             new = _changes(value[order], tag[order])
-            first, again = order[new], order[_later(new, doc[order], place[order])]
-            sure = _merged(*_joined([*sure, _runs(doc[again], place[again])], _SPAN))
+            first, again = order[new], order[_later(new, doc[order], sub[order], place[order])]
+            sure = _merged(*_joined([*sure, _runs(doc[again], sub[again], place[again])], _SPAN))
             bucket = ((value[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            yield _dealt(bucket.astype(np.int64), buckets, [value[first].view(np.int64), tag[first], doc[first], place[first]], sure)
+            columns = [value[first].view(np.int64), *(c[first] for c in (tag, doc, sub, place))]
+            yield _dealt(bucket.astype(np.int64), buckets, columns, sure)
 
     compared = met.mapInArrow(
         windows,
-        "c0 int, c1 array<long>, c2 array<int>, c3 array<long>, c4 array<int>,"
-        " c5 array<long>, c6 array<int>, c7 array<int>",
+        "c0 int, c1 array<long>, c2 array<int>, c3 array<long>, c4 array<long>, c5 array<int>,"
+        " c6 array<long>, c7 array<long>, c8 array<int>, c9 array<int>",
     )
-    return compared.repartitionById(buckets, "c0").mapInArrow(_spans, "doc long, start int, end int")
+    return compared.repartitionById(buckets, "c0").mapInArrow(_spans, "doc long, sub long, start int, end int")
 
 
 def _places(block: Block, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Covered and open places of the block."""
-    places = np.concatenate([np.array(r[2], np.int64) + s for r, s in zip(rows, block.starts.tolist())])
-    marks = np.concatenate([np.array(r[3], np.int8) for r in rows])
+    places = np.concatenate([np.array(r[3], np.int64) + s for r, s in zip(rows, block.starts.tolist())])
+    marks = np.concatenate([np.array(r[4], np.int8) for r in rows])
     return places[marks == _COVERED], places[marks == _OPEN]
 
 
+def _same() -> Column:
+    """Rows of the same document, named o_doc and o_sub on the other side."""
+    return (F.col("doc") == F.col("o_doc")) & (F.col("sub") == F.col("o_sub"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc"), whole_text().alias("text"),
-    )
+    """doc, text and sub; what has them stays as it is."""
+    if docs.columns == ["doc", "text", "sub"]:
+        return docs
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    rows = with_keys(rows, F.col("text"), repeated_ids(docs))
+    return rows.select(F.col("key.id").alias("doc"), "text", F.col("key.a").alias("sub"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document."""
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list("start").alias("low"), F.collect_list("end").alias("high"))
-    spans = spans.withColumnRenamed("doc", "span_doc")
-    met = _texts(docs).join(spans.hint("shuffle_hash"), F.col("doc") == F.col("span_doc"), "left").select("doc", "text", "low", "high")
+    texts = _texts(docs)
+    spans = repeated_spans(texts).groupBy("doc", "sub").agg(F.collect_list("start").alias("low"), F.collect_list("end").alias("high"))
+    spans = spans.withColumnsRenamed({"doc": "o_doc", "sub": "o_sub"})
+    met = texts.join(spans.hint("shuffle_hash"), _same(), "left").select("doc", "text", "low", "high")
 
     def kept(batches):
         for rows in _grouped(batches, SLICE_BYTES):
