@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexline.llm import decontaminate, language, lines, media, packing, pii, quality, simhash, suffixes, token_count
+from apexline.llm import (
+    decontaminate,
+    language,
+    lines,
+    media,
+    packing,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    suffixes,
+    token_count,
+    toxicity,
+    whitening,
+)
 from apexline.llm.checks import CHECKS  # noqa: F401
 from apexline.llm.common import documents
 
@@ -115,3 +129,23 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, space).select(
         "doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(_remainder(4) != 2)
+    return toxicity.score(docs, toxicity.learn(docs, labels)).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, folder)))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = whitening.whole_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return whitening.whiten(vectors, whitening.learn(vectors)).withColumnRenamed("id", "vec_id")
