@@ -37,6 +37,9 @@ TOLERANCE = 1e-14
 # A component with less than this share of the trace is rounding, no direction.
 FLAT = 1e-12
 BLOCK_ROWS = 4096
+# Bytes of the fit list that one task of a pass reads, and partial sums that one task adds up.
+TASK_BYTES = 1 << 23
+SUMS = 1 << 20
 LARGEST = float(1 << 53)
 
 
@@ -74,7 +77,7 @@ def fit_list(vectors: DataFrame) -> DataFrame:
     return cut(vectors.select("x").distinct().mapInArrow(packed, "n int, x binary"))
 
 
-def _pass(blocks: DataFrame, made, size: int) -> np.ndarray:
+def _pass(blocks: DataFrame, tasks: int, made, size: int) -> np.ndarray:
     """Sum over all blocks of made(x), a flat array of `size` doubles."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +88,11 @@ def _pass(blocks: DataFrame, made, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["k", "v"])
 
     out = np.zeros(size)
+    # A task has summed what it read; the sums of all tasks meet in as few partitions as hold them with ease.
+    meet = 1 + tasks * size // SUMS
+    told = blocks.mapInArrow(partial, "k int, v double").repartition(meet, "k").groupBy("k").agg(F.sum("v").alias("v"))
     # At most `size` rows come back, however many tasks there are.
-    for r in blocks.mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in told.collect():
         out[r["k"]] = r["v"]
     return out
 
@@ -119,10 +125,15 @@ def learn(
 ) -> Whitening | None:
     """Fit on the distinct vectors; None if nothing varies."""
     blocks = fit_list(vectors)
-    heads = blocks.agg(F.sum("n").alias("n"), F.max(F.expr("length(x) div (8 * n)")).alias("d")).first()
+    heads = blocks.agg(
+        F.sum("n").alias("n"), F.max(F.expr("length(x) div (8 * n)")).alias("d"), F.sum(F.length("x")).alias("bytes")
+    ).first()
     if not heads["n"]:
         return None
     n, d = int(heads["n"]), int(heads["d"])
+    # Every pass reads all blocks, so their number of tasks goes by their size, not by the shuffle before them.
+    tasks = 1 + int(heads["bytes"]) // TASK_BYTES
+    blocks = blocks.coalesce(tasks)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [0] * d
@@ -134,12 +145,13 @@ def learn(
                 total = [t + (int(h) << 32) + int(b) for t, h, b in zip(total, high, low)]
         yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(map(str, total))], ["k", "s"])
 
-    told = blocks.mapInArrow(summed, "k int, s string").groupBy("k").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+    told = blocks.mapInArrow(summed, "k int, s string").repartition(1 + tasks * d // SUMS, "k")
+    told = told.groupBy("k").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     found = {r["k"]: int(r["s"]) for r in told.collect()}
     sums = [found[k] for k in range(d)]
     mean = np.array([s // n + (s % n) / n for s in sums])
 
-    trace = float(_pass(blocks, lambda x: ((x - mean) ** 2).sum(axis=0), d).sum()) / n
+    trace = float(_pass(blocks, tasks, lambda x: ((x - mean) ** 2).sum(axis=0), d).sum()) / n
     if not trace > 0:
         return None
     width = min(d, components + guard)
@@ -152,7 +164,7 @@ def learn(
             c = x - mean
             return c.T @ (c @ q)
 
-        return _pass(blocks, made, d * wide).reshape(d, wide) / n
+        return _pass(blocks, tasks, made, d * wide).reshape(d, wide) / n
 
     wanted = min(components, d)
     block, _ = np.linalg.qr(np.random.default_rng(42).normal(size=(d, width)))
@@ -190,7 +202,7 @@ def learn(
         p = (x - mean) @ weights
         return np.concatenate([(p.T @ p).ravel(), p.sum(axis=0)])
 
-    told = _pass(blocks, shadow, k * k + k)
+    told = _pass(blocks, tasks, shadow, k * k + k)
     middle = told[k * k :] / n
     spread = told[: k * k].reshape(k, k) / n - np.outer(middle, middle)
     model.identity_error = float(np.abs(spread - np.eye(k)).max())
