@@ -231,11 +231,15 @@ def near_words(points: list[str], asked: list[str]) -> Iterator[tuple[np.ndarray
 
 def _regions(words: DataFrame, region: int) -> dict[int, Regions]:
     """Top trees of the lengths with more than one region's words."""
-    many = words.groupBy(F.char_length("word").alias("length")).count().filter(F.col("count") > region)
-    parts = {r["length"]: -(-r["count"] // region) for r in many.collect()}
+    many = words.groupBy(F.char_length("word").alias("length")).count().filter(F.col("count") > region).collect()
+    parts = {r["length"]: -(-r["count"] // region) for r in many}
     if not parts:
         return {}
-    drawn = words.filter(F.char_length("word").isin(*parts)).orderBy(F.xxhash64("word"), "word").limit(SAMPLE)
+    own = F.xxhash64("word")
+    # A share of the words first, so that no task sends a full sample to the driver.
+    share = int(2**20 * min(1.0, 1.2 * SAMPLE / sum(r["count"] for r in many)))
+    some = words.filter(F.char_length("word").isin(*parts) & (F.pmod(own, F.lit(1 << 20)) <= share))
+    drawn = some.orderBy(own, "word").limit(SAMPLE)
     by_length: dict[int, list[str]] = {}
     for r in drawn.select("word").collect():
         by_length.setdefault(len(r["word"]), []).append(r["word"])
@@ -315,8 +319,12 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
 def variants(words: DataFrame, *, region: int = REGION, limit: int = LIMIT, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form, form_n, root of a vocabulary (word, n; each word once)."""
     words = cut(words.select("word", F.col("n").cast("long").alias("n")))
-    dealt = _dealt(_routed(words, _regions(words, region)), limit)
-    found = dealt.groupBy("length", "region", "a", "b").applyInPandas(
+    trees = _regions(words, region)
+    dealt = _dealt(_routed(words, trees), limit)
+    # Few bytes hold much work here, so the number of tasks goes by the regions.
+    place = ["length", "region", "a", "b"]
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(t.count for t in trees.values()))
+    found = dealt.repartition(tasks, *place).groupBy(*place).applyInPandas(
         _answers, "word string, n_near long, form string, form_n long"
     )
     best = F.min(F.struct((-F.col("form_n")).alias("m"), F.col("form").alias("form")))
