@@ -7,21 +7,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexline.functions.ordered import has_hot_group
-
 # A slice holds at most this many distinct instants, however many frames it gets.
 SLICE_MS = 3_600_000
 _CHANNEL = ["event_date", "channel"]
 
 
-def _run_through(times: np.ndarray, first: int, gap: int) -> list[int]:
-    """Indexes kept in a slice when `first` is the first one kept."""
-    kept = []
-    at = first
-    while at < len(times):
-        kept.append(at)
-        at = int(np.searchsorted(times, times[at] + gap))
-    return kept
+def _last_reached(follow: np.ndarray) -> np.ndarray:
+    """For each instant, the last one of a slice that is kept if it is: its successors' end, by pointer doubling."""
+    here = np.arange(len(follow))
+    reach = np.where(follow < len(follow), follow, here)
+    while True:
+        further = reach[reach]
+        if (further == reach).all():
+            return reach
+        reach = further
+
+
+def _reached(follow: np.ndarray, first: int) -> np.ndarray:
+    """All instants kept from `first` on; each step doubles how many successors are known."""
+    kept = np.zeros(len(follow) + 1, bool)
+    kept[first] = True
+    jump = np.append(follow, len(follow))
+    while jump[first] < len(follow):
+        kept[jump[np.flatnonzero(kept)]] = True
+        jump = jump[jump]
+    # What jumps over the end has been collected by the shorter ones; one more round closes the gap.
+    kept[jump[np.flatnonzero(kept)]] = True
+    return np.flatnonzero(kept[:-1])
 
 
 def _slice_exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +42,7 @@ def _slice_exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     The last kept frame lies before the slice, so the first kept one here is
     less than a gap after the slice's first frame, or the next frame after that.
     """
-    follow = np.searchsorted(times, times + gap)
-    last = np.arange(len(times))
-    for i in range(len(times) - 1, -1, -1):
-        if follow[i] < len(times):
-            last[i] = last[follow[i]]
+    last = _last_reached(np.searchsorted(times, times + gap))
     entries = min(int(np.searchsorted(times, times[0] + gap)) + 1, len(times))
     # Neighbouring entries with the same exit are one step of the function.
     ends = np.flatnonzero(np.append(last[1:entries] != last[: entries - 1], True))
@@ -43,15 +51,15 @@ def _slice_exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sample_frames(
     frames: DataFrame, min_ms: int = 15_000, channel: str = "pid", held: DataFrame | None = None,
-    hot: bool | None = None,
+    slice_ms: int = SLICE_MS,
 ) -> DataFrame:
     """Per day and channel, keep a frame iff min_ms passed since the last kept.
 
-    Greedy, hence order-dependent. Frames reduce to distinct instants, and a
-    day's channel is walked in one task while these fit. A hot one is walked in
-    hour slices, so no task sees more than an hour's milliseconds: each slice
-    tells which exit follows from which entry, the slices of a channel are
-    chained on those steps alone, and each slice then lists what it keeps.
+    Greedy, hence order-dependent. Frames reduce to distinct instants, and these to
+    slices: the next instant that may be kept is a function on a slice, whose powers come
+    by pointer doubling. Each slice tells which exit follows from which entry, the slices of
+    a channel are composed on those steps alone, and each slice then lists what it keeps.
+    Payloads take part in the last join only.
 
     held: event_date, channel and the last kept instant of earlier runs.
     """
@@ -67,21 +75,11 @@ def sample_frames(
             .drop("last")
         )
     parts = [*_CHANNEL, "slice"]
-    instants = keyed.withColumn("slice", F.expr(f"received div {SLICE_MS}")).select(
+    instants = keyed.withColumn("slice", F.expr(f"received div {slice_ms}")).select(
         *parts, "received"
     ).distinct()
 
     types = "event_date string, channel string"
-    if hot is None:
-        hot = has_hot_group(instants, _CHANNEL)
-
-    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(left["received"].to_numpy())
-        first = 0
-        if not right.empty:
-            first = int(np.searchsorted(times, int(right["last"].iloc[0]) + min_ms))
-        kept = times[_run_through(times, first, min_ms)]
-        return pd.DataFrame({"event_date": key[0], "channel": key[1], "received": kept})
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["received"].to_numpy())
@@ -102,32 +100,25 @@ def sample_frames(
 
     def keep(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(left["received"].to_numpy())
-        if right.empty or not len(times):
-            return pd.DataFrame(columns=[*_CHANNEL, "received"])
-        first = int(np.searchsorted(times, int(right["need"].iloc[0])))
-        kept = times[_run_through(times, first, min_ms)]
+        first = int(np.searchsorted(times, int(right["need"].iloc[0]))) if len(right) else len(times)
+        if first >= len(times):
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in _CHANNEL} | {"received": pd.Series([], dtype="int64")})
+        kept = times[_reached(np.searchsorted(times, times + min_ms), first)]
         return pd.DataFrame({"event_date": key[0], "channel": key[1], "received": kept})
 
     earlier = held.select(*_CHANNEL, "last").groupBy(*_CHANNEL)
-    if hot:
-        entered = (
-            instants.groupBy(*parts)
-            .applyInPandas(steps, f"{types}, slice bigint, upto bigint, leave bigint, first bigint")
-            .groupBy(*_CHANNEL)
-            .cogroup(earlier)
-            .applyInPandas(chain, f"slice bigint, need bigint, {types}")
-        )
-        kept = (
-            instants.groupBy(*parts)
-            .cogroup(entered.groupBy(*parts))
-            .applyInPandas(keep, f"{types}, received bigint")
-        )
-    else:
-        kept = (
-            instants.groupBy(*_CHANNEL)
-            .cogroup(earlier)
-            .applyInPandas(walk, f"{types}, received bigint")
-        )
+    entered = (
+        instants.groupBy(*parts)
+        .applyInPandas(steps, f"{types}, slice bigint, upto bigint, leave bigint, first bigint")
+        .groupBy(*_CHANNEL)
+        .cogroup(earlier)
+        .applyInPandas(chain, f"slice bigint, need bigint, {types}")
+    )
+    kept = (
+        instants.groupBy(*parts)
+        .cogroup(entered.groupBy(*parts))
+        .applyInPandas(keep, f"{types}, received bigint")
+    )
     # Of several frames at a kept instant the first one is it.
     found = keyed.join(kept, [*_CHANNEL, "received"], "left_semi")
     order = F.struct("frame_no", "event")

@@ -1,20 +1,30 @@
 """The live feed as streaming queries.
 
 A stream of frames has event_date, pid, frame_no, event, received (ms) and
-payload. Tables the streams keep are append-only folders with one sub-folder
-per micro-batch and day; a batch that runs again overwrites its own. Reading a
-table merges its rows, so an upsert is an append, and what a table holds does
-not depend on the order in which frames arrive.
+payload. What a query must know of earlier batches is keyed state, so a batch
+reads nothing that was written before it, and no file or folder is listed. State
+of a key that nothing has arrived for goes after KEEP_MS.
+
+Tables are folders of days, and inside a day of micro-batches; a batch that runs
+again overwrites its own folders, whatever the number of tasks that write them.
+Reading a table merges its rows, so an upsert is an append, and what a table holds
+does not depend on the order in which frames arrive, nor on state that has gone.
+`compact` rewrites days once they are over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from apexline.operators.ingest import KEY, merge_latest_rows, merge_messages, pit_from_counter
+from apexline.functions.session import cut
+from apexline.operators.ingest import KEY, merge_messages, pit_from_counter
 from apexline.operators.sampling import sample_frames
 from apexline.sources import frames as feed
 
@@ -22,7 +32,10 @@ FRAME_SCHEMA = (
     "event_date string, pid string, frame_no bigint, event string, received bigint, payload string"
 )
 FLUSH = "5 seconds"
-_SIGNATURE = ["s1", "s2", "s3", "s4", "s5", "lap_time", "lap_end"]
+# A day and a half after the last arrival an event day is over.
+KEEP_MS = 36 * 3_600_000
+# Stop counters of a car are held by the hour.
+SLICE_MS = 3_600_000
 
 
 def read_frames(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -34,32 +47,66 @@ def read_frames(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     )
 
 
-def _started(writer, checkpoint: str, once: bool) -> StreamingQuery:
-    writer = writer.option("checkpointLocation", checkpoint)
+def _no_frames(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], FRAME_SCHEMA)
+
+
+def _appended(rows: DataFrame, path: str, checkpoint: str, once: bool, made=None) -> StreamingQuery:
+    """Append each batch of a stream, or what `made` makes of it, to its days."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = (made(batch) if made else batch).withColumn("batch", F.lit(batch_id))
+        writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("event_date", "batch").parquet(path)
+
     trigger = {"availableNow": True} if once else {"processingTime": FLUSH}
-    return writer.trigger(**trigger).start()
+    writer = rows.writeStream.outputMode("append").foreachBatch(write)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _held(spark: SparkSession, path: str, batch_id: int, schema, days: list[str]) -> DataFrame:
-    """What earlier batches wrote for these days; an empty table before the first.
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).drop("batch")
 
-    Days are folders, so the files of other days are not opened.
+
+def _fields(df: DataFrame, *more: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *more])
+
+
+def _keyed(rows: DataFrame, keys: list[str], step, out: str, state: str, expires: bool) -> DataFrame:
+    """Rows through a step per key: (key, rows as tuples, held tuple or None, now) to (rows out, held).
+
+    A run that ends once all is read has no state that expires: with it there would always be another batch.
     """
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    kept = spark.read.schema(stored).parquet(path)
-    return kept.filter(F.col("event_date").isin(days) & (F.col("batch") < batch_id)).drop("batch")
+    names = [n.split()[0].strip("`") for n in out.split(", ")]
 
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        given = [row for pdf in frames for row in _tuples(pdf)]
+        found, after = step(key, given, held.get if held.exists else None, held.getCurrentProcessingTimeMs())
+        if after is not None:
+            held.update(after)
+            if expires:
+                held.setTimeoutDuration(KEEP_MS)
+        if found:
+            yield pd.DataFrame(found, columns=names, dtype=object)
 
-def _write(rows: DataFrame, path: str, batch_id: int) -> None:
-    """A batch's rows: one file per day."""
-    by_day = rows.repartition("event_date")
-    by_day.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch={batch_id}")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(run, out, state, "append", timeout)
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path).drop("batch")
+def _tuples(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """Rows with None for what is missing and whole numbers as such."""
+    columns = []
+    for name in pdf.columns:
+        col = pdf[name]
+        values = col.astype(object).where(col.notna(), None)
+        columns.append([int(v) if isinstance(v, float) else v for v in values])
+    return zip(*columns)
+
+
+# ---- timing ------------------------------------------------------------------
 
 
 def timing_rows(frames: DataFrame) -> DataFrame:
@@ -67,86 +114,255 @@ def timing_rows(frames: DataFrame) -> DataFrame:
     return feed.flatten_leaderboard(feed.frame_gate(frames)).drop("at")
 
 
+# What tells when a row was shown, beside the time.
+_PLACE = ["event_date", "frame_no"]
+
+
+def _rank(values: tuple) -> tuple:
+    """Order of the batch merge: field by field, missing before all else."""
+    return tuple((v is not None, v) for v in values)
+
+
+def timing_changes(rows: DataFrame, expires: bool = True) -> DataFrame:
+    """Versions of lap rows that are newer than all before them and differ from the newest one.
+
+    Of an unchanged row that is shown again only the time is told (`of` is the time of the version it
+    repeats), at most once a key and batch; of an older row that comes late nothing is. State is the
+    newest version of each (event, car, lap) and when it was last seen.
+    """
+    names = rows.columns
+    rest = [n for n in names if n not in (*KEY, "received")]
+    when = names.index("received")
+    at = [names.index(n) for n in rest]
+    # Time and frame are no content.
+    content = [k for k, n in enumerate(rest) if n not in _PLACE]
+    plain = [k for k, n in enumerate(names) if n in (*KEY, "received", *_PLACE)]
+
+    def rank(row):
+        return row[when], _rank([row[k] for k in at])
+
+    def step(key, given, held, _):
+        best = max(given, key=rank)
+        mine = tuple(best[k] for k in at)
+        if held is not None:
+            of, old = held[1], tuple(held[2:])
+            if rank(best) <= (held[0], _rank(old)):
+                return [], tuple(held)
+            if [mine[k] for k in content] == [old[k] for k in content]:
+                shown = [best[k] if k in plain else None for k in range(len(names))]
+                return [(*shown, of, True)], (best[when], of, *mine)
+        return [(*best, best[when], False)], (best[when], best[when], *mine)
+
+    kinds = dict(rows.dtypes)
+    state = ", ".join(["last bigint", "of_ bigint", *[f"`{n}` {kinds[n]}" for n in rest]])
+    return _keyed(rows, KEY, step, _fields(rows, "of bigint", "again boolean"), state, expires)
+
+
 def stream_timing(
     frames: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Append each batch's changed lap rows to path/rows and its status to path/status."""
+    """Append the changed lap rows of each batch to path/rows."""
+    return _appended(timing_changes(timing_rows(frames), not once), f"{path}/rows", checkpoint, once)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        try:
-            newest = merge_latest_rows(timing_rows(batch))
-            # The days of one batch: today, and perhaps yesterday.
-            days = [r[0] for r in batch.select("event_date").distinct().collect()]
-            held = merge_latest_rows(_held(spark, f"{path}/rows", batch_id, newest.schema, days))
-            old = held.select(*KEY, F.struct(*_SIGNATURE).alias("_old"))
-            changed = newest.join(old, KEY, "left").filter(
-                ~F.struct(*_SIGNATURE).eqNullSafe(F.col("_old"))
-            ).drop("_old")
-            _write(changed, f"{path}/rows", batch_id)
-            # Written with every batch, changed rows or not: the sign of life.
-            rows = held.select("event_date", *KEY).union(newest.select("event_date", *KEY)).distinct()
-            feed.live_status(batch, rows).write.mode("overwrite").parquet(
-                f"{path}/status/batch={batch_id}"
-            )
-        finally:
-            batch.unpersist()
-
-    return _started(frames.writeStream.foreachBatch(write), checkpoint, once)
-
-
-def read_timing(spark: SparkSession, path: str) -> DataFrame:
-    """The timing table: the last version of each lap row."""
-    schema = timing_rows(_no_frames(spark)).schema
-    return merge_latest_rows(_stored(spark, f"{path}/rows", schema))
+
+def merged_changes(changes: DataFrame) -> DataFrame:
+    """Changes of lap rows to one row each: the newest version, and where it was seen last."""
+    rest = [c for c in changes.columns if c not in (*KEY, "received", "of", "again", *_PLACE)]
+    version = F.struct("received", *_PLACE, F.struct(*rest).alias("r"))
+    # Each version with the last place that it was seen at, then the newest.
+    seen = changes.groupBy(*KEY, "of").agg(
+        F.max(F.when(~F.col("again"), version)).alias("v"), F.max(F.struct("received", *_PLACE)).alias("p")
+    )
+    last = F.max(F.struct("p", "of", "v"))
+    return seen.filter("v is not null").groupBy(*KEY).agg(last.alias("x")).select(
+        *KEY, "x.p.*", "x.v.r.*", "x.of", F.col("x.v").alias("v")
+    )
 
 
-def _no_frames(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FRAME_SCHEMA)
+def _changes(spark: SparkSession, path: str) -> DataFrame:
+    rows = timing_rows(_no_frames(spark))
+    return _stored(spark, f"{path}/rows", _fields(rows, "of bigint", "again boolean"))
+
 
+def read_timing(spark: SparkSession, path: str, pits: str | None = None) -> DataFrame:
+    """The timing table: the last version of each lap row.
 
-def _appended(rows, frames: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
-    """Append what a function makes of each batch."""
-    return _started(
-        frames.writeStream.foreachBatch(lambda batch, n: _write(rows(batch), path, n)), checkpoint, once
+    pits: folder of stream_pit_counter; then `inpit` tells whether the lap ended in the pits, as the stop
+    counters of all frames show it.
+    """
+    table = merged_changes(_changes(spark, path)).drop("of", "v")
+    if pits is None:
+        return table
+    flags = read_pit_laps(spark, pits).withColumn("inpit", F.lit(True))
+    return table.join(flags, KEY, "left").withColumn("inpit", F.coalesce("inpit", F.lit(False)))
+
+
+def compact_timing(spark: SparkSession, path: str, day: str) -> None:
+    """Rewrite a day's changes as one row a lap; readers see the same table at every moment."""
+    changes = _changes(spark, path)
+    last = merged_changes(changes.filter(F.col("event_date") == day))
+    # The version as it was told first, and the last time it was seen.
+    told = last.withColumns({n: F.col(f"v.{n}") for n in ["received", *_PLACE]} | {"again": F.lit(False)})
+    content = [c for c in changes.columns if c not in (*KEY, "received", "of", "again", *_PLACE)]
+    rows = told.select(changes.columns)
+    later = last.withColumn("again", F.lit(True)).filter(F.struct("received", *_PLACE) > F.struct("v.received", *[f"v.{n}" for n in _PLACE]))
+    blank = [F.lit(None).cast(changes.schema[c].dataType).alias(c) if c in content else F.col(c) for c in changes.columns]
+    _rewritten(rows.unionByName(later.select(*blank)), f"{path}/rows", day)
+
+
+# ---- status ------------------------------------------------------------------
+
+
+def stream_status(frames: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Append the identity of each batch's last frame of a day: the sign of life, changed rows or not."""
+    return _appended(
+        frames, f"{path}/status", checkpoint, once,
+        lambda batch: feed.live_status(batch, batch.select("event_date").limit(0)).drop("cars", "live"),
     )
 
 
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """Per day: the latest frame's identity, the lap rows held, and liveness."""
+    empty = _no_frames(spark)
+    shape = feed.live_status(empty, empty).drop("cars", "live")
+    last = _stored(spark, f"{path}/status", shape.schema).groupBy("event_date").agg(
+        F.max_by(F.struct("event_id", "session", "heat", "track"), "updated").alias("x"), F.max("updated").alias("updated")
+    )
+    held = read_timing(spark, path).groupBy("event_date").agg(F.count(F.lit(1)).alias("cars"))
+    return last.join(held, "event_date", "full").select(
+        "event_date", "x.event_id", "x.session", "x.heat", "x.track",
+        F.coalesce("cars", F.lit(0)).alias("cars"), "updated", F.col("updated").isNotNull().alias("live"),
+    )
+
+
+# ---- stop counters -------------------------------------------------------------
+
+
+_COUNTED = ["received", "lap", "frame_no", "at", "counter"]
+
+
 def counted_rows(frames: DataFrame) -> DataFrame:
     """Stop counters as shown, one narrow row per car and frame."""
     shown = feed.flatten_leaderboard(feed.frame_gate(frames)).filter("counter is not null")
-    return shown.select("event_date", *KEY, "received", "frame_no", "at", "counter").distinct()
+    return shown.select("event_date", *KEY, "received", "frame_no", "at", "counter")
+
+
+def _runs(seen: np.ndarray) -> np.ndarray:
+    """First and last of each run of equal (lap, counter), in time order."""
+    told = seen[:, [1, 4]]
+    new = np.append(True, (told[1:] != told[:-1]).any(axis=1))
+    return seen[new | np.append(new[1:], True)]
+
+
+def counter_runs(rows: DataFrame, expires: bool = True) -> DataFrame:
+    """Where a car's (lap, counter) changes, by the hour; a new version whenever a frame alters that.
+
+    State is the hour's counters in time order. A frame that comes late, between two seen ones, is put in its place;
+    if the order of laps and counters is another one then, the hour's runs are told anew, under the next version,
+    which may add a pit lap or take one back. An hour whose state has gone begins a new generation.
+    """
+
+    def step(key, given, held, now):
+        mine = np.array([[r[k] for k in places] for r in given], np.int64).reshape(-1, len(_COUNTED))
+        day = min(r[0] for r in given)
+        if held is None:
+            before, version, generation = mine[:0], 0, now
+        else:
+            before = np.frombuffer(held[0], "<i8").reshape(-1, len(_COUNTED))
+            version, generation, day = held[1], held[2], min(day, held[3])
+        after = np.unique(np.concatenate([before, mine]), axis=0)
+        if len(after) == len(before):
+            return [], (held[0], version, generation, day)
+        runs = _runs(after)
+        told = _order(before) != _order(after)
+        version += told
+        out = [(day, *key, generation, version, *map(int, r)) for r in runs] if told else []
+        return out, (after.astype("<i8").tobytes(), version, generation, day)
+
+    sliced = rows.withColumn("slice", F.expr(f"received div {SLICE_MS}")).select(
+        "event_date", "event", "car", "slice", *_COUNTED
+    )
+    places = [sliced.columns.index(c) for c in _COUNTED]
+    out = "event_date string, event string, car string, slice bigint, generation bigint, version bigint, " + ", ".join(
+        f"{c} bigint" for c in _COUNTED
+    )
+    state = "seen binary, version bigint, generation bigint, event_date string"
+    return _keyed(sliced, ["event", "car", "slice"], step, out, state, expires)
+
+
+def _order(seen: np.ndarray) -> list:
+    """The laps and counters in turn."""
+    if not len(seen):
+        return []
+    told = seen[:, [1, 4]]
+    return told[np.append(True, (told[1:] != told[:-1]).any(axis=1))].tolist()
 
 
 def stream_pit_counter(
     frames: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Append the counters of each batch; rises are found on reading, over all batches in time order."""
-    return _appended(counted_rows, frames, path, checkpoint, once)
+    """Append the runs of laps and stop counters that a batch has changed."""
+    return _appended(counter_runs(counted_rows(frames), not once), path, checkpoint, once)
 
 
 def read_pit_laps(spark: SparkSession, path: str) -> DataFrame:
-    """Laps on which a car's counter rose, wherever the frames before it arrived."""
-    rows = _stored(spark, path, counted_rows(_no_frames(spark)).schema)
-    return pit_from_counter(rows.distinct())
+    """Laps on which a car's counter rose, wherever the frames before it arrived.
+
+    A few rows a lap are read, not the counters of the frames.
+    """
+    hour = ["event", "car", "slice", "generation"]
+    out = "event_date string, event string, car string, slice bigint, generation bigint, version bigint, "
+    rows = _stored(spark, path, out + ", ".join(f"{c} bigint" for c in _COUNTED))
+    # The last version's rows of each hour, collected as one bounded list.
+    told = rows.groupBy(*hour, "version").agg(F.collect_set(F.struct(*_COUNTED)).alias("runs"))
+    last = told.groupBy(*hour).agg(F.max_by("runs", "version").alias("runs"))
+    runs = last.select("event", "car", F.explode("runs").alias("x")).select("event", "car", "x.*")
+    return pit_from_counter(runs)
 
 
-def batch_messages(frames: DataFrame) -> DataFrame:
-    """Messages of a batch, each key once."""
-    return merge_messages(feed.map_messages(frames))
+# ---- messages ------------------------------------------------------------------
+
+
+def new_messages(messages: DataFrame, expires: bool = True) -> DataFrame:
+    """Messages whose key has not been told, or only by later frames; those without a key all.
+
+    State is the place of the earliest frame that told a key.
+    """
+    names = messages.columns
+    order = [names.index(c) for c in ("received", "frame_no", "at")]
+    key = names.index("ext_key")
+
+    def step(_, given, held, now):
+        if given[0][key] is None:
+            return [row[:-1] for row in given], None
+        best = min(given, key=lambda r: [r[k] for k in order])
+        place = tuple(best[k] for k in order)
+        return ([best[:-1]], place) if held is None or place < tuple(held) else ([], tuple(held))
+
+    own = F.coalesce(F.xxhash64("ext_key"), F.xxhash64("received", "frame_no", "at"))
+    # Keyless messages stand alone; a hash deals them.
+    told = F.when(F.col("ext_key").isNull(), own).otherwise(F.lit(0))
+    keyed = messages.withColumn("_group", F.concat_ws("|", F.coalesce("ext_key", F.lit("?")), told.cast("string")))
+    instants = [f.name for f in messages.schema.fields if f.dataType.typeName() == "timestamp"]
+    as_numbers = keyed.withColumns({c: F.unix_micros(c) for c in instants})
+    plain = as_numbers.drop("_group")
+    found = _keyed(as_numbers, ["_group"], step, _fields(plain), "received bigint, frame_no bigint, at bigint", expires)
+    return found.withColumns({c: F.timestamp_micros(c) for c in instants})
 
 
 def stream_messages(
     frames: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Append the messages of each batch, however late they come."""
-    return _appended(batch_messages, frames, path, checkpoint, once)
+    """Append the messages that are new, however late they come."""
+    return _appended(new_messages(feed.map_messages(frames), not once), path, checkpoint, once)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """The message table: the first of each key; messages without one all stay."""
-    return merge_messages(_stored(spark, path, batch_messages(_no_frames(spark)).schema))
+    return merge_messages(_stored(spark, path, feed.map_messages(_no_frames(spark)).schema))
+
+
+# ---- frame archive ---------------------------------------------------------------
 
 
 def archived_frames(frames: DataFrame) -> DataFrame:
@@ -156,18 +372,55 @@ def archived_frames(frames: DataFrame) -> DataFrame:
 
 
 def stream_frame_archive(frames: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append whole frames; a query of its own, so that a failure here never touches the timing.
+    """Land whole frames, each by the task that has read it; a query of its own, so that a failure here
+    never touches the timing.
 
-    Nothing is thinned out on writing: what a late or backfilled frame is worth shows only beside its
-    neighbours, which may arrive after it.
+    What a late or backfilled frame is worth shows only beside its neighbours, which may arrive after it: a day
+    is thinned out by `settle_frames` once it is over, and until then on reading.
     """
-    return _appended(archived_frames, frames, path, checkpoint, once)
+    return _appended(archived_frames(frames), path, checkpoint, once)
 
 
-def read_frame_archive(spark: SparkSession, path: str, min_ms: int = 15_000) -> DataFrame:
-    """Frames of the archive at least min_ms apart within a day and channel, equal payloads once."""
-    kept = sample_frames(_stored(spark, path, archived_frames(_no_frames(spark)).schema), min_ms)
+def _thinned(frames: DataFrame, min_ms: int) -> DataFrame:
+    """Frames at least min_ms apart within a day and channel, equal payloads once."""
+    kept = sample_frames(frames, min_ms)
     rest = F.struct(*[F.col(c) for c in kept.columns])
     return kept.groupBy("event_date", F.coalesce("pid", F.lit("?")).alias("_c"), "body_hash").agg(
         F.min_by(rest, F.struct("received", "frame_no", "event")).alias("x")
     ).select("x.*")
+
+
+def read_frame_archive(spark: SparkSession, path: str, min_ms: int = 15_000) -> DataFrame:
+    """The archive's frames; days that are settled and days that are not look alike."""
+    return _thinned(_stored(spark, path, archived_frames(_no_frames(spark)).schema), min_ms)
+
+
+def settle_frames(spark: SparkSession, path: str, day: str, min_ms: int = 15_000) -> None:
+    """Rewrite a day that is over as the frames that stay; what came twice or too close goes.
+
+    A frame that arrives after this is judged against those that stayed.
+    """
+    landed = _stored(spark, path, archived_frames(_no_frames(spark)).schema)
+    _rewritten(_thinned(landed.filter(F.col("event_date") == day), min_ms), path, day)
+
+
+def _rewritten(rows: DataFrame, path: str, day: str) -> None:
+    """Put a day's merged rows in place of its batches.
+
+    The merged rows are written beside the batches first, and only the batches seen before that are removed, so a
+    run that breaks off, and a batch that arrives meanwhile, do no harm: reading merges again.
+    """
+    spark = rows.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return
+    before = [s.getPath() for s in files.listStatus(folder)]
+    held = cut(rows)
+    taken = [int(p.getName().split("=")[1]) for p in before]
+    # Below all others, and not among them.
+    merged = held.drop("event_date").coalesce(1 + held.rdd.getNumPartitions() // 8)
+    merged.write.mode("overwrite").parquet(f"{path}/event_date={day}/batch={min([0, *taken]) - 1}")
+    for old in before:
+        files.delete(old, True)
