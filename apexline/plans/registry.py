@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,16 @@ def part(name: str, text: str, *needs: str) -> None:
     _PARTS[name] = (needs, text)
 
 
+def parts_of(prefix: str, source: str, base: str, names: tuple[str, ...]) -> None:
+    """The named parts once more, under a prefix, with `source` in the place of the part `base`."""
+    other = {base: source} | {name: f"{prefix}_{name}" for name in names}
+    table = re.compile(rf"\b(FROM|JOIN) ({'|'.join(other)})\b")
+    for name in names:
+        needs, text = _PARTS[name]
+        renamed = table.sub(lambda m: f"{m[1]} {other[m[2]]}", text)
+        part(other[name], renamed, *[other.get(n, n) for n in needs])
+
+
 def sql(body: str, *needs: str) -> str:
     """Check SQL with the named expressions it needs in front."""
     order: list[str] = []

@@ -204,42 +204,42 @@ def _(spark, folder):
 # Caps of the clean-up, in the stand-in's slow time.
 _SECTOR_CAP, _LAP_CAP = 60 * HOUR, 200 * HOUR
 
-part(
-    "live_shown",
-    "SELECT event, car, klass, lap, "
-    + ", ".join(f"CASE WHEN s{i} <= {_SECTOR_CAP} THEN s{i} END AS s{i}" for i in range(1, 6))
-    + f", tend, CASE WHEN rt <= {_LAP_CAP} THEN rt END AS rt, inpit FROM lap",
-    "lap",
-)
-part(
-    "live_own",
-    """
+
+def cleaned_parts(prefix: str, source: str, sector_cap: int, lap_cap: int) -> str:
+    """Register the feed's clean-up of `source` as SQL in three steps; returns its select list."""
+    part(
+        f"{prefix}_shown",
+        "SELECT event, car, klass, lap, "
+        + ", ".join(f"CASE WHEN s{i} <= {sector_cap} THEN s{i} END AS s{i}" for i in range(1, 6))
+        + f", tend, CASE WHEN rt <= {lap_cap} THEN rt END AS rt, inpit, driver, vehicle, v1 FROM {source}",
+        source,
+    )
+    part(
+        f"{prefix}_own",
+        f"""
 SELECT a.event, a.car, a.klass, a.lap, a.s1, a.s2, a.s3, a.s4,
-  coalesce(a.s5, b.rt - (a.s1 + a.s2 + a.s3 + a.s4)) AS s5, a.tend, a.inpit,
+  coalesce(a.s5, b.rt - (a.s1 + a.s2 + a.s3 + a.s4)) AS s5, a.tend, a.inpit, a.driver, a.vehicle, a.v1,
   CASE WHEN b.lap IS NOT NULL THEN b.rt ELSE a.rt END AS rt
-FROM live_shown a LEFT JOIN live_shown b ON b.event = a.event AND b.car = a.car AND b.lap = a.lap + 1""",
-    "live_shown",
-)
-part(
-    "live_holes",
-    """
+FROM {prefix}_shown a LEFT JOIN {prefix}_shown b ON b.event = a.event AND b.car = a.car AND b.lap = a.lap + 1""",
+        f"{prefix}_shown",
+    )
+    part(
+        f"{prefix}_holes",
+        f"""
 SELECT *, (s1 IS NULL)::INT + (s2 IS NULL)::INT + (s3 IS NULL)::INT + (s4 IS NULL)::INT AS missing,
   rt - (coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0) + coalesce(s4, 0) + coalesce(s5, 0)) AS hole
-FROM live_own""",
-    "live_own",
-)
-_FITS = f"missing = 1 AND s5 IS NOT NULL AND rt <> 0 AND hole > 0 AND hole < {_SECTOR_CAP}"
+FROM {prefix}_own""",
+        f"{prefix}_own",
+    )
+    fits = f"missing = 1 AND s5 IS NOT NULL AND rt <> 0 AND hole > 0 AND hole < {sector_cap}"
+    filled = ", ".join(f"CASE WHEN s{i} IS NULL AND {fits} THEN hole ELSE s{i} END AS s{i}" for i in range(1, 5))
+    return f"event, car, klass, lap, {filled}, s5, tend, rt, inpit"
 
 
-@query(
-    "live_clean_laps",
-    sql(
-        "SELECT event, car, klass, lap, "
-        + ", ".join(f"CASE WHEN s{i} IS NULL AND {_FITS} THEN hole ELSE s{i} END AS s{i}" for i in range(1, 5))
-        + ", s5, tend, rt, inpit FROM live_holes",
-        "live_holes",
-    ),
-)
+_CLEANED = cleaned_parts("live", "lap", _SECTOR_CAP, _LAP_CAP)
+
+
+@query("live_clean_laps", sql(f"SELECT {_CLEANED} FROM live_holes", "live_holes"))
 def _(spark, folder):
     laps = live_laps.clean_live(Timing(spark, folder).lap, _SECTOR_CAP, _LAP_CAP)
     return laps.select(
