@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import latest, number, scan
+from apexline.operators.live_laps import clean_live
 
 DAY_MS = 86_400_000
 SETTLED_MS = 2 * 3_600_000
 CHUNK_ROWS = 500
 BOARD_ROWS = 300
+# Rows of the live table as a bundle holds them.
+TIMING_ROWS = (
+    "car string, klass string, lap bigint, s array<bigint>, spd array<bigint>, tend bigint,"
+    " rt bigint, inpit boolean, driver string, vehicle string"
+)
 
 
 def event_slug(events: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -72,6 +78,22 @@ def event_bundle(
     return parts
 
 
+def event_meta(events: DataFrame, timing: DataFrame) -> DataFrame:
+    """Head of each event's bundle; an event without timing has no cars.
+
+    events: event and what else the head tells, with slug.
+    """
+    cars = timing.groupBy("event").agg(F.countDistinct("car").alias("car_count"))
+    return events.join(cars, "event", "left").withColumn(
+        "car_count", F.coalesce("car_count", F.lit(0))
+    )
+
+
+def for_each_event(rows: DataFrame, events: list[str]) -> DataFrame:
+    """Rows that belong to no event (tyre and band states), once for each event archived in this run."""
+    return rows.select(F.explode(F.array(*map(F.lit, events))).alias("event"), "*")
+
+
 def write_bundle(bundle: DataFrame, path: str) -> None:
     """Write chunks over their events' partitions; other events stay."""
     (
@@ -92,6 +114,11 @@ def unbundle(bundle: DataFrame, kind: str, schema: str) -> DataFrame:
     )
 
 
+def unbundle_timing(bundle: DataFrame, sector_cap: int = 900_000, lap_cap: int = 3_600_000) -> DataFrame:
+    """The bundle's laps as a replay takes them: with the live feed's clean-up, in the bundle's ticks."""
+    return clean_live(unbundle(bundle, "timing", TIMING_ROWS), sector_cap, lap_cap)
+
+
 def bundle_messages(messages: DataFrame, events: DataFrame) -> DataFrame:
     """Messages of each event: those of its date; without any, undated ones in
     its time window.

@@ -88,9 +88,12 @@ def replaced_rows(held: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def replace_event(parsed: DataFrame, path: str) -> None:
-    """Write parsed rows over their event partitions; other events stay."""
+    """Write parsed rows over their event partitions; other events stay.
+
+    Rows are brought together by event first, so that an event is few files; large ones stay split.
+    """
     (
-        parsed.write.mode("overwrite")
+        parsed.hint("rebalance", "event_date").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)

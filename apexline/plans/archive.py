@@ -8,6 +8,7 @@ from apexline.plans.asof import Race
 from apexline.plans.pits import meetings
 from apexline.plans.registry import part, query, sql
 from apexline.plans.results import sessions
+from apexline.plans.timeline import CLEANED_LAPS, LAP_CAP, SECTOR_CAP
 from apexline.operators.results import session_windows
 from apexline.sources import frames as feed
 from apexline.sources.standins import DAY, HOUR, Frames, Timing
@@ -74,16 +75,61 @@ def _(spark, folder):
     return archive.archivable_events(windows, timing, archived, _NOW)
 
 
+# The stand-in race's events.
+EVENTS = ["E0", "E1"]
+
+
+def _laps(timing: Timing):
+    return timing.lap.select(
+        "event", "car", "klass", "lap", "s", "spd", "tend", "rt", "inpit", "driver", "vehicle"
+    )
+
+
 def _bundle(spark, folder):
+    """Every kind of an event's archive, each in its order."""
     timing = Timing(spark, folder)
-    laps = timing.lap.select(
-        "event", "car", "klass", "lap", "s", "spd", "tend", "rt", "inpit", "driver", "vehicle"
+    laps, crossing = _laps(timing), timing.crossing
+    heads = laps.groupBy("event").agg(F.max("tend").alias("archived_at")).select(
+        "event", F.concat(F.lit("NLS"), F.substring("event", 2, 1)).alias("slug"), "archived_at",
+        F.lit("live").alias("source"),
     )
-    weather = weather_rows(timing)
-    hot = has_hot_group(timing.events, ["event"])
-    return archive.event_bundle(
-        {"timing": (laps, ["car", "lap"]), "weather": (weather, ["at"])}, hot
+    status = crossing.groupBy("event").agg(
+        F.max("t").alias("updated"), F.count(F.lit(1)).alias("rows")
+    ).withColumn("id", F.col("updated"))
+    messages = crossing.filter("event_type = 'error'").select(
+        "event", "car", F.col("t").alias("at"), F.col("event_id").alias("id"), "event_type"
+    )
+    notes = crossing.filter("event_type = 'purchase'").select(
+        "event", "car", "lap", "sector", F.col("t").alias("at"), F.col("event_id").alias("id"), "k"
     )
+    fuel_notes = crossing.filter("k % 11 = 0").select(
+        "event", "car", "lap", F.col("event_id").alias("id"), "cents"
+    )
+    fuel = crossing.groupBy("event", "car").agg(F.max("counter").alias("state"))
+    times = timing.lap.filter("rt is not null").select("event", "car", "driver", "lap", "rt")
+    of_events = {
+        "meta": (archive.event_meta(heads, laps), ["slug"]),
+        "timing": (laps, ["car", "lap"]),
+        "live_status": (status, ["id"]),
+        "messages": (messages, ["at", "id"]),
+        "racenotes": (notes, ["car", "at", "id"]),
+        "fuel_state": (fuel, ["car"]),
+        "fuel_notes": (fuel_notes, ["car", "lap", "id"]),
+        "weather": (weather_rows(timing), ["at"]),
+        "laptimes": (times, ["car", "lap"]),
+    }
+    tyres = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias("car"), F.col("p_brand").alias("state")
+    )
+    bands = table(spark, folder, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("texts")
+    )
+    of_none = {
+        "tyre_state": (archive.for_each_event(tyres, EVENTS), ["car"]),
+        "band_state": (archive.for_each_event(bands, EVENTS), ["id"]),
+    }
+    hot = has_hot_group(timing.events, ["event"])
+    return archive.event_bundle(of_events, hot).unionByName(archive.event_bundle(of_none))
 
 
 part(
@@ -102,34 +148,76 @@ def weather_rows(timing: Timing):
     return timing.crossing.groupBy("event", hour).agg(mean)
 
 
+# Rows of every kind: what orders them, and the fields that name them.
+_KINDS = {
+    "meta": ("slug", "slug", "(SELECT event, 'NLS' || substr(event, 2, 1) AS slug FROM lap GROUP BY event)"),
+    "timing": ("car, lap", "car, lap", "lap"),
+    "live_status": ("id", "id", "(SELECT event, max(t) AS id FROM crossing GROUP BY event)"),
+    "messages": (
+        '"at", id', 'car, "at", id',
+        """(SELECT event, car, t AS "at", event_id AS id FROM crossing WHERE event_type = 'error')""",
+    ),
+    "racenotes": (
+        'car, "at", id', 'car, lap, "at", id',
+        """(SELECT event, car, lap, t AS "at", event_id AS id FROM crossing WHERE event_type = 'purchase')""",
+    ),
+    "fuel_state": ("car", "car", "(SELECT DISTINCT event, car FROM crossing)"),
+    "fuel_notes": (
+        "car, lap, id", "car, lap, id",
+        "(SELECT event, car, lap, event_id AS id FROM crossing WHERE k % 11 = 0)",
+    ),
+    "weather": ('"at"', '"at"', "weather"),
+    "laptimes": ("car, lap", "car, lap", "(SELECT * FROM lap WHERE rt IS NOT NULL)"),
+    "tyre_state": (
+        "car", "car",
+        "(SELECT e.event, CAST(p_partkey AS VARCHAR) AS car FROM part, (VALUES ('E0'), ('E1')) e(event))",
+    ),
+    "band_state": ("id", "id", "(SELECT e.event, r_regionkey AS id FROM region, (VALUES ('E0'), ('E1')) e(event))"),
+}
+_FIELDS = ["slug", "car", "lap", "at", "id"]
+part(
+    "bundled",
+    " UNION ALL ".join(
+        f"SELECT event, '{kind}' AS kind, row_number() OVER (PARTITION BY event ORDER BY {order}) AS n,"
+        f" concat_ws('|', {named}) AS said FROM {rows}"
+        for kind, (order, named, rows) in _KINDS.items()
+    ),
+    "lap", "crossing", "weather",
+)
+
+
 @query(
     "event_bundle",
     sql(
         """
-SELECT event, kind, (n - 1) // 500 AS chunk, count(*) AS items FROM (
-  SELECT event, 'timing' AS kind, row_number() OVER (PARTITION BY event ORDER BY car, lap) AS n FROM lap
-  UNION ALL SELECT event, 'weather', row_number() OVER (PARTITION BY event ORDER BY "at") FROM weather)
-GROUP BY event, kind, (n - 1) // 500""",
-        "lap", "weather",
+SELECT event, kind, (n - 1) // 500 AS chunk, count(*) AS items, md5(string_agg(said, ',' ORDER BY n)) AS ordered
+FROM bundled GROUP BY event, kind, (n - 1) // 500""",
+        "bundled",
     ),
 )
 def _(spark, folder):
-    return _bundle(spark, folder).select("event", "kind", "chunk", F.size("items").alias("items"))
+    def named(item):
+        return F.concat_ws("|", *[F.get_json_object(item, f"$.{field}") for field in _FIELDS])
 
+    return _bundle(spark, folder).select(
+        "event", "kind", "chunk", F.size("items").alias("items"),
+        F.md5(F.array_join(F.transform("items", named), ",")).alias("ordered"),
+    )
 
-@query(
-    "unbundle",
-    sql(
-        "SELECT event, car, klass, lap, s1, s2, s3, s4, s5, v1, tend, rt, inpit, driver, vehicle FROM lap",
-        "lap",
-    ),
-)
+
+@query("event_car_count", sql("SELECT event, count(DISTINCT car) AS car_count FROM lap GROUP BY event", "lap"))
 def _(spark, folder):
-    shape = (
-        "car string, klass string, lap bigint, s array<bigint>, spd array<bigint>, tend bigint,"
-        " rt bigint, inpit boolean, driver string, vehicle string"
+    return archive.unbundle(_bundle(spark, folder), "meta", "slug string, car_count bigint").select(
+        "event", "car_count"
     )
-    laps = archive.unbundle(_bundle(spark, folder), "timing", shape)
+
+
+@query("unbundle", sql(f"SELECT {CLEANED_LAPS}, v1, driver, vehicle FROM live_holes", "live_holes"))
+def _(spark, folder):
+    timing = Timing(spark, folder)
+    hot = has_hot_group(timing.events, ["event"])
+    bundle = archive.event_bundle({"timing": (_laps(timing), ["car", "lap"])}, hot)
+    laps = archive.unbundle_timing(bundle, SECTOR_CAP, LAP_CAP)
     return laps.select(
         "event", "car", "klass", "lap", *[F.col("s")[i].alias(f"s{i + 1}") for i in range(5)],
         F.col("spd")[0].alias("v1"), "tend", "rt", "inpit", "driver", "vehicle",

@@ -5,6 +5,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import has_hot_group, number, scan
+from apexline.functions.session import fresh_dir
 from apexline.operators import results
 from apexline.plans.pits import meetings
 from apexline.plans.registry import part, query, sql
@@ -277,7 +278,11 @@ def _(spark, folder):
     parsed = held.filter("year(event_date) >= 1998 and status = 'classified'").withColumn(
         "status", F.lit("again")
     )
-    return results.replaced_rows(held, parsed)
+    # The table is written, and the parsed events twice over theirs, as in a run after a failed one.
+    path = fresh_dir(spark, "season-results")
+    for rows in (held, parsed, parsed):
+        results.replace_event(rows, path)
+    return spark.read.schema(held.schema).parquet(path)
 
 
 @query(

@@ -202,7 +202,7 @@ def _(spark, folder):
 
 
 # Caps of the clean-up, in the stand-in's slow time.
-_SECTOR_CAP, _LAP_CAP = 60 * HOUR, 200 * HOUR
+SECTOR_CAP, LAP_CAP = 60 * HOUR, 200 * HOUR
 
 
 def cleaned_parts(prefix: str, source: str, sector_cap: int, lap_cap: int) -> str:
@@ -236,12 +236,12 @@ FROM {prefix}_own""",
     return f"event, car, klass, lap, {filled}, s5, tend, rt, inpit"
 
 
-_CLEANED = cleaned_parts("live", "lap", _SECTOR_CAP, _LAP_CAP)
+CLEANED_LAPS = cleaned_parts("live", "lap", SECTOR_CAP, LAP_CAP)
 
 
-@query("live_clean_laps", sql(f"SELECT {_CLEANED} FROM live_holes", "live_holes"))
+@query("live_clean_laps", sql(f"SELECT {CLEANED_LAPS} FROM live_holes", "live_holes"))
 def _(spark, folder):
-    laps = live_laps.clean_live(Timing(spark, folder).lap, _SECTOR_CAP, _LAP_CAP)
+    laps = live_laps.clean_live(Timing(spark, folder).lap, SECTOR_CAP, LAP_CAP)
     return laps.select(
         "event", "car", "klass", "lap", *[F.col("s")[i].alias(f"s{i + 1}") for i in range(5)], "tend", "rt", "inpit"
     )

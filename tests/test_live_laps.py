@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from apexline.operators import ingest, live_laps, timeline
+from apexline.operators import archive, ingest, live_laps, results, timeline
 from apexline.sources import frames as feed
 from apexline.sources.sector_csv import read_sector_csv
 
@@ -77,3 +77,52 @@ def test_pit_laps_are_flagged(spark):
     )
     pits = spark.createDataFrame([("R", "7", 2), ("R", "7", 2)], "event string, car string, lap int")
     assert {(r.lap, r.inpit) for r in live_laps.raw_laps(rows, pits).collect()} == {(1, False), (2, True)}
+
+
+def test_events_are_replaced_whole(spark, tmp_path):
+    def rows(*given):
+        return spark.createDataFrame(given, "event_date string, driver string")
+
+    path = str(tmp_path / "results")
+    results.replace_event(rows(("2026-03-14", "a"), ("2026-03-14", "b"), ("2026-04-11", "c")), path)
+    for _ in range(2):
+        results.replace_event(rows(("2026-03-14", "d"), ("2026-06-20", "e")), path)
+    stored = spark.read.schema("event_date string, driver string").parquet(path)
+    assert sorted((r.event_date, r.driver) for r in stored.collect()) == [("2026-03-14", "d"), ("2026-04-11", "c"), ("2026-06-20", "e")]
+
+
+def test_a_bundle_is_written_over_its_event_and_replays_clean(spark, tmp_path):
+    def laps(rows):
+        shape = (
+            "event string, car string, klass string, lap bigint, s array<bigint>, spd array<bigint>,"
+            " tend bigint, rt bigint, inpit boolean, driver string, vehicle string"
+        )
+        told = [(e, c, "SP9", n, s, [None] * 5, n * 500_000, rt, False, "d", "v") for e, c, n, s, rt in rows]
+        return spark.createDataFrame(told, shape)
+
+    shown = [
+        ("R", "7", 1, [90_000, 90_000, 90_000, 90_000, None], None),
+        # Shows the time of the first lap, which gives its last sector; a sector of its own is missing.
+        ("R", "7", 2, [91_000, None, 91_000, 91_000, 91_000], 455_000),
+        ("R", "7", 3, [2_000_000, None, None, None, None], 460_000),
+        ("S", "7", 1, [1, 2, 3, 4, 5], 15),
+    ]
+    table = laps(shown)
+    tyres = spark.createDataFrame([("7", "soft"), ("11", "hard")], "car string, state string")
+    heads = spark.createDataFrame([("R", "NLS1"), ("S", "NLS2"), ("T", "NLS3")], "event string, slug string")
+    bundle = archive.event_bundle({
+        "meta": (archive.event_meta(heads, table), ["slug"]), "timing": (table, ["car", "lap"]),
+        "tyre_state": (archive.for_each_event(tyres, ["R", "S"]), ["car"]),
+    })
+    path = str(tmp_path / "bundles")
+    archive.write_bundle(bundle, path)
+    archive.write_bundle(bundle.filter("event = 'R'"), path)
+    stored = spark.read.parquet(path)
+    cars = archive.unbundle(stored, "meta", "slug string, car_count bigint").collect()
+    assert {(r.event, r.slug, r.car_count) for r in cars} == {("R", "NLS1", 1), ("S", "NLS2", 1), ("T", "NLS3", 0)}
+    states = archive.unbundle(stored, "tyre_state", "car string, state string").collect()
+    assert [(r.event, r.car) for r in sorted(states)] == [(e, c) for e in "RS" for c in ("11", "7")]
+    clean = {(r.event, r.lap): (r.s, r.rt) for r in archive.unbundle_timing(stored).collect()}
+    assert clean["R", 1] == ([90_000, 90_000, 90_000, 90_000, 95_000], 455_000)
+    assert clean["R", 2] == ([91_000, 96_000, 91_000, 91_000, 91_000], 460_000)
+    assert clean["R", 3][0][0] is None and clean["S", 1] == ([1, 2, 3, 4, 5], 15)
