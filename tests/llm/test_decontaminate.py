@@ -76,3 +76,48 @@ def test_odd_rows(spark):
     assert decontaminate.contaminated(odd(spark), none).count() == 0
     assert decontaminate.contaminated(empty(spark), items).count() == 0
     assert decontaminate.decontaminated(odd(spark), none).count() == odd(spark).count()
+
+
+def test_any_case_is_found(spark):
+    items = given("benchmark", columns="item_id, text")
+    assert len(items) > 2
+    docs = []
+    for item, text in items:
+        for k, shown in enumerate((text, text.upper(), text.lower(), text.title(), text.swapcase())):
+            docs.append((10 * item + k, f"{SENTENCE}\n{shown}\n{SENTENCE}"))
+    docs.append((-1, f"{SENTENCE} {SENTENCE}"))
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+    assert {(10 * i + k, i) for i, _ in items for k in range(5)} <= {(r.doc_id, r.item_id) for r in found.collect()}
+    assert found.filter("doc_id = -1").count() == 0
+
+
+def test_short_items_as_whole_sequences(spark):
+    items = [(1, "Name three rivers"), (2, "Why not?"), (3, "What is 4 times 17"), (4, "...")]
+    docs = [
+        (1, "so NAME Three rivers, please"), (2, "name three other rivers"), (3, "and why not? because"), (4, "WHY NOT"),
+        (5, "tell me: what is 4 times 17 ?"), (6, "what is 4 times 18"), (7, ""), (8, None), (9, "...!"),
+    ]
+    got = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), short=True
+    )
+    assert {(r.doc_id, r.item_id, r.exact) for r in got.collect()} == {(1, 1, True), (4, 2, True), (5, 3, True)}
+
+
+def test_documents_are_judged_by_their_own_text(spark):
+    half = len(ITEM.split()) // 2
+    first, second = " ".join(ITEM.split()[: half - 6]), " ".join(ITEM.split()[half + 6 :])
+    docs = spark.createDataFrame(
+        [(None, ITEM, "a"), (None, SENTENCE, "b"), (1, ITEM, "c"), (1, SENTENCE, "d"), (0, SENTENCE, "e"),
+         (2, first, "f"), (2, second, "g"), (-(1 << 63), SENTENCE, "h"), (-(1 << 63), ITEM, "i"), (3, None, "j")],
+        "doc_id long, text string, key string",
+    )
+    items = spark.createDataFrame([(9, ITEM), (9, "an item of the same id about some other thing than that")], "item_id long, text string")
+    alone = {
+        r.key for d in ("f", "g")
+        for r in decontaminate.decontaminated(docs.filter(f"key = '{d}'"), items).collect()
+    }
+    kept = {r.key for r in decontaminate.decontaminated(docs, items).collect()}
+    assert kept - {"f", "g"} == {"b", "d", "e", "h", "j"} and kept & {"f", "g"} == alone
