@@ -66,42 +66,53 @@ WINDOW_SCHEMA = f"key {KEY}, sequence int, length int, position int, hash long,
 _KEY_TYPE = pa.struct([("given", pa.bool_()), ("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-class Templates:
-    """Token hashes and kinds; remembers what it has seen, within a bound."""
+class _Known(dict):
+    """Numbers of tokens, with their hashes and kinds in arrays."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.size = 0
+        # The token's hash in lower case and as a typed one.
+        self.hashes = np.zeros((2, 4096), np.uint64)
+        self.kinds = np.zeros(4096, np.uint8)
 
-    def _learn(self, token: str) -> tuple[int, int, int]:
-        """The token's hash in lower case, its hash as a typed one, its kind."""
+    def __missing__(self, token: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
         first, low = token[0], token.lower()
-        plain = xxh64_intdigest(low, 0)
+        plain = typed = xxh64_intdigest(low, 0)
+        kind = 0
         if not first.isalpha():
-            found = (plain, xxh64_intdigest("", _NUMBER), _NUMBER)
+            kind, typed = _NUMBER, xxh64_intdigest("", _NUMBER)
         elif first.isupper():
-            found = (plain, xxh64_intdigest("", _NAME), _NAME)
-        else:
-            found = (plain, plain, 0)
+            kind, typed = _NAME, xxh64_intdigest("", _NAME)
         if low in UNITS:
-            found = (*found[:2], found[2] | _MAY_BE_UNIT)
+            kind |= _MAY_BE_UNIT
+        k = self.size
+        if k == len(self.kinds):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+        self.hashes[0, k], self.hashes[1, k], self.kinds[k] = plain, typed, kind
+        self.size += 1
         if len(token) <= LONGEST_KNOWN:
-            self.known[token] = found
-        return found
+            self[token] = k
+        return k
+
+
+class Templates:
+    """Token hashes and kinds; remembers what it has seen, within a bound."""
+
+    def __init__(self):
+        self.known = _Known()
 
     def _read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, their hashes as words and as typed ones, kinds, and where a unit may be."""
+        if self.known.size >= REMEMBERED:
+            self.known = _Known()
+        known = self.known
         tokens = _TOKEN.findall(text)
-        known = self.known.get
-        found = [known(t) for t in tokens]
-        if None in found:
-            found = [self._learn(t) if p is None else p for t, p in zip(tokens, found)]
-        plain, typed, kinds = (np.array(c) for c in zip(*found)) if found else ([], [], [])
-        kinds = np.asarray(kinds, np.uint8)
-        return tokens, np.asarray(plain, np.uint64), np.asarray(typed, np.uint64), kinds & 3, kinds >= _MAY_BE_UNIT
+        numbers = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        kinds = known.kinds[numbers]
+        return tokens, known.hashes[0, numbers], known.hashes[1, numbers], kinds & 3, kinds >= _MAY_BE_UNIT
 
     def sequences(self, text: str) -> tuple[list[str], np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
         """Tokens, their hashes as words, and of the typed and the folded sequence: kinds and hashes."""
