@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from apexline.functions.session import cut, hot_rows
 
+# Finer bins in each pass of a median: 2 ** BIN_BITS for one.
+BIN_BITS = 16
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
 _ALL_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -229,11 +231,62 @@ def medians(
         return known.groupBy(*keys).agg(
             F.round(F.percentile(value, 0.5) * 2).cast("bigint").alias(name)
         )
-    numbered = scan(known, keys, [value, *tie], {"_i": number()}, hot=True)
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    middle = numbered.join(sizes, keys).filter(
-        F.col("_i").between(F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1"))
-    )
-    return middle.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, 2 * F.min(value)).otherwise(F.sum(value)).alias(name)
-    )
+    return _narrowed_medians(known, keys, value, name)
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    """Do two tables agree in these columns, nulls being equal?"""
+    agree = F.lit(True)
+    for c in columns:
+        agree &= left[c].eqNullSafe(right[f"_at_{c}"])
+    return agree
+
+
+def _narrowed_medians(known: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Twice the median by counting: bins of the value narrow until one value is left.
+
+    Equal values of a key are counted once and written down; what follows works on (key, value, count). The bins of
+    a pass are 2 ** BIN_BITS times finer than those of the pass before, so a key has at most 2 ** BIN_BITS of them
+    inside a chosen one, and only a chosen bin's values go on. No key is sorted or numbered. The largest and smallest
+    value must be less than 2 ** 63 apart.
+    """
+    counts = cut(known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    low, high = counts.agg(F.min("_v"), F.max("_v")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    passes = max(1, -(-(high - low).bit_length() // BIN_BITS))
+
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    # The values wanted, by their place from 1; of an even number two in the middle.
+    places = F.array(F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1"))
+    targets = sizes.select(*keys, F.posexplode(places).alias("_which", "_place"))
+    rows = counts.withColumn("_v", F.col("_v") - F.lit(low))
+    for done in range(passes):
+        bin_of = F.shiftright("_v", BIN_BITS * (passes - 1 - done))
+        group = [*keys, "_bin"] if done == 0 else [*keys, "_which", "_bin"]
+        binned = rows.withColumn("_bin", bin_of)
+        heights = binned.groupBy(*group).agg(F.sum("_c").alias("_c"))
+        # The first pass has one histogram for both places, later ones one for each.
+        on = keys if done == 0 else [*keys, "_which"]
+        wanted = targets.withColumnsRenamed({c: f"_at_{c}" for c in on})
+        below = F.sum("_c").over(Window.partitionBy(*on).orderBy("_bin").rowsBetween(*_ALL_BEFORE))
+        upto = heights.withColumn("_below", F.coalesce(below, F.lit(0)))
+        hit = F.col("_place").between(F.col("_below") + 1, F.col("_below") + F.col("_c"))
+        chosen = upto.join(wanted, _same(upto, wanted, on) & hit)
+        which = "_which" if done == 0 else "_at__which"
+        targets = chosen.select(
+            *keys, F.col(which).alias("_which"), (F.col("_place") - F.col("_below")).alias("_place"), "_bin"
+        )
+        if done + 1 < passes:
+            # A later pass starts from these twice.
+            targets = cut(targets)
+            side = targets.drop("_place").withColumnsRenamed({c: f"_at_{c}" for c in [*keys, "_bin"]})
+            side = side.withColumnRenamed("_which", "_next")
+            met = binned.join(side, _same(binned, side, [*keys, "_bin"]) & _goes_on(done))
+            rows = met.select(*keys, F.col("_next").alias("_which"), "_v", "_c")
+            targets = targets.drop("_bin")
+    return targets.groupBy(*keys).agg((F.sum("_bin") + F.lit(2 * low)).cast("bigint").alias(name))
+
+
+def _goes_on(done: int) -> Column:
+    """From the second pass on, values follow the place they were chosen for."""
+    return F.lit(True) if done == 0 else F.col("_which") == F.col("_next")

@@ -191,9 +191,19 @@ def leader_comparison(
         ).alias("x"),
         F.col("car").alias("rival"),
     ).select("event", "klass", "selected", "rival", "x.*")
-    gaps = common_gap(bounds, refs, at).select(
-        "event", "klass", F.col("ref").alias("selected"), F.col("other").alias("rival"), "gap"
-    )
+    # Asked by car and by pair below: only the cars shown and their pairs are looked at from here on.
+    rows = cut(rows)
+    shown = rows.select("event", "car").distinct()
+    pairs = rows.filter("role = 'selected'").select("event", "klass", "selected", "rival").distinct()
+    known = bounds.filter(F.col("t") <= at).join(shown, CAR, "left_semi")
+    mine = known.select(
+        "event", "klass", F.col("car").alias("selected"), "lap", "sector", F.col("t").alias("t_ref")
+    ).join(pairs, ["event", "klass", "selected"])
+    theirs = known.select("event", "klass", F.col("car").alias("rival"), "lap", "sector", "t")
+    gaps = mine.join(theirs, ["event", "klass", "rival", "lap", "sector"]).groupBy(
+        "event", "klass", "selected", "rival"
+    ).agg(F.max_by(F.col("t_ref") - F.col("t"), F.col("lap") * 5 + F.col("sector")).alias("gap"))
+    laps = laps.join(shown, CAR, "left_semi")
     pace = last_and_fastest_lap(laps, at)
     last = (
         laps.filter(F.col("tend") <= at).groupBy(*CAR).agg(F.max_by("s", "lap").alias("s"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import highest, number, scan, total
+from apexline.functions.session import cut
 
 # Sanity limits of a well-formed sheet, session padding, key length.
 FEWEST_CARS = 5
@@ -106,13 +107,17 @@ def driver_stats(results: DataFrame) -> DataFrame:
     def podium(col):
         return F.count_if(F.col(f"on_{col}"))
 
-    # Down to one row per driver and event first, so that events are counted and not made distinct.
-    raced = results.groupBy("driver_key", "event_date").agg(
+    figures = [
         F.max("driver_name").alias("driver_name"),
         F.max("nationality").alias("nationality"),
-        *[F.max(F.col(c).between(1, 3)).alias(f"on_{c}") for c in ("pos_overall", "pos_class")],
+        *[F.max(f"on_{c}").alias(f"on_{c}") for c in ("pos_overall", "pos_class")],
         *[F.min(c).alias(c) for c in ("pos_overall", "pos_class", "best_lap_ms")],
-    )
+    ]
+    # One row per driver, event, car and team, written down: the results are derived once, and what follows
+    # counts rows of it in two levels, so that nothing is made distinct over the results themselves.
+    flagged = results.withColumns({f"on_{c}": F.col(c).between(1, 3) for c in ("pos_overall", "pos_class")})
+    drives = cut(flagged.groupBy("driver_key", "event_date", "car_model", "team").agg(*figures))
+    raced = drives.groupBy("driver_key", "event_date").agg(*figures)
     latest = F.when(F.col("nationality").isNotNull(), F.struct("event_date", "nationality"))
     figures = raced.groupBy("driver_key").agg(
         F.max("driver_name").alias("driver_name"),
@@ -125,7 +130,7 @@ def driver_stats(results: DataFrame) -> DataFrame:
         F.min("best_lap_ms").alias("best_lap_ms"),
     )
     for source, name in (("car_model", "distinct_cars"), ("team", "distinct_teams")):
-        values = results.select("driver_key", source).distinct()
+        values = drives.select("driver_key", source).distinct()
         counts = values.groupBy(F.col("driver_key").alias("_driver")).agg(F.count(source).alias(name))
         figures = figures.join(counts, F.col("driver_key").eqNullSafe(F.col("_driver"))).drop("_driver")
     return figures

@@ -247,30 +247,51 @@ def all_classes(dim: DataFrame, max_laps: DataFrame, averages: DataFrame) -> Dat
     return cars.join(laps, "event").join(means, "event")
 
 
-def dataset_report(
-    laps: DataFrame, repaired: DataFrame | None = None, ticks: int = TICKS_PER_SECOND
-) -> DataFrame:
+def dataset_report(laps: DataFrame, published: str = "s", ticks: int = TICKS_PER_SECOND) -> DataFrame:
     """Per class: cars, laps and means, largest class first; with event totals.
 
-    Means are over the published laps, the time range over the repaired ones.
+    The time range is that of the laps' sectors `s`; means are over the sectors of the column `published`, which
+    holds the times before any repair. One pass: laps are summed per car, cars per class, classes per event.
     """
-    dim = car_dim(laps)
-    sizes = dim.groupBy("event", "klass").agg(F.count(F.lit(1)).alias("cars"))
-    means = class_sector_avg(laps, ticks).groupBy("event", "klass").agg(
-        *[F.max(F.when(F.col("sector") == i, F.col("avg_s"))).alias(f"avg_s{i}")
-          for i in range(1, 6)]
-    )
-    span = legs(laps if repaired is None else repaired).groupBy("event").agg(F.min("t0").alias("t_min"), F.max("t1").alias("t_max"))
+    zero = F.lit(0).cast("bigint")
+    reached = [F.lit(0).cast("bigint")]
+    for i in range(5):
+        reached.append(reached[-1] + F.coalesce(F.col("s")[i], zero))
+    begin = F.col("tend") - F.coalesce(F.nullif(F.col("rt"), zero), reached[5])
+    there = [F.col("s")[i].isNotNull() for i in range(5)]
+    counted = [F.when(~F.col("inpit"), F.col(published)[i]) for i in range(5)]
     full = F.col("pit_in").isNotNull() & F.col("pit_dur").isNotNull()
-    stops = laps.groupBy("event").agg(
+    each = range(1, 6)
+    cars = laps.groupBy("event", "car").agg(
+        F.max_by("klass", "lap").alias("klass"),
+        F.max("lap").alias("lap"),
+        *[F.sum(v.cast("decimal(38,0)")).alias(f"v{i}") for i, v in zip(each, counted)],
+        *[F.count(v).alias(f"n{i}") for i, v in zip(each, counted)],
+        F.min(F.least(*[F.when(there[i], begin + reached[i]) for i in range(5)])).alias("t_min"),
+        F.max(F.greatest(*[F.when(there[i], begin + reached[i + 1]) for i in range(5)])).alias("t_max"),
         F.count_if("inpit").alias("stops"),
         F.count_if(F.col("inpit") & full).alias("full_windows"),
     )
+    classes = cars.groupBy("event", "klass").agg(
+        F.count(F.lit(1)).alias("cars"),
+        F.greatest(F.max("lap"), F.lit(1)).alias("max_lap"),
+        *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "vn" for i in each],
+        F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"),
+        F.sum("stops").alias("stops"), F.sum("full_windows").alias("full_windows"),
+    )
+    # A row per class: the window is over few.
+    event = Window.partitionBy("event")
+    ranges = {name: fn(name).over(event) for name, fn in (("t_min", F.min), ("t_max", F.max))}
+    totals = {name: F.sum(name).over(event) for name in ("stops", "full_windows")}
+    mean = lambda i: F.when(F.col(f"n{i}") > 0, tenths_of_mean(F.col(f"v{i}"), F.col(f"n{i}"), ticks))
     return (
-        sizes.join(class_max_lap(laps), ["event", "klass"])
-        .join(means, ["event", "klass"])
-        .join(span, "event")
-        .join(stops, "event")
+        classes.withColumns(ranges | totals)
+        .filter("t_min is not null")
+        .select(
+            "event", "klass", "cars", "max_lap",
+            *[F.coalesce(mean(i), F.lit(0.0)).alias(f"avg_s{i}") for i in each],
+            "t_min", "t_max", "stops", "full_windows",
+        )
         .withColumn("missing_exit", F.col("stops") - F.col("full_windows"))
         .orderBy("event", F.desc("cars"), "klass")
     )

@@ -192,7 +192,8 @@ def _objects(timing: Timing):
         F.when(other, F.col("lap")).alias("laps"), F.when(~other, F.col("lap")).alias("lapNumber"),
         F.col("klass").alias("class"), sec.alias("sectorTimes"),
         clock_text(end_ms).alias("lastCrossing"), F.expr("rt div 1000 / 1000").alias("lastLap"),
-        F.col("inpit").alias("pit"), F.col("driver").alias("driver"),
+        F.col("inpit").alias("pit"), F.when(other, F.col("k5") % 7 == 1).alias("fastest"),
+        F.when(~other, F.col("k5") % 5 == 1).alias("isFastest"), F.col("driver").alias("driver"),
         F.col("vehicle").alias("vehicle"),
     )
     snapshots = laps.filter("k5 % 2 = 0").select("event_date", F.to_json(first).alias("payload"))
@@ -209,7 +210,8 @@ def _objects(timing: Timing):
         """
 SELECT CAST(DATE '1970-01-01' + CAST(tend // 86400000000 AS INTEGER) AS VARCHAR) AS event_date, car, lap,
   klass, s1 // 1000 AS s1, s2 // 1000 AS s2, s3 // 1000 AS s3, s4 // 1000 AS s4, s5 // 1000 AS s5,
-  (tend // 1000) % 86400000 AS lap_end, rt // 1000 AS lap_time, inpit AND k5 % 2 = 1 AS inpit, driver, vehicle
+  (tend // 1000) % 86400000 AS lap_end, rt // 1000 AS lap_time, inpit AND k5 % 2 = 1 AS inpit,
+  k5 % 2 = 1 AND CASE WHEN k5 % 3 = 0 THEN k5 % 7 = 1 ELSE k5 % 5 = 1 END AS fastest, driver, vehicle
 FROM lap""",
         "lap",
     ),

@@ -161,6 +161,7 @@ def lap_snapshots(objects: DataFrame) -> DataFrame:
         instant_clock_ms(F.coalesce("o.todTs", "o.createdAt")).alias("lap_end"),
         clock_ms(F.col("o.lapTime")).alias("lap_time"),
         F.lit(False).alias("inpit"),
+        F.lit(False).alias("fastest"),
         F.col("o.driverName").alias("driver"),
         F.col("o.car").alias("vehicle"),
     ).filter("car <> '' and lap is not null")
@@ -172,7 +173,8 @@ def entry_lists(objects: DataFrame) -> DataFrame:
         " lapTime lastLap driver driverName vehicle car".split()
     shape = (
         "array<struct<" + ", ".join(f"`{f}`: string" for f in fields)
-        + ", sectors: array<string>, sectorTimes: array<string>, inPit: boolean, pit: boolean>>"
+        + ", sectors: array<string>, sectorTimes: array<string>,"
+        " inPit: boolean, pit: boolean, fastest: boolean, isFastest: boolean>>"
     )
     lists = F.coalesce(
         *[F.from_json(F.get_json_object("payload", f"$.{name}"), shape)
@@ -189,6 +191,7 @@ def entry_lists(objects: DataFrame) -> DataFrame:
         instant_clock_ms(F.coalesce("o.timeOfDay", "o.lastCrossing")).alias("lap_end"),
         clock_ms(F.coalesce("o.lapTime", "o.lastLap")).alias("lap_time"),
         F.coalesce("o.inPit", "o.pit", F.lit(False)).alias("inpit"),
+        F.coalesce("o.fastest", "o.isFastest", F.lit(False)).alias("fastest"),
         F.coalesce("o.driver", "o.driverName").alias("driver"),
         F.coalesce("o.vehicle", "o.car").alias("vehicle"),
     ).filter("car <> '' and lap is not null")
