@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexline.functions.ordered import following, highest, lowest, number, scan
+from apexline.functions.ordered import following, highest, lowest, number, scan, total
 from apexline.functions.session import cut
 from apexline.operators.timeline import TICKS_PER_SECOND
 
@@ -38,6 +38,21 @@ def _progress(at) -> Column:
     return F.col("lap") * 5 + (F.col("sector") - 1) + done / length
 
 
+def _leg() -> Column:
+    """Number of a leg along the race; all progress on it is from here to the next number."""
+    return F.col("lap") * 5 + (F.col("sector") - 1)
+
+
+def legs_in_use(spans: DataFrame, hot: bool | None = None) -> DataFrame:
+    """When any car of the class was on a leg: event, klass, leg, and the times [since, until) that do not touch."""
+    on_leg = spans.select("event", "klass", _leg().alias("leg"), "car", "t0", "until")
+    key, order = ["event", "klass", "leg"], ["t0", "until", "car"]
+    held = scan(on_leg, key, order, {"_held": highest("until", before=True)}, hot)
+    opens = F.when(F.col("t0") <= F.col("_held"), 0).otherwise(1).cast("bigint")
+    counted = scan(held.withColumn("_opens", opens), key, order, {"_run": total("_opens")}, hot)
+    return counted.groupBy(*key, "_run").agg(F.min("t0").alias("since"), F.max("until").alias("until")).drop("_run")
+
+
 def live_position(
     legs: DataFrame, dim: DataFrame, at: int, hot_class: bool | None = None
 ) -> DataFrame:
@@ -69,8 +84,9 @@ def gap_ahead_series(
 ) -> DataFrame:
     """At each boundary of a reference car: the car one place ahead and its gap.
 
-    Legs meet the boundary times through time buckets; of the cars ahead only
-    the nearest survives the partial aggregate.
+    Legs meet the boundary times through time buckets and by their number: a question is met by the cars on
+    its own leg and on the next leg in use, not by the whole class. Of the cars ahead only the nearest
+    survives the partial aggregate.
     """
     dim = bounds.select(*CAR, "klass").distinct()
     spans = (
@@ -94,14 +110,24 @@ def gap_ahead_series(
         .filter("t0 <= at and at < until")
         .select(
             "event", "klass", "ref", "at", "at_lap", "at_sector", "bucket",
-            _progress(F.col("at")).alias("mine"),
+            _progress(F.col("at")).alias("mine"), _leg().alias("leg"),
         )
     )
-    rivals = spans.withColumn("bucket", _buckets("t0", "until", bucket))
     theirs = _progress(F.col("at"))
     before_me = F.struct(F.length("car"), "car") < F.struct(F.length("ref"), "ref")
+    # Two legs are looked at for a question, both named by whole numbers: one's own and the next one on which
+    # anyone is then. The latter comes from when each leg was in use, which does not grow with the class.
+    placed = cut(placed)
+    question = ["event", "klass", "ref", "at", "at_lap", "at_sector", "bucket", "mine", "leg"]
+    used = legs_in_use(spans, hot_car).withColumn("bucket", _buckets("since", "until", bucket))
+    later = placed.join(
+        used.withColumnRenamed("leg", "other"), ["event", "klass", "bucket"]
+    ).filter("other > leg and since <= at and at < until")
+    onward = later.groupBy(*question).agg(F.min("other").alias("near"))
+    near = placed.select(*question, F.col("leg").alias("near")).unionByName(onward)
+    rivals = spans.withColumn("near", _leg()).withColumn("bucket", _buckets("t0", "until", bucket))
     ahead = (
-        placed.join(rivals, ["event", "klass", "bucket"])
+        near.join(rivals, ["event", "klass", "near", "bucket"])
         .filter("car <> ref and t0 <= at and at < until")
         .withColumn("theirs", theirs)
         .filter((F.col("theirs") > F.col("mine")) | ((F.col("theirs") == F.col("mine")) & before_me))

@@ -104,3 +104,15 @@ def test_medians_by_counting(spark):
         assert got == want
     none = o.medians(df.filter("v is null"), ["c"], "v", [], "m", True)
     assert none.count() == 0 and none.columns == ["c", "m"]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_legs_in_use(spark, split):
+    """Times of a leg grow together where they touch or lie inside one another."""
+    from apexline.operators.asof import legs_in_use
+
+    times = {1: [(0, 10), (10, 12), (3, 5), (20, 30)], 2: [(7, 9), (1, 2), (2, 3), (1, 3)]}
+    rows = [("e", "k", f"c{i}", 4, sector, a, b) for sector, t in times.items() for i, (a, b) in enumerate(t)]
+    spans = spark.createDataFrame(rows, "event string, klass string, car string, lap long, sector long, t0 long, until long")
+    got = sorted((r.leg, r.since, r.until) for r in legs_in_use(spans, split).collect())
+    assert got == [(20, 0, 12), (20, 20, 30), (21, 1, 3), (21, 7, 9)]
