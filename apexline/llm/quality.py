@@ -1,8 +1,9 @@
 """Document quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are triples of byte classes (letters, capitals, digits, blanks, marks, ...) and two
-repetition terms: a word equal to the one before, a line seen before. Term weights and a truncated
-singular value decomposition are fitted on a bounded sample of labelled rows; the sample's latent
+A text's terms are its words and pairs of neighbouring words, its grams of GRAM bytes (for scripts that set no blanks
+between words), both hashed to a fixed number of columns, triples of byte classes (letters, capitals, digits,
+blanks, marks, ...) and two repetition terms: a word equal to the one before, a line seen before. Term weights and a
+truncated singular value decomposition are fitted on a bounded sample of labelled rows; the sample's latent
 vectors are broadcast. Every document is compared with all of them by blocked cosine products, and the
 labels of the nearest vote with their similarity.
 
@@ -17,8 +18,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import operator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,48 +27,100 @@ from apexline.llm.common import slices, whole_text
 
 SAMPLE = 2048
 DIMENSIONS = 48
+# Steps of the iteration that finds the axes.
+STEPS = 6
 NEIGHBOURS = 25
 # Similarities to this power weigh the votes.
 SHARPNESS = 8
 BLOCK = 512
 
-_CLASSES = 12
+_CLASSES = 9
+# Columns of hashed words and pairs, and of hashed grams.
+WORD_TERMS = GRAM_TERMS = 2048
+GRAM = 5
+_BLANKS = b" \t\n\r\x0b\x0c"
 
 
 def _classes() -> np.ndarray:
-    table = np.full(256, 9, np.uint16)
+    """Class of a byte; marks are one class but for the full stop and comma of ordinary sentences."""
+    table = np.full(256, 6, np.uint16)
     table[:32] = 4
     table[ord("a") : ord("z") + 1] = 0
     table[ord("A") : ord("Z") + 1] = 1
     table[ord("0") : ord("9") + 1] = 2
-    for k, c in {3: " ", 5: ".", 6: ",", 7: "!", 8: "|"}.items():
-        table[ord(c)] = k
-    table[0x80:0xC0] = 10
-    table[0xC0:] = 11
+    table[ord(" ")] = 3
+    table[[ord("."), ord(",")]] = 5
+    table[0x80:0xC0] = 7
+    table[0xC0:] = 8
     return table
 
 
 _TABLE = _classes()
-TERMS = _CLASSES**3 + 2
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_BLANK = np.isin(np.arange(256), np.frombuffer(_BLANKS, np.uint8))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SHAPES = _CLASSES**3
+_REPEATS = _SHAPES + WORD_TERMS + GRAM_TERMS
+TERMS = _REPEATS + 2
+
+
+def _column(hashes: np.ndarray, columns: int) -> np.ndarray:
+    """Columns by the upper bits of hashes."""
+    return ((hashes * _FACTOR) >> np.uint64(40)).astype(np.int64) % columns
+
+
+def _word_hashes(low: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """One hash a word, in order: its bytes as digits of a number, from the left, modulo 2 ** 64."""
+    inside = ~_BLANK[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    begin, end = edges[::2], edges[1::2]
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    length = end - begin
+    powers = np.cumprod(np.full(int(length.max()), _FACTOR))
+    at = np.flatnonzero(inside)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+    return np.add.reduceat((low[at] + np.uint64(1)) * powers[place], np.cumsum(length) - length)
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    """Share of each term in a text, as its square root."""
+    """Share of each term in a text, as its square root; letters A-Z are lower-cased but for the classes."""
     out = np.zeros(TERMS, np.float32)
     if not text:
         return out
-    c = _TABLE[np.frombuffer(text, np.uint8)]
+    raw = np.frombuffer(text, np.uint8)
+    c, low = _TABLE[raw], _LOWER[raw]
     if len(c) >= 3:
         triples = c[:-2] * (_CLASSES * _CLASSES) + c[1:-1] * _CLASSES + c[2:]
-        out[:-2] = np.bincount(triples, minlength=TERMS - 2) / len(triples)
-    words = text.split()
-    if len(words) > 1:
-        out[-2] = sum(map(operator.eq, words, words[1:])) / len(words)
+        out[:_SHAPES] = np.bincount(triples, minlength=_SHAPES) / len(triples)
+    words = _word_hashes(low, raw)
+    if len(words):
+        pairs = words[:-1] * np.uint64(3) + words[1:]
+        columns = _column(np.concatenate((words, pairs)), WORD_TERMS)
+        out[_SHAPES : _SHAPES + WORD_TERMS] = np.bincount(columns, minlength=WORD_TERMS) / len(columns)
+        out[_REPEATS] = (words[1:] == words[:-1]).sum() / len(words)
+    if len(low) >= GRAM:
+        grams = np.zeros(len(low) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            grams = grams * np.uint64(257) + low[k : len(low) - GRAM + 1 + k]
+        out[_SHAPES + WORD_TERMS : _REPEATS] = np.bincount(_column(grams, GRAM_TERMS), minlength=GRAM_TERMS) / len(grams)
     lines = text.split(b"\n")
-    out[-1] = 1 - len(set(lines)) / len(lines)
+    out[_REPEATS + 1] = 1 - len(set(lines)) / len(lines)
     return np.sqrt(out, out=out)
 
 
+def leading_axes(rows: np.ndarray, count: int) -> np.ndarray:
+    """The rows' leading right singular vectors, one a row, by subspace iteration from a fixed start."""
+    width = min(count + 16, *rows.shape)
+    basis = np.linalg.qr(rows.T @ np.random.default_rng(0).standard_normal((len(rows), width)).astype(np.float32))[0]
+    for _ in range(STEPS):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    # Inside the subspace the decomposition is exact.
+    turned = np.linalg.svd(rows @ basis, full_matrices=False)[2]
+    return (turned @ basis.T)[:count]
+
+
 class Space:
     """Latent vectors of labelled rows, and the way into their space."""
 
@@ -77,8 +128,7 @@ class Space:
         present = (terms > 0).sum(axis=0)
         self.weights = np.log((1 + len(terms)) / (1 + present)).astype(np.float32) + 1
         weighted = terms * self.weights
-        _, _, axes = np.linalg.svd(weighted, full_matrices=False)
-        axes = axes[:DIMENSIONS]
+        axes = leading_axes(weighted, DIMENSIONS)
         # The sign of an axis is free; fix it so that equal samples give equal spaces.
         flip = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
         self.axes = (axes * flip[:, None]).T.astype(np.float32)
@@ -105,6 +155,19 @@ class Space:
         return np.where(total > 0, up / np.where(total > 0, total, 1), self.share)
 
 
+def _packed(terms: np.ndarray) -> bytes:
+    """The terms that are there, with their columns."""
+    at = np.flatnonzero(terms)
+    return at.astype(np.uint16).tobytes() + terms[at].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    count = len(packed) // 6
+    out = np.zeros(TERMS, np.float32)
+    out[np.frombuffer(packed, np.uint16, count)] = np.frombuffer(packed[2 * count :], np.float32)
+    return out
+
+
 def _terms_of(texts: list[bytes]) -> np.ndarray:
     return np.stack([term_counts(t) for t in texts])
 
@@ -131,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample:
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([labels_of[at + k] for k in range(len(ids))], pa.int32()),
-                        pa.array([term_counts(t).tobytes() for t in texts], pa.binary()),
+                        pa.array([_packed(term_counts(t)) for t in texts], pa.binary()),
                     ],
                     ["doc_id", "y", "terms"],
                 )
@@ -145,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample:
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "terms").limit(2 * sample).collect()
     if not found:
         return None
-    terms = np.stack([np.frombuffer(r["terms"], np.float32) for r in found])
+    terms = np.stack([_unpacked(r["terms"]) for r in found])
     return Space(terms, np.array([r["y"] for r in found]), counts.get(1, 0) / sum(counts.values()))
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from cases import SMALL, empty, given, odd, odd_rows
 
 from apexline.llm import quality
@@ -8,6 +9,7 @@ from apexline.llm.common import documents
 from apexline.llm.queries import QUERIES
 
 MIDDLE = "/root/testdata/sf0.01"
+HAN = "".join(chr(0x4E00 + k) for k in range(400))
 
 
 def test_held_out_accuracy(spark):
@@ -21,6 +23,54 @@ def test_held_out_accuracy(spark):
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
 
 
+def test_held_out_accuracy_without_odd_marks(spark):
+    """Bad texts that hold none of the marks that bad texts often hold."""
+    folder = "/root/testdata/sf0.1"
+    got = {r.doc_id: r.predicted for r in QUERIES["op10_quality"](spark, folder).collect()}
+    texts = dict(given("documents", folder, "doc_id, text"))
+    held = [(i, y) for i, y in given("labels", folder, "doc_id, quality") if zlib.crc32(str(i).encode()) % 3 == 1]
+    bad = [got[i] == 0 for i, y in held if y == 0 and not set(texts[i] or "") & set("|!")]
+    assert len(bad) > 50 and np.mean(bad) > 0.95
+    assert np.mean([got[i] for i, y in held if y == 1]) > 0.98
+
+
+@pytest.mark.parametrize("letters, blank", [("abcdefghijklmnop", " "), ("абвгдежзиклмн", " "), (HAN, "")])
+def test_wording_alone_tells_labels_apart(letters, blank):
+    """Texts of one shape, the labels of which differ in their words only; with and without blanks."""
+    draw = np.random.default_rng(3)
+    words = ["".join(draw.choice(list(letters), 6)) for _ in range(300)]
+    rows = []
+    for _ in range(1200):
+        good = draw.random() < 0.7
+        at = np.concatenate((draw.integers(0, 300, 60), draw.integers(0, 150, 40) + (0 if good else 150)))
+        rows.append((blank.join(words[k] for k in draw.permutation(at)), int(good)))
+    terms, labels = quality._terms_of([t.encode() for t, _ in rows]), np.array([y for _, y in rows])
+    space = quality.Space(terms[:800], labels[:800], 0.7)
+    assert np.mean((space.scores(terms[800:]) >= 0.5) == labels[800:]) >= 0.88
+
+
+def test_terms_of_words():
+    def part(text):
+        return quality.term_counts(text.encode())[quality._SHAPES : quality._SHAPES + quality.WORD_TERMS]
+
+    one, two = part("alpha"), part("beta")
+    assert (one > 0).sum() == 1 and (two > 0).sum() == 1 and one.argmax() != two.argmax()
+    assert np.array_equal(part("  Alpha\tbeta\n"), part("alpha beta"))
+    both = part("alpha beta")
+    assert (both > 0).sum() == 3 and both[one.argmax()] > 0 and both[two.argmax()] > 0
+    assert not np.array_equal(part("beta alpha"), both)
+    packed = quality._packed(quality.term_counts(b"a b c"))
+    assert np.array_equal(quality._unpacked(packed), quality.term_counts(b"a b c"))
+
+
+def test_axes_against_the_whole_decomposition():
+    draw = np.random.default_rng(2)
+    rows = (draw.normal(size=(90, 6)) * [9, 7, 5, 4, 3, 2]) @ draw.normal(size=(6, 200)) + draw.normal(size=(90, 200)) * 0.01
+    axes = quality.leading_axes(rows.astype(np.float32), 5)
+    whole = np.linalg.svd(rows, full_matrices=False)[2][:5]
+    assert np.allclose(np.abs((axes * whole).sum(axis=1)), 1, atol=1e-3)
+
+
 def test_votes_against_all_pairs():
     draw = np.random.default_rng(1)
     terms, labels = np.abs(draw.normal(size=(60, quality.TERMS))).astype(np.float32), draw.integers(0, 2, 60)
