@@ -1,4 +1,4 @@
-"""One document of every class of near-duplicates by word shingles; exact similarity on MinHash candidates.
+"""One document of every class of near-duplicates by word shingles; exact similarity on SimHash and MinHash candidates.
 
 Two texts are near-duplicates if their sets of shingles (WORDS words in a row, ASCII letters in lower case) have
 a Jaccard similarity of at least NUM / DEN. A class is what such pairs connect.
@@ -9,6 +9,8 @@ a Jaccard similarity of at least NUM / DEN. A class is what such pairs connect.
 3. Nodes that share a key are candidates, and every candidate is verified on the shingles themselves. Within
    a key not all pairs are verified: PIVOTS times each member is compared with one member of the key that
    is in another class so far; then what still lies in different classes is compared as a whole.
+4. With a `distance`, the operator in `simhash` comes first: each text of a class of fingerprints that many bits apart
+   is verified against the class's smallest; only what lies in different classes then goes through 3.
 
 Defined cases: a text of fewer than WORDS words is one shingle; null and empty texts and texts without a word
 are alike; the row with the smallest doc_id of a class stays, a null doc_id only if the class has no other;
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.session import cut
+from apexline.llm import simhash
 from apexline.llm.common import as_rows, whole_text
 from apexline.llm.graph import components
 
@@ -76,26 +79,39 @@ def _node() -> Column:
     return F.unhex(F.md5(whole_text()))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """node, size (number of shingles) and band keys of every distinct text."""
+def _nodes(docs: DataFrame, prints: bool = False) -> DataFrame:
+    """node, size (number of shingles), band keys and, if asked for, SimHash of every distinct text."""
 
     def signed(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sets = [shingles(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                sets = [shingles(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array([simhash.fingerprint(t) if prints else None for t in texts], pa.int64()),
                     ],
-                    ["node", "size", "keys"],
+                    ["node", "size", "keys", "fingerprint"],
                 )
 
     rows = docs.select(_node().alias("node"), whole_text().alias("text"))
-    rows = rows.mapInArrow(signed, "node binary, size int, keys array<long>")
-    return rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rows = rows.mapInArrow(signed, "node binary, size int, keys array<long>, fingerprint long")
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "fingerprint")])
+
+
+def _linked(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of candidates from the SimHash classes: each node with the smallest of its class."""
+    found = simhash.classes(nodes, distance).withColumnRenamed("fingerprint", "c_print")
+    named = nodes.join(found, F.col("fingerprint") == F.col("c_print"), "left").select(
+        "node", F.coalesce("root", "fingerprint").alias("root")
+    )
+    least = named.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    met = named.join(least.withColumnRenamed("root", "l_root"), F.col("root") == F.col("l_root"))
+    return met.filter("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -127,13 +143,25 @@ def _fits(a: str, b: str) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def _placed(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of the keys with their class by the links so far."""
+    named = components(links).select(F.col("node").alias("n_node"), "root")
+    return cut(met.drop("part").join(named, F.col("node") == F.col("n_node"), "left").select(
+        "key", "node", "size", F.coalesce("root", "node").alias("part")
+    ))
+
+
+def classes(docs: DataFrame, distance: int | None = None) -> DataFrame:
     """node, root of the distinct texts that are similar to another one."""
-    keys = cut(_nodes(docs)).select("node", "size", F.explode("keys").alias("key"))
+    nodes = cut(_nodes(docs, distance is not None))
+    keys = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("s_key"))
     met = keys.join(shared, F.col("key") == F.col("s_key"), "left_semi")
     met = cut(met.select("key", "node", "size", F.col("node").alias("part")))
     links = None
+    if distance is not None:
+        links = cut(_verified(docs, _linked(nodes.select("node", "fingerprint"), distance)))
+        met = _placed(met, links)
     for step in range(PIVOTS + 1):
         # Keys whose members are all in one class are done.
         spread = met.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
@@ -160,18 +188,15 @@ def classes(docs: DataFrame) -> DataFrame:
             pairs = outer.join(every, "key").filter((F.col("part_a") != F.col("part_b")) & once & _fits("size_a", "size_b")).select("a", "b")
         found = _verified(docs, pairs.distinct())
         links = cut(found if links is None else links.union(found))
-        named = components(links).select(F.col("node").alias("n_node"), "root")
-        met = cut(met.drop("part").join(named, F.col("node") == F.col("n_node"), "left").select(
-            "key", "node", "size", F.coalesce("root", "node").alias("part")
-        ))
+        met = _placed(met, links)
     if links is None:
         return keys.select("node", F.col("node").alias("root")).limit(0)
     return components(links)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, distance: int | None = None) -> DataFrame:
     """One row of every class, with all columns."""
-    found = classes(docs)
+    found = classes(docs, distance)
     keys = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("id"))
     counts = cut(keys.groupBy("node", "id").agg(F.count("*").alias("n")))
     named = counts.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(

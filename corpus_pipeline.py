@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all the documents its predec
 
 1. language: documents without a letter, or in which no language reaches MIN_SCORE, go;
 2. lines: lines that repeat an earlier line, exactly or nearly, are taken out of their texts;
-3. near_duplicates: of every class of near-duplicates (five-word shingles of similarity 0.8 or more) the row
-   with the smallest id stays;
+3. near_duplicates: of every class of near-duplicates (five-word shingles of similarity 0.8 or more, verified on
+   the classes of SimHash and what they miss) the row with the smallest id stays;
 4. decontamination: documents that hold a benchmark item go;
 5. packing: what is left becomes token sequences, one row per piece.
 
@@ -24,6 +24,8 @@ from apexline.llm.common import documents
 
 # Below this no language is certain enough; four equally likely ones would have 0.25 each.
 MIN_SCORE = 0.4
+# Differing bits of two linked fingerprints, as in op2_simhash.
+DISTANCE = 4
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.one_of_each(docs)
+    return shingles.one_of_each(docs, DISTANCE)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
