@@ -14,9 +14,11 @@ does not depend on the order in which frames arrive, nor on state that has gone.
 
 from __future__ import annotations
 
+import pickle
+import struct
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ FLUSH = "5 seconds"
 KEEP_MS = 36 * 3_600_000
 # Stop counters of a car are held by the hour.
 SLICE_MS = 3_600_000
+# Groups that the keys of a stream are dealt to. A checkpoint is bound to their number.
+BUCKETS = 256
 
 
 def read_frames(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -51,11 +55,19 @@ def _no_frames(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FRAME_SCHEMA)
 
 
-def _appended(rows: DataFrame, path: str, checkpoint: str, once: bool, made=None) -> StreamingQuery:
-    """Append each batch of a stream, or what `made` makes of it, to its days."""
+def _appended(
+    rows: DataFrame, path: str, checkpoint: str, once: bool, made=None, gathered: bool = True
+) -> StreamingQuery:
+    """Append each batch of a stream, or what `made` makes of it, to its days.
+
+    gathered: rows, which must be narrow, go to their days first, so that a batch writes one file a day and not one for
+    each task and day.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         part = (made(batch) if made else batch).withColumn("batch", F.lit(batch_id))
+        if gathered:
+            part = part.repartition("event_date")
         writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("event_date", "batch").parquet(path)
 
@@ -72,28 +84,47 @@ def _fields(df: DataFrame, *more: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *more])
 
 
-def _keyed(rows: DataFrame, keys: list[str], step, out: str, state: str, expires: bool) -> DataFrame:
+def _keyed(rows: DataFrame, keys: list[str], step, out: str, expires: bool) -> DataFrame:
     """Rows through a step per key: (key, rows as tuples, held tuple or None, now) to (rows out, held).
 
+    Keys are dealt to BUCKETS by a hash; a bucket's state is the packed map of its keys to (last arrival, held), so
+    that what a call of Python costs is paid once a bucket and batch, not once a key. A key that nothing has arrived
+    for in KEEP_MS goes when its bucket is opened next, and a bucket without arrivals as a whole.
     A run that ends once all is read has no state that expires: with it there would always be another batch.
     """
     names = [n.split()[0].strip("`") for n in out.split(", ")]
+    at = [rows.columns.index(k) for k in keys]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
             return
-        given = [row for pdf in frames for row in _tuples(pdf)]
-        found, after = step(key, given, held.get if held.exists else None, held.getCurrentProcessingTimeMs())
-        if after is not None:
-            held.update(after)
+        now = state.getCurrentProcessingTimeMs()
+        held = pickle.loads(zlib.decompress(state.get[0])) if state.exists else {}
+        if expires:
+            held = {k: v for k, v in held.items() if now - v[0] < KEEP_MS}
+        given: dict[tuple, list] = {}
+        for pdf in frames:
+            for row in _tuples(pdf.drop(columns="_bucket")):
+                given.setdefault(tuple(row[k] for k in at), []).append(row)
+        found = []
+        for key, mine in given.items():
+            told, after = step(key, mine, held[key][1] if key in held else None, now)
+            found += told
+            if after is not None:
+                held[key] = (now, after)
+        if held:
+            state.update((zlib.compress(pickle.dumps(held, pickle.HIGHEST_PROTOCOL), 1),))
             if expires:
-                held.setTimeoutDuration(KEEP_MS)
+                state.setTimeoutDuration(KEEP_MS)
+        elif state.exists:
+            state.remove()
         if found:
             yield pd.DataFrame(found, columns=names, dtype=object)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expires else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*keys).applyInPandasWithState(run, out, state, "append", timeout)
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(run, out, "held binary", "append", timeout)
 
 
 def _tuples(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -153,9 +184,7 @@ def timing_changes(rows: DataFrame, expires: bool = True) -> DataFrame:
                 return [(*shown, of, True)], (best[when], of, *mine)
         return [(*best, best[when], False)], (best[when], best[when], *mine)
 
-    kinds = dict(rows.dtypes)
-    state = ", ".join(["last bigint", "of_ bigint", *[f"`{n}` {kinds[n]}" for n in rest]])
-    return _keyed(rows, KEY, step, _fields(rows, "of bigint", "again boolean"), state, expires)
+    return _keyed(rows, KEY, step, _fields(rows, "of bigint", "again boolean"), expires)
 
 
 def stream_timing(
@@ -247,11 +276,14 @@ def counted_rows(frames: DataFrame) -> DataFrame:
     return shown.select("event_date", *KEY, "received", "frame_no", "at", "counter")
 
 
-def _runs(seen: np.ndarray) -> np.ndarray:
+# A counter as it is held: _COUNTED.
+_SEEN = f"<{len(_COUNTED)}q"
+
+
+def _runs(seen: list[tuple]) -> list[tuple]:
     """First and last of each run of equal (lap, counter), in time order."""
-    told = seen[:, [1, 4]]
-    new = np.append(True, (told[1:] != told[:-1]).any(axis=1))
-    return seen[new | np.append(new[1:], True)]
+    new = [True, *((a[1], a[4]) != (b[1], b[4]) for a, b in zip(seen, seen[1:])), True]
+    return [row for row, first, last in zip(seen, new, new[1:]) if first or last]
 
 
 def counter_runs(rows: DataFrame, expires: bool = True) -> DataFrame:
@@ -263,21 +295,19 @@ def counter_runs(rows: DataFrame, expires: bool = True) -> DataFrame:
     """
 
     def step(key, given, held, now):
-        mine = np.array([[r[k] for k in places] for r in given], np.int64).reshape(-1, len(_COUNTED))
+        mine = {tuple(r[k] for k in places) for r in given}
         day = min(r[0] for r in given)
-        if held is None:
-            before, version, generation = mine[:0], 0, now
-        else:
-            before = np.frombuffer(held[0], "<i8").reshape(-1, len(_COUNTED))
-            version, generation, day = held[1], held[2], min(day, held[3])
-        after = np.unique(np.concatenate([before, mine]), axis=0)
+        before, version, generation = [], 0, now
+        if held is not None:
+            before, version, generation = list(struct.iter_unpack(_SEEN, held[0])), held[1], held[2]
+            day = min(day, held[3])
+        after = sorted(mine.union(before))
         if len(after) == len(before):
             return [], (held[0], version, generation, day)
-        runs = _runs(after)
         told = _order(before) != _order(after)
         version += told
-        out = [(day, *key, generation, version, *map(int, r)) for r in runs] if told else []
-        return out, (after.astype("<i8").tobytes(), version, generation, day)
+        out = [(day, *key, generation, version, *r) for r in _runs(after)] if told else []
+        return out, (b"".join([struct.pack(_SEEN, *r) for r in after]), version, generation, day)
 
     sliced = rows.withColumn("slice", F.expr(f"received div {SLICE_MS}")).select(
         "event_date", "event", "car", "slice", *_COUNTED
@@ -286,16 +316,13 @@ def counter_runs(rows: DataFrame, expires: bool = True) -> DataFrame:
     out = "event_date string, event string, car string, slice bigint, generation bigint, version bigint, " + ", ".join(
         f"{c} bigint" for c in _COUNTED
     )
-    state = "seen binary, version bigint, generation bigint, event_date string"
-    return _keyed(sliced, ["event", "car", "slice"], step, out, state, expires)
+    return _keyed(sliced, ["event", "car", "slice"], step, out, expires)
 
 
-def _order(seen: np.ndarray) -> list:
+def _order(seen: list[tuple]) -> list[tuple]:
     """The laps and counters in turn."""
-    if not len(seen):
-        return []
-    told = seen[:, [1, 4]]
-    return told[np.append(True, (told[1:] != told[:-1]).any(axis=1))].tolist()
+    told = [(r[1], r[4]) for r in seen]
+    return [t for t, last in zip(told, [None, *told]) if t != last]
 
 
 def stream_pit_counter(
@@ -337,16 +364,15 @@ def new_messages(messages: DataFrame, expires: bool = True) -> DataFrame:
             return [row[:-1] for row in given], None
         best = min(given, key=lambda r: [r[k] for k in order])
         place = tuple(best[k] for k in order)
-        return ([best[:-1]], place) if held is None or place < tuple(held) else ([], tuple(held))
+        return ([best[:-1]], place) if held is None or place < held else ([], held)
 
-    own = F.coalesce(F.xxhash64("ext_key"), F.xxhash64("received", "frame_no", "at"))
     # Keyless messages stand alone; a hash deals them.
-    told = F.when(F.col("ext_key").isNull(), own).otherwise(F.lit(0))
-    keyed = messages.withColumn("_group", F.concat_ws("|", F.coalesce("ext_key", F.lit("?")), told.cast("string")))
+    own = F.when(F.col("ext_key").isNull(), F.xxhash64("received", "frame_no", "at"))
+    keyed = messages.withColumn("_group", own)
     instants = [f.name for f in messages.schema.fields if f.dataType.typeName() == "timestamp"]
     as_numbers = keyed.withColumns({c: F.unix_micros(c) for c in instants})
     plain = as_numbers.drop("_group")
-    found = _keyed(as_numbers, ["_group"], step, _fields(plain), "received bigint, frame_no bigint, at bigint", expires)
+    found = _keyed(as_numbers, ["ext_key", "_group"], step, _fields(plain), expires)
     return found.withColumns({c: F.timestamp_micros(c) for c in instants})
 
 
@@ -378,7 +404,7 @@ def stream_frame_archive(frames: DataFrame, path: str, checkpoint: str, once: bo
     What a late or backfilled frame is worth shows only beside its neighbours, which may arrive after it: a day
     is thinned out by `settle_frames` once it is over, and until then on reading.
     """
-    return _appended(archived_frames(frames), path, checkpoint, once)
+    return _appended(archived_frames(frames), path, checkpoint, once, gathered=False)
 
 
 def _thinned(frames: DataFrame, min_ms: int) -> DataFrame:
