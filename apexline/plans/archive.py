@@ -1,5 +1,8 @@
 """Event archive queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexline.functions.ordered import has_hot_group
@@ -85,8 +88,8 @@ def _laps(timing: Timing):
     )
 
 
-def _bundle(spark, folder):
-    """Every kind of an event's archive, each in its order."""
+def _bundle(spark, folder, only=None):
+    """Every kind of an event's archive, each in its order, or the kinds named."""
     timing = Timing(spark, folder)
     laps, crossing = _laps(timing), timing.crossing
     heads = laps.groupBy("event").agg(F.max("tend").alias("archived_at")).select(
@@ -107,10 +110,13 @@ def _bundle(spark, folder):
     )
     fuel = crossing.groupBy("event", "car").agg(F.max("counter").alias("state"))
     times = timing.lap.filter("rt is not null").select("event", "car", "driver", "lap", "rt")
-    of_events = {
+    # One row an event.
+    of_heads = {
         "meta": (archive.event_meta(heads, laps), ["slug"]),
-        "timing": (laps, ["car", "lap"]),
         "live_status": (status, ["id"]),
+    }
+    of_events = {
+        "timing": (laps, ["car", "lap"]),
         "messages": (messages, ["at", "id"]),
         "racenotes": (notes, ["car", "at", "id"]),
         "fuel_state": (fuel, ["car"]),
@@ -128,8 +134,14 @@ def _bundle(spark, folder):
         "tyre_state": (archive.for_each_event(tyres, EVENTS), ["car"]),
         "band_state": (archive.for_each_event(bands, EVENTS), ["id"]),
     }
-    hot = has_hot_group(timing.events, ["event"])
-    return archive.event_bundle(of_events, hot).unionByName(archive.event_bundle(of_none))
+    asked = [
+        {kind: rows for kind, rows in kinds.items() if only is None or kind in only}
+        for kinds in (of_heads, of_events, of_none)
+    ]
+    # Splitting a hot event writes each kind down at once, so it is done for the kinds asked for.
+    hots = (lambda: False, lambda: has_hot_group(timing.events, ["event"]), lambda: None)
+    parts = [archive.event_bundle(kinds, hot()) for kinds, hot in zip(asked, hots) if kinds]
+    return reduce(DataFrame.unionByName, parts)
 
 
 part(
@@ -207,7 +219,7 @@ def _(spark, folder):
 
 @query("event_car_count", sql("SELECT event, count(DISTINCT car) AS car_count FROM lap GROUP BY event", "lap"))
 def _(spark, folder):
-    return archive.unbundle(_bundle(spark, folder), "meta", "slug string, car_count bigint").select(
+    return archive.unbundle(_bundle(spark, folder, ["meta"]), "meta", "slug string, car_count bigint").select(
         "event", "car_count"
     )
 
