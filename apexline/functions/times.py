@@ -33,15 +33,13 @@ def instant_clock_ms(value: Column) -> Column:
 
 def lap_text_ms(text: Column) -> Column:
     """Milliseconds of a '[h:]m:ss.mmm' found in text; null when absent or zero."""
-    pattern = r"(?:(\d+):)?(\d{1,2}):(\d{2})\.(\d{3})"
-
-    def part(i):
-        return F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("0")).cast(
-            "bigint"
-        )
-
-    ms = ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)
-    return F.when(ms > 0, ms)
+    found = F.regexp_extract(text, r"(?:\d+:)?\d{1,2}:\d{2}\.\d{3}", 0)
+    # Hours, minutes and seconds in sixties, then the thousandths: the only three digits that come after others.
+    ms = F.aggregate(
+        F.split(F.translate(found, ".", ":"), ":"), F.lit(0).cast("bigint"),
+        lambda sum, part: sum * F.when(F.length(part) == 3, 1000).otherwise(60) + F.concat(F.lit("0"), part).cast("bigint"),
+    )
+    return F.nullif(ms, F.lit(0).cast("bigint"))
 
 
 def berlin_instant(day: Column, clock: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from apexline.functions.session import cut
 from apexline.operators import results
 from apexline.plans.pits import meetings
 from apexline.plans.registry import part, query, sql
@@ -29,48 +30,42 @@ def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _driver(k):
+    """A driver as printed, from the key."""
+    letters = F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    licence = F.concat(
+        _pick(("DE-", "NL-", "", "XX-"), k % 4), 1000 + k % 9000, F.when(k % 7 == 0, " &5").otherwise("")
+    )
+    return F.struct(
+        k.alias("o_custkey"),
+        F.concat(F.initcap(F.concat(F.lit("mo"), letters)), F.lit(" "), _pick(FIRST_NAMES, k % 4)).alias("name"),
+        F.when((k % 13 == 0) & (k % 4 != 2), "").otherwise(_pick(PLACES, k % 6)).alias("place"),
+        licence.alias("licence"),
+        F.when(k % 3 == 0, " PRO").otherwise("").alias("rated"),
+    )
+
+
 class Sheets(Season):
     @cached_property
-    def entries(self):
-        """One row per event, car and driver, with everything printed about them."""
-        k = F.col("o_custkey")
-        letters = F.translate(k.cast("string"), "0123456789", "abcdefghij")
-        licence = F.concat(
-            _pick(("DE-", "NL-", "", "XX-"), k % 4), 1000 + k % 9000,
-            F.when(k % 7 == 0, " &5").otherwise(""),
-        )
+    def cars_listed(self):
+        """One row per event and car, with everything printed about it and its drivers, at most three, in order of key."""
+        # Keys are gathered, and what is printed made from them, so that no texts are sorted or sent.
+        keys = self.drives.groupBy("event_date", "car_no").agg(F.array_sort(F.collect_set("o_custkey")).alias("keys"))
         day = F.unix_date(F.to_date("event_date")).cast("bigint")
         c = F.col("car_no")
-        return (
-            self.drives.select("event_date", "car_no", "o_custkey").distinct()
-            .join(self.cars.select("event_date", "car_no", "status"), ["event_date", "car_no"])
-            .select(
-                F.concat_ws("/", "event_date", F.expr("car_no div 50")).alias("event"),
-                (c % 50 + 1).alias("num"), "car_no", "o_custkey", "status", day.alias("day"),
-                F.concat_ws(
-                    " ", F.concat(F.lit("SP"), c % 9),
-                    F.when(c % 3 == 0, "PRO/AM").when(c % 3 == 1, "AM"),
-                ).alias("class_full"),
-                _pick(MODELS, c % 5).alias("model"),
-                (10 + c % 15).alias("laps"),
-                (480_000 + (c * 7919 + day) % 60_000).alias("car_ms"),
-                F.concat(
-                    F.initcap(F.concat(F.lit("mo"), letters)), F.lit(" "), _pick(FIRST_NAMES, k % 4)
-                ).alias("name"),
-                F.when((k % 13 == 0) & (k % 4 != 2), "").otherwise(_pick(PLACES, k % 6)).alias("place"),
-                licence.alias("licence"),
-                F.when(k % 3 == 0, " PRO").otherwise("").alias("rated"),
-            )
+        return keys.join(self.cars.select("event_date", "car_no", "status"), ["event_date", "car_no"]).select(
+            F.concat_ws("/", "event_date", F.expr("car_no div 50")).alias("event"),
+            (c % 50 + 1).alias("num"), "car_no", "status", day.alias("day"),
+            F.concat_ws(
+                " ", F.concat(F.lit("SP"), c % 9),
+                F.when(c % 3 == 0, "PRO/AM").when(c % 3 == 1, "AM"),
+            ).alias("class_full"),
+            _pick(MODELS, c % 5).alias("model"),
+            (10 + c % 15).alias("laps"),
+            (480_000 + (c * 7919 + day) % 60_000).alias("car_ms"),
+            F.transform("keys", _driver).alias("d"),
         )
 
-    @cached_property
-    def cars_listed(self):
-        """Cars with their drivers, at most three, in order of key."""
-        driver = F.struct("o_custkey", "name", "place", "licence", "rated")
-        return self.entries.groupBy(
-            "event", "num", "car_no", "status", "day", "class_full", "model", "laps", "car_ms"
-        ).agg(F.array_sort(F.collect_list(driver)).alias("d"))
-
     def _corpus(self, line, header="", footer="", gap=" "):
         """A text per event: its at most fifty lines by number."""
         rows = self.cars_listed.select("event", F.struct("num", line.alias("line")).alias("x"))
@@ -246,6 +241,8 @@ LEFT JOIN (SELECT event, car_no, min(ms) AS ms FROM chart_lap GROUP BY ALL) c
 )
 def _(spark, folder):
     corpus = Sheets(spark, folder)
+    # Sheets and charts are made from the same cars.
+    corpus.cars_listed = cut(corpus.cars_listed)
     drivers = sheets.explode_drivers(sheets.parse_result_sheets(corpus.sheets)).select(
         F.col("event").alias("event_date"), "car_no", F.col("driver_no").alias("at"),
         "first_lap_ms",

@@ -13,7 +13,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexline.functions.ordered import number, previous, scan
+from apexline.functions.ordered import number, scan
 from apexline.functions.texts import plain_blanks
 from apexline.functions.times import lap_text_ms
 
@@ -82,6 +82,17 @@ CHART_LAP = r"(\d{1,2}:\d{2}\.\d{3}) (?:\d+|pit)\((\d+)\)"
 TEAM = r"B:([^,]+?)\s+(?:[A-Z0-9][^\s]*\d[^\s]*|\d[^\s]*)\s"
 DRIVER_ZONE = r"""([A-ZÀ-Þ'"][^,]{1,45}, [A-ZÀ-Þ"'][\s\S]*)"""
 
+# Tokens on single blanks. What stands between two commas: a place, a licence from its first token on, ratings;
+# the next driver's name follows.
+_ENDS = r"(?: |\z)"
+_LICENCE = r"\S*\d|[A-Z]{1,3}-"
+_RATING = "|".join("[.,]*" + "".join(letter + "[.,]*" for letter in name) for name in RATINGS)
+_DRIVEN = (
+    rf"^((?:(?!{_LICENCE})\S++{_ENDS})*+)((?:(?={_LICENCE}|\*)\S++{_ENDS})*+)(?:(?:{_RATING}){_ENDS})*+"
+)
+# A name up to its last token that no name contains.
+_FOREIGN = rf"""(?s)^(?:.* )?(?:\S*[0-9"&:]\S*|{_RATING}|[.,]*[SB][.,]*){_ENDS}"""
+
 _BLOCK, _FIELD, _REST = "\u0001", "\u0002", "\u0003"
 
 
@@ -156,40 +167,14 @@ def _folding() -> tuple[str, str]:
 def fold_key(name: Column) -> Column:
     """Lower case, no diacritics, no quotes, dots, commas or stars, single blanks."""
     accented, plain = _folding()
-    bare = F.translate(F.lower(name), accented, plain)
+    lower = F.lower(name)
+    bare = F.when(lower.rlike("[^\\x00-\\x7f]"), F.translate(lower, accented, plain)).otherwise(lower)
     return _squeezed(F.regexp_replace(bare, r"""[̀-ͯ'".,*]""", ""))
 
 
-def _is_licence(token: Column) -> Column:
-    return token.rlike(r"\d|^[A-Z]{1,3}-")
-
-
-def _is_rating(token: Column) -> Column:
-    return F.regexp_replace(token, "[.,]", "").isin(*RATINGS)
-
-
-def _first(tokens: Column, start: Column, holds) -> Column:
-    """0-based place of the first token from `start` on that holds, else the size."""
-    tail = F.slice(tokens, start + 1, F.greatest(F.size(tokens) - start, F.lit(0)))
-    at = F.array_position(F.transform(tail, lambda t: F.coalesce(holds(t), F.lit(False))), True)
-    return F.when(at > 0, start + at.cast("int") - 1).otherwise(F.size(tokens))
-
-
-def _joined(tokens: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(tokens, start + 1, F.greatest(end - start, F.lit(0))), " ")
-
-
 def _clean_name(name: Column) -> Column:
-    """The trailing tokens of a name after the last one no name contains."""
-    tokens = F.split(F.trim(name), r"\s+")
-
-    def foreign(t):
-        bare = F.regexp_replace(t, "[.,]", "")
-        return t.rlike('[0-9"&:]') | _is_rating(t) | bare.isin("S", "B")
-
-    last = F.array_position(F.transform(F.reverse(tokens), foreign), True).cast("int")
-    kept = F.when(last > 0, F.slice(tokens, F.size(tokens) - last + 2, last - 1)).otherwise(tokens)
-    text = F.regexp_replace(F.array_join(kept, " "), r"""^['"]|['"]$""", "")
+    """The trailing tokens of a name, on single blanks, after the last one no name contains."""
+    text = F.regexp_replace(F.regexp_replace(name, _FOREIGN, ""), r"""^['"]|['"]$""", "")
     return F.trim(F.regexp_replace(text, r"\*+$", ""))
 
 
@@ -204,38 +189,28 @@ def explode_drivers(cars: DataFrame) -> DataFrame:
     The zone reads "Name, Place Licence [Rating] Name, Place Licence ...": each
     piece after a comma holds a place, a licence and the next driver's name.
     """
-    zero = F.lit(0)
-    pieces = cars.filter("zone is not null").withColumn("_p", F.split("zone", ", ")).select(
-        *cars.columns, F.col("_p")[0].alias("_first"), F.posexplode("_p").alias("i", "piece")
-    ).filter("i > 0")
-    # A licence runs from its first token on; ratings after it belong to no name.
-    tokens = pieces.withColumn("_t", F.split(F.trim("piece"), r"\s+"))
-    tokens = tokens.withColumn("_s", _first(F.col("_t"), zero, _is_licence))
-    tokens = tokens.withColumn(
-        "_e", _first(F.col("_t"), F.col("_s"), lambda t: ~(_is_licence(t) | t.startswith("*")))
+    pieces = cars.filter("zone is not null").withColumn("_p", F.transform(F.split("zone", ", "), _squeezed))
+    # A car's drivers come from one row, so its names are told and numbered there.
+    after = lambda p, i: F.when(i == 0, F.get("_p", F.lit(0))).otherwise(F.regexp_replace(F.get("_p", i), _DRIVEN, ""))
+    people = F.transform(
+        F.slice("_p", 2, F.size("_p") - 1), lambda p, i: F.struct(_clean_name(after(p, i)).alias("name"), p.alias("piece"))
     )
-    tokens = tokens.withColumn("_a", _first(F.col("_t"), F.col("_e"), lambda t: ~_is_rating(t)))
-    staged = tokens.select(
-        *cars.columns, "i", "_first",
-        _joined(F.col("_t"), zero, F.col("_s")).alias("_place"),
-        _joined(F.col("_t"), F.col("_s"), F.col("_e")).alias("_licence"),
-        _joined(F.col("_t"), F.col("_a"), F.size("_t")).alias("_next"),
+    numbered = pieces.select(*cars.columns, F.posexplode(F.filter(people, lambda x: x["name"] != "")).alias("_i", "_x"))
+    tidy = numbered.select(
+        *cars.columns, (F.col("_i") + 1).cast("bigint").alias("driver_no"), F.col("_x.name").alias("driver_name"),
+        F.trim(F.regexp_extract("_x.piece", _DRIVEN, 1)).alias("_place"),
+        F.trim(F.regexp_extract("_x.piece", _DRIVEN, 2)).alias("_licence"),
     )
-    # A car's drivers come from one block of one text.
-    named = scan(staged, ["event", "at"], ["i"], {"_from": previous("_next")}, hot=False)
-    named = named.withColumn("_name", F.when(F.col("i") == 1, F.col("_first")).otherwise(F.col("_from")))
     place = F.regexp_replace("_place", r"(?i),?\s*\*+DSQ$", "")
     place = F.trim(F.regexp_replace(place, ",$", ""))
     licence = F.nullif(
         F.trim(F.regexp_replace("_licence", r"(?i)\*+DSQ", "")), F.lit("")
     )
-    tidy = named.select(
-        *cars.columns, "i", _clean_name(F.col("_name")).alias("driver_name"),
-        place.alias("place"), licence.alias("license_no"),
-    ).filter("driver_name <> ''")
+    tidy = tidy.select(
+        *cars.columns, "driver_no", "driver_name", place.alias("place"), licence.alias("license_no")
+    )
     prefix = F.regexp_extract(F.coalesce("license_no", F.lit("")), "^([A-Z]{2})-", 1)
-    numbered = scan(tidy, ["event", "at"], ["i"], {"driver_no": number()}, hot=False)
-    return numbered.select(
+    return tidy.select(
         *[c for c in cars.columns if c != "zone"], "driver_no", "driver_name",
         fold_key(F.col("driver_name")).alias("driver_key"), "place", "license_no",
         F.coalesce(
@@ -256,15 +231,11 @@ def driver_best_laps(charts: DataFrame) -> DataFrame:
     laps = parts.filter("at > 0").select(
         "event",
         F.split_part("block", F.lit(_REST), F.lit(1)).cast("bigint").alias("car_no"),
-        F.explode(
-            F.arrays_zip(
-                F.regexp_extract_all(body, F.lit(CHART_LAP), F.lit(1)).alias("time"),
-                F.regexp_extract_all(body, F.lit(CHART_LAP), F.lit(2)).alias("no"),
-            )
-        ).alias("x"),
+        F.explode(F.regexp_extract_all(body, F.lit(CHART_LAP), F.lit(0))).alias("x"),
     )
-    return laps.groupBy("event", "car_no", F.col("x.no").cast("bigint").alias("driver_no")).agg(
-        F.min(lap_text_ms(F.col("x.time"))).alias("ms")
+    driver = F.rtrim(F.split_part("x", F.lit("("), F.lit(2)), F.lit(")")).cast("bigint")
+    return laps.groupBy("event", "car_no", driver.alias("driver_no")).agg(
+        F.min(lap_text_ms(F.split_part("x", F.lit(" "), F.lit(1)))).alias("ms")
     )
 
 
