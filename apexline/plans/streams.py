@@ -14,6 +14,8 @@ from apexline.streaming import live
 HALF_DAY = 43_200_000
 GAP = 3_600_000
 FILES = 5
+# Rows of a file of the stream, about, from the size on where a batch is more than one file.
+FILE_ROWS = 50_000
 
 part(
     "streamed",
@@ -26,21 +28,24 @@ SELECT event_id AS frame_no, 'E' || (user_id % 2) AS event, CAST(user_id AS VARC
 )
 
 
-def _arriving(given, key):
-    """Rows as a stream of files, dealt by a hash of their key, one file per batch."""
+def _arriving(given, key, rows):
+    """Rows, about so many, as a stream of files, dealt by a hash of their key; a fifth of the files per batch."""
     spark = given.sparkSession
     path = fresh_dir(spark, "stream-events")
-    file = F.pmod(F.xxhash64(key), F.lit(FILES)).cast("int")
-    given.repartition(FILES, file).write.parquet(path)
-    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # A file is read by one task, which makes whole frames of it: larger tables make more files, not larger ones.
+    each = 1 + rows // (FILES * FILE_ROWS)
+    file = F.pmod(F.xxhash64(key), F.lit(FILES * each)).cast("int")
+    given.repartition(FILES * each, file).write.parquet(path)
+    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def frame_stream(spark, folder):
-    """One frame per event: a car object, or a message for errors; one file per batch.
+    """One frame per event: a car object, or a message for errors.
 
     Events are dealt into files by a hash, so every batch reaches back behind the ones before it.
     """
-    events = _arriving(table(spark, folder, "events"), "event_id")
+    given = table(spark, folder, "events")
+    events = _arriving(given, "event_id", given.count())
     ms = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
     rows = events.select(
         F.concat(F.lit("E"), F.col("user_id") % 2).alias("event"),
@@ -255,7 +260,8 @@ FROM wire_chart c JOIN wire_lap l USING (event, car, lap)""",
     ),
 )
 def _(spark, folder):
-    frames = _arriving(race_frames(Timing(spark, folder)), "frame_no")
+    rows = table(spark, folder, "events").count()
+    frames = _arriving(race_frames(Timing(spark, folder)), "frame_no", rows)
     rows = _run(live.stream_timing, spark, folder, "live-timing", frames)
     pits = _run(live.stream_pit_counter, spark, folder, "live-pits", frames)
     laps = cut(live_laps.clean_live(live_laps.raw_laps(live.read_timing(spark, rows), live.read_pit_laps(spark, pits))))
