@@ -6,12 +6,16 @@ set with a Jaccard similarity of at least 0.8, whether or not that earlier line
 1. Words are counted over the whole corpus in 2 ** TABLE_BITS buckets of their hash. A word's rarity is
    the class of its bucket's count, which any row can look up without a join. Lines become arrays of
    numbers, rarest word first.
-2. Equal lines are one class, standing where its first line stands. Copies end here.
-3. Prefixes meet on a word, under the length and the positional filter and a bitmap filter: the bits in
-   which two sets' parities differ bound from below in how many words they differ.
-4. Candidates are verified on the words themselves. Each line is first verified against one earlier line,
-   the first of those with the same neighbouring rare words; only lines that this does not remove meet the
-   others, the likeliest first. So a large group of alike lines is verified by about one pair a line.
+2. Equal lines are one class, standing where its first line stands. Copies end here. A class has a number that
+   keeps this order.
+3. Classes meet on two words that are neighbours in their order, under the length filter. Of two similar sets,
+   with u and v words of their own, the first pairs 2u + v + 1 and 2v + u + 1 hold a pair of both: a word of its own
+   breaks two pairs of its set and one of the other's. Two neighbouring rare words are shared by few sets but similar
+   ones, however large the corpus. Pairs that one class alone has end here.
+4. Of the pairs of classes that meet, those stay whose rarest words have so much in common that they may be similar,
+   and are verified on the words themselves. Each class is first verified against one earlier class, the first of
+   those with the same pairs; only classes that this does not remove meet the others, the likeliest first. So a large
+   group of alike lines is verified by about one pair a line.
 
 Defined cases: null text is empty; lines without a word are always kept; words are separated by white
 space and compared as they are; rows with the same doc_id and text are taken as the same document, so
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,9 +40,10 @@ NUM, DEN = 4, 5
 TABLE_BITS = 17
 # Numbers of needed lines are sent to every executor up to this many, and shuffled beyond.
 SENT_LINES = 2_000_000
-# Pairs of neighbouring words that the first comparison goes by.
-STAR_WORDS = 2
-SPACES = r"\s+"
+# Classes are numbered by arithmetic on id and line number below this, and by sorting beyond.
+MOST_NUMBERS = 1 << 62
+# White space but the blank; lines have no line breaks.
+OTHER_SPACE = "[\t\r\x0b\f]"
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +61,15 @@ def probe_length(size: Column) -> Column:
     return size - _up(size, NUM, DEN) + 1
 
 
+def pair_count(size: Column) -> Column:
+    """As many pairs of neighbours, from the rarest word on, hold one that a similar set has too.
+
+    Sets of a and b words with c in common, 9 c >= 4 (a + b), have u = a - c and v = b - c of their own: 2u + v is
+    (2a - b) / 3 at most, for the least b, and probe_length is a - b + 1 for that b.
+    """
+    return ((size + probe_length(size) - 1) / F.lit(3)).cast("int") + 1
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, from here on the key of (doc_id, text), and text; what is keyed stays as it is."""
     if isinstance(docs.schema["doc_id"].dataType, StructType):
@@ -73,179 +87,154 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """Words of a line; the blank is by far the most common separator, and cheap to split on."""
-    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | line.rlike("[\x0b\f]")
-    return F.when(other, F.split(line, SPACES)).otherwise(F.split(line, " "))
+    """Words of a line, with empty ones; the blank is by far the most common separator, and cheap to split on."""
+    blank = F.when(line.rlike(OTHER_SPACE), F.regexp_replace(line, OTHER_SPACE, " ")).otherwise(line)
+    return F.split(blank, " ")
 
 
 def rarity_classes(docs: DataFrame) -> str:
-    """A JSON list: for each bucket of word hashes the class of its count, as the top byte of a long."""
-    words = _exploded(docs).select(F.explode(_words(F.col("line"))).alias("word"))
+    """A JSON list: for each bucket of word hashes the class of its count, from 0 to 127."""
+    blank = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    # Other white space is rare, and the order of words needs no exact counts.
+    words = _keyed(docs).select(F.explode(F.split(blank, " ")).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int")
     counts = words.groupBy(bucket.alias("bucket")).count().toArrow()
     classes = ["0"] * (1 << TABLE_BITS)
     for at, n in zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()):
-        classes[at] = str(min(127, int(4 * math.log2(1 + n))) << 56)
+        classes[at] = str(min(127, int(4 * math.log2(1 + n))))
     return f"[{','.join(classes)}]"
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Each line's place and name, its word set's size and parity bits, and the numbers of its rarest words."""
-    classes = F.from_json(F.lit(rarity_classes(docs)), "array<bigint>")
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))
+    """Each line's place and name, its word set's size and the numbers of its rarest words."""
+    classes = F.from_json(F.lit(rarity_classes(docs)), "array<tinyint>")
     low = F.lit((1 << TABLE_BITS) - 1).cast("long")
-    ordered = F.sort_array(
-        F.transform(
-            hashes,
-            lambda h: F.get(classes, h.bitwiseAND(low).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8)),
-        )
-    )
-    rows = _exploded(docs).select("doc_id", "line_no", "name_a", "name_b", ordered.alias("words"))
+
+    def number(h: Column) -> Column:
+        """The class in the top byte; never null, so that arrays of numbers are plain."""
+        rarity = F.coalesce(F.get(classes, h.bitwiseAND(low).cast("int")), F.lit(0).cast("byte")).cast("long")
+        return F.call_function("shiftleft", rarity, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    rows = _exploded(docs).withColumn("hashes", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))))
+    # Few lines have an empty word, and taking it out is dear.
+    none = F.xxhash64(F.lit(""))
+    hashes = F.when(F.array_contains("hashes", none), F.array_remove("hashes", none)).otherwise(F.col("hashes"))
+    rows = rows.select("doc_id", "line_no", "name_a", "name_b", F.sort_array(F.transform(hashes, number)).alias("words"))
     size = F.size("words")
-    rarest = F.transform(F.slice("words", 1, probe_length(size)), lambda w: F.hash(w))
-    # Sets of fewer than NUM words have no partner but their equals: one number stands for the set.
+    rarest = F.transform(F.slice("words", 1, pair_count(size) + 1), lambda w: F.hash(w))
+    # Sets of fewer than NUM words have no partner but their equals: one pair stands for the set.
     return rows.select(
         "doc_id",
         "line_no",
         "name_a",
         "name_b",
         size.alias("size"),
-        _parity(F.col("words")).alias("parity"),
-        F.when(size >= NUM, rarest).otherwise(F.array(F.hash("words"))).alias("prefix"),
+        F.when(size >= NUM, rarest).otherwise(F.array(F.hash("words"), size)).alias("prefix"),
     )
 
 
-def _parity(words: Column) -> Column:
-    """64 bits; each word flips one. Where two sets' bits differ, some word is in one of them only."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
-
-
 def _similar(common: Column, a: Column, b: Column) -> Column:
     return common * (NUM + DEN) >= (a + b) * NUM
 
 
-def _before(a: str, b: str) -> Column:
-    """Line a stands before line b."""
-    return F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
-
-
-def _same_place(doc: str, line: str) -> Column:
-    return (F.col("doc_id") == F.col(doc)) & (F.col("line_no") == F.col(line))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (later, earlier), the later lines of those that are similar, once each."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array(*[
-        F.struct(F.col(f"{n}_doc").alias("doc"), F.col(f"{n}_line").alias("line")) for n in ("later", "earlier")
-    ])).alias("e"))
-    needed = ends.select(F.col("e.doc").alias("need_doc"), F.col("e.line").alias("need_line")).distinct()
-    # As many numbers as a document has lines, at most.
-    needed = cut(needed.groupBy("need_doc").agg(F.collect_list("need_line").alias("need_lines")))
-    few = needed.select(F.coalesce(F.sum(F.size("need_lines") + 2), F.lit(0)).alias("n")).first()["n"] <= SENT_LINES
-    # The common case sends the line numbers to the scan, so that only needed lines are shuffled.
-    wanted = F.broadcast(needed) if few else needed
-    rows = _keyed(docs).join(wanted, F.col("doc_id") == F.col("need_doc"))
-    taken = F.transform("need_lines", lambda n: F.struct(n.alias("line_no"), F.get(F.split("text", "\n"), n).alias("line")))
-    lines = rows.select("doc_id", F.inline(taken)).groupBy("doc_id", "line_no").agg(F.min("line").alias("line"))
-
-    def side(name: str) -> DataFrame:
-        return lines.select(
-            F.col("doc_id").alias(f"{name}_doc"), F.col("line_no").alias(f"{name}_line"), F.col("line").alias(name)
-        )
-
-    met = pairs.join(side("later"), ["later_doc", "later_line"]).join(side("earlier"), ["earlier_doc", "earlier_line"])
-    sets = {n: F.array_remove(F.array_distinct(_words(F.col(n))), "") for n in ("later", "earlier")}
-    met = met.select("later_doc", "later_line", *[words.alias(n) for n, words in sets.items()])
-    common = F.size(F.array_intersect("later", "earlier"))
-    alike = met.filter(_similar(common, F.size("later"), F.size("earlier")))
-    return alike.select(F.col("later_doc").alias("doc_id"), F.col("later_line").alias("line_no")).distinct()
-
-
-def _flagged(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """rows, with a column that is true where their place is among the places."""
-    few = places.count() <= SENT_LINES
-    places = places.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), F.lit(True).alias("_there"))
-    places = F.broadcast(places) if few else places
-    met = rows.join(places, _same_place("_doc", "_line"), "left")
-    return met.select(rows["*"], F.coalesce("_there", F.lit(False)).alias(name))
+def _numbered(classes: DataFrame) -> DataFrame:
+    """The classes, each with a number, no; an earlier line's is smaller."""
+    told = F.coalesce(F.max((F.col("doc_id.a") != 0) | (F.col("doc_id.b") != 0)), F.lit(False))
+    least, most = F.coalesce(F.min("doc_id.id"), F.lit(0)), F.coalesce(F.max("doc_id.id"), F.lit(0))
+    least, most, last, told = classes.select(least, most, F.coalesce(F.max("line_no"), F.lit(0)), told).first()
+    if not told and (most - least + 1) * (last + 1) <= MOST_NUMBERS:
+        return classes.withColumn("no", (F.col("doc_id.id") - F.lit(least)) * F.lit(last + 1).cast("long") + F.col("line_no"))
+    # The numbers of a sorted table's rows grow from one partition to the next.
+    ordered = classes.orderBy("doc_id", "line_no").withColumn("no", F.monotonically_increasing_id())
+    return _stored(ordered, "line-numbers")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, sent to every executor if it has few rows."""
+    return F.broadcast(df) if df.count() <= SENT_LINES else df
+
+
+def _meeting(classes: DataFrame) -> DataFrame:
+    """key, no, size, head: the pairs of neighbours that several classes have, and the first class that has them."""
+    n = F.size("prefix") - 1
+    high = lambda v: F.call_function("shiftleft", v.cast("long"), F.lit(32))
+    low = lambda w: w.cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    both = F.zip_with(F.slice("prefix", 1, n), F.slice("prefix", 2, n), lambda v, w: high(v).bitwiseOR(low(w)))
+    rows = classes.select("no", "size", F.explode(both).alias("key"))
+    group = Window.partitionBy("key")
+    rows = rows.select("key", "no", "size", F.min("no").over(group).alias("head"), F.max("no").over(group).alias("last"))
+    return cut(rows.filter("head < last").select("key", "no", "size", "head"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (later, earlier), the later numbers of those whose words are similar, once each."""
+    needed = pairs.select(F.explode(F.array("later", "earlier")).alias("need")).distinct()
+    places = classes.join(needed, F.col("no") == F.col("need"))
+    places = cut(places.select("no", F.col("doc_id").alias("need_doc"), F.col("line_no").alias("need_line")))
+    rows = _keyed(docs).join(_few(cut(places.select("need_doc").distinct())), F.col("doc_id") == F.col("need_doc"), "left_semi")
+    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.join(_few(places), (F.col("doc_id") == F.col("need_doc")) & (F.col("line_no") == F.col("need_line")))
+    # Rows of the same doc_id and text have the same lines.
+    lines = rows.groupBy("no").agg(F.min("line").alias("line"))
+    words = cut(lines.select("no", F.array_remove(F.array_distinct(_words(F.col("line"))), "").alias("words")))
+    met = pairs.select("later", "earlier")
+    for name in ("later", "earlier"):
+        met = met.join(words.withColumnsRenamed({"no": name, "words": f"{name}_words"}), name)
+    common = F.size(F.array_intersect("later_words", "earlier_words"))
+    alike = met.filter(_similar(common, F.size("later_words"), F.size("earlier_words")))
+    return cut(alike.select(F.col("later").alias("no")).distinct())
+
+
+def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (later, earlier), those that the rarest words let be similar, and the share of these that is common."""
+    for n in ("later", "earlier"):
+        side = classes.select("no", "size", "prefix")
+        pairs = pairs.join(side.withColumnsRenamed({"no": n, "size": f"{n}_size", "prefix": f"{n}_prefix"}), n)
+    a, b = F.col("later_size"), F.col("earlier_size")
+    n_a, n_b = (F.size(F.array_distinct(f"{n}_prefix")) for n in ("later", "earlier"))
+    least = _up(a + b, NUM, NUM + DEN)
+    # The words of the prefix that ends first, rarest first, are in the other one, but for its set's own. (Asked in one
+    # expression, as the words in common are dear to count.)
+    shared = F.size(F.array_intersect("later_prefix", "earlier_prefix"))
+    least = (least + F.least(n_a - a, n_b - b)).alias("least")
+    pairs = cut(pairs.select("later", "earlier", least, F.greatest(n_a, n_b).alias("n"), shared.alias("shared")))
+    return pairs.filter("shared >= least").select("later", "earlier", (F.col("shared") / F.col("n")).alias("share"))
 
 
 def _near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, line_no of the classes' first lines that an earlier class is similar to."""
-    # One earlier line for each line: the first one with the same neighbouring rare words, by most such pairs.
-    firsts = F.slice("prefix", 1, STAR_WORDS)
-    shifted = F.slice("prefix", 2, STAR_WORDS)
-    pairs = F.when(F.size("prefix") == 1, F.transform("prefix", lambda w: F.hash(w))).otherwise(
-        F.filter(F.zip_with(firsts, shifted, lambda v, w: F.hash(v, w) + w * 0), lambda h: h.isNotNull())
-    )
-    rare = classes.select("doc_id", "line_no", F.explode(pairs).alias("pair"))
-    heads = rare.groupBy("pair").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count("*").alias("n"))
-    heads = heads.filter("n > 1").select("pair", F.col("head.doc_id").alias("h_doc"), F.col("head.line_no").alias("h_line"))
-    starts = rare.join(heads, "pair").filter(F.struct("h_doc", "h_line") < F.struct("doc_id", "line_no"))
-    starts = starts.groupBy("doc_id", "line_no", "h_doc", "h_line").count().groupBy("doc_id", "line_no").agg(
-        F.max(F.struct("count", "h_doc", "h_line")).alias("best")
-    )
-    starts = starts.select(
-        F.col("doc_id").alias("later_doc"),
-        F.col("line_no").alias("later_line"),
-        F.col("best.h_doc").alias("earlier_doc"),
-        F.col("best.h_line").alias("earlier_line"),
-    )
-    removed = cut(_verified(docs, starts))
-    # A posting is the word, the document, the line with whether it is gone, and the size with the place.
-    marked = _flagged(classes, removed, "gone")
-    # The bits of its prefix words bound what two lines can share before their pair is made.
-    line = F.col("line_no").cast("long") * 2 + F.col("gone").cast("long")
-    postings = marked.select("doc_id", "size", "parity", line.alias("line"), F.posexplode("prefix").alias("at", "word"))
-    numbers = F.col("size") * F.lit(1 << 32) + F.col("at")
-    postings = postings.select("word", "doc_id", "line", numbers.alias("numbers"), "parity")
-    a, b = (F.shiftright(f"{n}.numbers", 32).cast("int") for n in "xy")
-    at_a, at_b = ((F.col(f"{n}.numbers") % F.lit(1 << 32)).cast("int") for n in "xy")
+    """no of the classes that an earlier class is similar to."""
+    met = _meeting(classes)
+    # One earlier class for each: the first one with the same pairs, by most such pairs.
+    starts = met.filter("head < no").groupBy("no", "head").count()
+    starts = starts.groupBy("no").agg(F.max(F.struct("count", "head")).alias("best"))
+    starts = _likely(classes, starts.select(F.col("no").alias("later"), F.col("best.head").alias("earlier")))
+    removed = _verified(docs, classes, starts)
+    a, b = F.col("x.size"), F.col("y.size")
     fits = (b * DEN >= a * NUM) & (a * DEN >= b * NUM)
-    # From their first common word on this much can be common. And each bit that differs stands for a word
-    # that is in one set only.
-    rest = F.least(a - at_a, b - at_b)
-    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    may_match = _similar(rest, a, b) & ((a + b - apart) * (NUM + DEN) >= (a + b) * (2 * NUM))
-    # x is the later line; only lines that are not gone yet look for an earlier one. (Asked together, so that
-    # both sides are one shuffle.)
-    earlier = F.struct("y.doc_id", F.shiftright("y.line", 1)) < F.struct("x.doc_id", F.shiftright("x.line", 1))
-    wanted = F.when(earlier, F.col("x.line") % 2 == 0).otherwise(False)
-    met = postings.alias("x").join(
-        postings.alias("y"), (F.col("x.word") == F.col("y.word")) & fits & may_match & wanted
-    )
-    pairs = met.select(
-        F.col("x.doc_id").alias("later_doc"),
-        F.shiftright("x.line", 1).cast("int").alias("later_line"),
-        F.col("y.doc_id").alias("earlier_doc"),
-        F.shiftright("y.line", 1).cast("int").alias("earlier_line"),
-        apart.alias("apart"),
-    ).distinct()
-    # The candidate whose bits differ least is tried first; the others only for lines that it does not remove.
-    pairs = cut(pairs)
-    best = pairs.groupBy("later_doc", "later_line").agg(F.min(F.struct("apart", "earlier_doc", "earlier_line")).alias("best"))
-    best = best.select("later_doc", "later_line", "best.earlier_doc", "best.earlier_line")
-    nearest = cut(_verified(docs, best))
-    done = nearest.select(F.col("doc_id").alias("later_doc"), F.col("line_no").alias("later_line"))
-    others = pairs.join(done, ["later_doc", "later_line"], "left_anti").drop("apart")
-    return cut(removed.union(nearest).union(_verified(docs, others)))
+    left = met.filter("head < no").join(removed, "no", "left_anti").alias("x")
+    pairs = left.join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & fits & (F.col("y.no") < F.col("x.no")))
+    pairs = pairs.select(F.col("x.no").alias("later"), F.col("y.no").alias("earlier")).distinct()
+    # What is compared already is left out.
+    pairs = _likely(classes, pairs.join(starts.select("later", "earlier"), ["later", "earlier"], "left_anti"))
+    # The candidate with most in common is tried first; the others only for classes that it does not remove.
+    best = pairs.groupBy("later").agg(F.max(F.struct("share", "earlier")).alias("best")).select("later", "best.earlier")
+    nearest = _verified(docs, classes, best)
+    others = pairs.join(nearest.withColumnRenamed("no", "later"), "later", "left_anti")
+    return removed.union(nearest).union(_verified(docs, classes, others.join(best, ["later", "earlier"], "left_anti")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id (the key of the document), line_no of every line to remove; once each."""
     docs = _keyed(docs)
     classes = _sets(docs).groupBy("name_a", "name_b").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("parity").alias("parity"),
-        F.first("prefix").alias("prefix"),
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
     )
-    classes = _stored(classes.select("name_a", "name_b", "at.*", "size", "parity", "prefix"), "line-classes")
-    heads = _flagged(classes.select("name_a", "name_b", "doc_id", "line_no"), _near_lines(docs, classes), "near")
-    heads = heads.withColumnsRenamed({"doc_id": "h_doc", "line_no": "h_line"})
+    classes = _numbered(_stored(classes.select("name_a", "name_b", "at.*", "size", "prefix"), "line-classes"))
+    near = _few(cut(_near_lines(docs, classes))).withColumn("near", F.lit(True))
+    heads = classes.select("name_a", "name_b", "no", F.col("doc_id").alias("h_doc"), F.col("line_no").alias("h_line"))
+    heads = heads.join(near, "no", "left").drop("no")
     found = _exploded(docs).drop("line").join(heads, ["name_a", "name_b"])
-    found = found.filter(F.col("near") | ~_same_place("h_doc", "h_line"))
+    found = found.filter(F.col("near") | (F.col("doc_id") != F.col("h_doc")) | (F.col("line_no") != F.col("h_line")))
     # Kept, as it is used by document and is dear to make anew.
     return cut(found.select("doc_id", "line_no").distinct())
 

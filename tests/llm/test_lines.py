@@ -94,3 +94,36 @@ def test_main_path_is_native(spark):
 
     plan = lines._sets(documents(spark, SMALL))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_first_pairs_hold_one_that_every_similar_set_has(spark):
+    """The pairs asked for are the fewest that hold an unbroken one in the worst case, and no set has fewer pairs."""
+    sizes = spark.range(lines.NUM, 200).select(F.col("id").cast("int").alias("n"))
+    for n, pairs in sizes.select("n", lines.pair_count(F.col("n")).alias("p")).collect():
+        partners = range(-(-4 * n // 5), 5 * n // 4 + 1)
+        worst = max(2 * n + b - 3 * -(-4 * (n + b) // 9) for b in partners)
+        assert worst < pairs < n
+
+
+def test_unlike_lines_with_common_words_do_not_meet(spark):
+    """Lines that share a rare word each, but no two neighbouring ones: their number of meetings does not grow."""
+    import random
+
+    draw = random.Random(3)
+    common = [f"c{k}" for k in range(40)]
+    rows = [(k, " ".join([f"rare{k % 5}", *[f"w{draw.randrange(10**9)}" for _ in range(12)], *draw.sample(common, 8)])) for k in range(200)]
+    docs = lines._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = lines._sets(docs).select("doc_id", "line_no", "size", "prefix")
+    met = lines._meeting(lines._numbered(classes))
+    assert met.select("no").distinct().count() < 20
+    assert lines.removed_lines(docs).count() == len(brute(rows)) == 0
+
+
+@pytest.mark.parametrize("most", [lines.MOST_NUMBERS, 0])
+def test_numbers_keep_the_order_of_lines(spark, most, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_NUMBERS", most)
+    rows = [(k, "\n".join(f"line {k} {n}" for n in range(4))) for k in (-(1 << 62), -3, 0, 7, 1 << 40)]
+    docs = lines._keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = lines._numbered(lines._exploded(docs).select("doc_id", "line_no")).collect()
+    assert sorted(got, key=lambda r: r.no) == sorted(got, key=lambda r: (r.doc_id.id, r.line_no))
+    assert len({r.no for r in got}) == 20
