@@ -163,7 +163,8 @@ def _meeting(classes: DataFrame) -> DataFrame:
     rows = classes.select("no", "size", F.explode(both).alias("key"))
     group = Window.partitionBy("key")
     rows = rows.select("key", "no", "size", F.min("no").over(group).alias("head"), F.max("no").over(group).alias("last"))
-    return cut(rows.filter("head < last").select("key", "no", "size", "head"))
+    # As Parquet, which is compressed.
+    return _stored(rows.filter("head < last").select("key", "no", "size", "head"), "line-meetings")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -176,13 +177,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     rows = rows.join(_few(places), (F.col("doc_id") == F.col("need_doc")) & (F.col("line_no") == F.col("need_line")))
     # Rows of the same doc_id and text have the same lines.
     lines = rows.groupBy("no").agg(F.min("line").alias("line"))
-    words = cut(lines.select("no", F.array_remove(F.array_distinct(_words(F.col("line"))), "").alias("words")))
     met = pairs.select("later", "earlier")
     for name in ("later", "earlier"):
-        met = met.join(words.withColumnsRenamed({"no": name, "words": f"{name}_words"}), name)
-    common = F.size(F.array_intersect("later_words", "earlier_words"))
-    alike = met.filter(_similar(common, F.size("later_words"), F.size("earlier_words")))
-    return cut(alike.select(F.col("later").alias("no")).distinct())
+        met = met.join(lines.withColumnsRenamed({"no": name, "line": f"{name}_line"}), name)
+    # In one expression each, and kept without the words: lines are dear to split, and checkpoints are not compressed.
+    sets = [F.array_remove(F.array_distinct(_words(F.col(f"{name}_line"))), "") for name in ("later", "earlier")]
+    common = F.size(F.array_intersect(*sets))
+    met = cut(met.select("later", common.alias("common"), *[F.size(x).alias(n) for x, n in zip(sets, "ab")]))
+    return cut(met.filter(_similar(F.col("common"), F.col("a"), F.col("b"))).select(F.col("later").alias("no")).distinct())
 
 
 def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
