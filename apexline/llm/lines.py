@@ -10,8 +10,8 @@ set with a Jaccard similarity of at least 0.8, whether or not that earlier line
    keeps this order.
 3. Classes meet on two words that are neighbours in their order, under the length filter. Of two similar sets,
    with u and v words of their own, the first pairs 2u + v + 1 and 2v + u + 1 hold a pair of both: a word of its own
-   breaks two pairs of its set and one of the other's. Two neighbouring rare words are shared by few sets but similar
-   ones, however large the corpus. Pairs that one class alone has end here.
+   breaks two pairs of its set and one of the other's. Two neighbouring rare words are shared by far fewer sets than
+   one is. Pairs that one class alone has end here.
 4. Of the pairs of classes that meet, those stay whose rarest words have so much in common that they may be similar,
    and are verified on the words themselves. Each class is first verified against one earlier class, the first of
    those with the same pairs; only classes that this does not remove meet the others, the likeliest first. So a large

@@ -106,7 +106,7 @@ def test_first_pairs_hold_one_that_every_similar_set_has(spark):
 
 
 def test_unlike_lines_with_common_words_do_not_meet(spark):
-    """Lines that share a rare word each, but no two neighbouring ones: their number of meetings does not grow."""
+    """Lines that share a rare word each, but no two neighbouring ones: few of them meet."""
     import random
 
     draw = random.Random(3)
