@@ -42,6 +42,10 @@ TABLE_BITS = 17
 SENT_LINES = 2_000_000
 # Classes are numbered by arithmetic on id and line number below this, and by sorting beyond.
 MOST_NUMBERS = 1 << 62
+# Words of buckets up to this class are rare: runs that begin with one are pairs, others have three words.
+PAIR_CLASS = 40
+# Ends the words of a set; no word's number is larger.
+END = (1 << 31) - 1
 # White space but the blank; lines have no line breaks.
 OTHER_SPACE = "[\t\r\x0b\f]"
 
@@ -105,32 +109,48 @@ def rarity_classes(docs: DataFrame) -> str:
     return f"[{','.join(classes)}]"
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """Each line's place and name, its word set's size and the numbers of its rarest words."""
+def _budget(size: Column) -> Column:
+    """Six for each word of its own and four for each of a similar set's own add up to this at most.
+
+    Sets of a and b words with at least 4 (a + b) / 9 in common have 6 u + 4 v <= (14 a - 4 b) / 9 (see _least), which
+    is most for the least b, 4 a / 5.
+    """
+    return size + probe_length(size) - 1
+
+
+def _sets(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """Each line's place and name, its word set's size and its rarest words' numbers, as many as its runs need.
+
+    copied: name_a, name_b, at; the names that several lines have, and the first one's place. The later ones are
+    marked as copy, and their words are not looked at; many is set for all of them.
+    """
     classes = F.from_json(F.lit(rarity_classes(docs)), "array<tinyint>")
     low = F.lit((1 << TABLE_BITS) - 1).cast("long")
 
     def number(h: Column) -> Column:
         """The class in the top byte; never null, so that arrays of numbers are plain."""
-        rarity = F.coalesce(F.get(classes, h.bitwiseAND(low).cast("int")), F.lit(0).cast("byte")).cast("long")
-        return F.call_function("shiftleft", rarity, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    rows = _exploded(docs).withColumn("hashes", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))))
+        rarity = F.coalesce(F.get(classes, h.bitwiseAND(low).cast("int")), F.lit(0).cast("byte")).cast("int")
+        return F.call_function("shiftleft", rarity, F.lit(24)).bitwiseOR(F.shiftrightunsigned(h, 40).cast("int"))
+
+    rows = _exploded(docs)
+    if copied is None:
+        rows = rows.withColumns({"many": F.lit(False), "copy": F.lit(False)})
+    else:
+        place = F.struct("doc_id", "line_no")
+        rows = rows.join(_few(copied), ["name_a", "name_b"], "left")
+        rows = rows.withColumns({"many": F.col("at").isNotNull(), "copy": F.coalesce(F.col("at") != place, F.lit(False))})
+    line = F.when(F.col("copy"), "").otherwise(F.col("line"))
+    rows = rows.withColumn("hashes", F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
     # Few lines have an empty word, and taking it out is dear.
     none = F.xxhash64(F.lit(""))
     hashes = F.when(F.array_contains("hashes", none), F.array_remove("hashes", none)).otherwise(F.col("hashes"))
-    rows = rows.select("doc_id", "line_no", "name_a", "name_b", F.sort_array(F.transform(hashes, number)).alias("words"))
+    place = ["doc_id", "line_no", "name_a", "name_b", "many", "copy"]
+    rows = rows.select(*place, F.sort_array(F.transform(hashes, number)).alias("words"))
     size = F.size("words")
-    rarest = F.transform(F.slice("words", 1, pair_count(size) + 1), lambda w: F.hash(w))
-    # Sets of fewer than NUM words have no partner but their equals: one pair stands for the set.
-    return rows.select(
-        "doc_id",
-        "line_no",
-        "name_a",
-        "name_b",
-        size.alias("size"),
-        F.when(size >= NUM, rarest).otherwise(F.array(F.hash("words"), size)).alias("prefix"),
-    )
+    # As many as the longest runs need; two more words end the last one.
+    most = (_budget(size) / F.lit(2)).cast("int") + 3
+    ended = F.when(size < most, F.concat("words", F.array(F.lit(END), F.lit(END)))).otherwise(F.col("words"))
+    return rows.select(*place, size.alias("size"), F.slice(ended, 1, most).alias("prefix"))
 
 
 def _similar(common: Column, a: Column, b: Column) -> Column:
@@ -155,28 +175,50 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _meeting(classes: DataFrame) -> DataFrame:
-    """key, no, size, head: the pairs of neighbours that several classes have, and the first class that has them."""
-    n = F.size("prefix") - 1
-    high = lambda v: F.call_function("shiftleft", v.cast("long"), F.lit(32))
-    low = lambda w: w.cast("long").bitwiseAND(F.lit((1 << 32) - 1))
-    both = F.zip_with(F.slice("prefix", 1, n), F.slice("prefix", 2, n), lambda v, w: high(v).bitwiseOR(low(w)))
-    rows = classes.select("no", "size", F.explode(both).alias("key"))
+    """key, no, size, head: the runs of neighbours that several classes have, and the first class that has them."""
+    rare = F.size(F.filter("prefix", lambda w: w < ((PAIR_CLASS + 1) << 24)))
+    budget = _budget(F.col("size"))
+    # A run is taken if what is before it weighs no more than the budget.
+    runs = F.when(rare * 3 > budget, pair_count(F.col("size")))
+    runs = runs.otherwise(rare + ((budget - rare * 3) / F.lit(2)).cast("int") + 1)
+    rows = classes.select("no", "size", "prefix", runs.alias("runs"))
+    rows = rows.select("no", "size", "prefix", "runs", F.posexplode("prefix").alias("at", "word")).filter("at < runs")
+    second, third = (F.get("prefix", F.col("at") + k) for k in (1, 2))
+    # The last bit tells a pair.
+    pair = F.xxhash64("word", second).bitwiseOR(F.lit(1).cast("long"))
+    three = F.xxhash64("word", second, third).bitwiseAND(F.lit(-2).cast("long"))
+    key = F.when(F.col("word") < ((PAIR_CLASS + 1) << 24), pair).otherwise(three)
+    rows = rows.select("no", "size", key.alias("key"))
     group = Window.partitionBy("key")
     rows = rows.select("key", "no", "size", F.min("no").over(group).alias("head"), F.max("no").over(group).alias("last"))
     # As Parquet, which is compressed.
     return _stored(rows.filter("head < last").select("key", "no", "size", "head"), "line-meetings")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (later, earlier), the later numbers of those whose words are similar, once each."""
-    needed = pairs.select(F.explode(F.array("later", "earlier")).alias("need")).distinct()
-    places = classes.join(needed, F.col("no") == F.col("need"))
+def _least(a: Column, b: Column) -> Column:
+    """The runs that similar sets of a and b words both have weigh more than this, of those taken for both.
+
+    What is before a common run in the first set is broken, and weighs (14 a - 4 b) / 9 at most, or common too. So a
+    common run is taken for both sets as long as the common ones before it weigh no more than both budgets leave.
+    """
+    left = lambda x, y: _budget(x) - ((x * 14 - y * 4) / F.lit(9)).cast("int")
+    return F.least(left(a, b), left(b, a))
+
+
+def _lines(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """no, line of the classes in pairs (later, earlier)."""
+    needed = cut(pairs.select(F.explode(F.array("later", "earlier")).alias("no")).distinct())
+    places = classes.join(_few(needed), "no", "left_semi")
     places = cut(places.select("no", F.col("doc_id").alias("need_doc"), F.col("line_no").alias("need_line")))
     rows = _keyed(docs).join(_few(cut(places.select("need_doc").distinct())), F.col("doc_id") == F.col("need_doc"), "left_semi")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.join(_few(places), (F.col("doc_id") == F.col("need_doc")) & (F.col("line_no") == F.col("need_line")))
     # Rows of the same doc_id and text have the same lines.
-    lines = rows.groupBy("no").agg(F.min("line").alias("line"))
+    return _stored(rows.select("no", "line").dropDuplicates(["no"]), "lines-compared")
+
+
+def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (later, earlier), the later numbers of those whose words are similar, once each."""
     met = pairs.select("later", "earlier")
     for name in ("later", "earlier"):
         met = met.join(lines.withColumnsRenamed({"no": name, "line": f"{name}_line"}), name)
@@ -187,58 +229,47 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return cut(met.filter(_similar(F.col("common"), F.col("a"), F.col("b"))).select(F.col("later").alias("no")).distinct())
 
 
-def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (later, earlier), those that the rarest words let be similar, and the share of these that is common."""
-    for n in ("later", "earlier"):
-        side = classes.select("no", "size", "prefix")
-        pairs = pairs.join(side.withColumnsRenamed({"no": n, "size": f"{n}_size", "prefix": f"{n}_prefix"}), n)
-    a, b = F.col("later_size"), F.col("earlier_size")
-    n_a, n_b = (F.size(F.array_distinct(f"{n}_prefix")) for n in ("later", "earlier"))
-    least = _up(a + b, NUM, NUM + DEN)
-    # The words of the prefix that ends first, rarest first, are in the other one, but for its set's own. (Asked in one
-    # expression, as the words in common are dear to count.)
-    shared = F.size(F.array_intersect("later_prefix", "earlier_prefix"))
-    least = (least + F.least(n_a - a, n_b - b)).alias("least")
-    pairs = cut(pairs.select("later", "earlier", least, F.greatest(n_a, n_b).alias("n"), shared.alias("shared")))
-    return pairs.filter("shared >= least").select("later", "earlier", (F.col("shared") / F.col("n")).alias("share"))
-
-
 def _near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """no of the classes that an earlier class is similar to."""
     met = _meeting(classes)
-    # One earlier class for each: the first one with the same pairs, by most such pairs.
-    starts = met.filter("head < no").groupBy("no", "head").count()
+    # One earlier class for each: the first one with the same runs, by most such runs, if these are many.
+    starts = met.filter("head < no").groupBy("no", "head").agg(F.count("*").alias("count"), F.min("size").alias("size"))
+    starts = starts.filter(F.col("count") >= probe_length(F.col("size")))
     starts = starts.groupBy("no").agg(F.max(F.struct("count", "head")).alias("best"))
-    starts = _likely(classes, starts.select(F.col("no").alias("later"), F.col("best.head").alias("earlier")))
-    removed = _verified(docs, classes, starts)
+    starts = cut(starts.select(F.col("no").alias("later"), F.col("best.head").alias("earlier")))
+    removed = _verified(_lines(docs, classes, starts), starts)
     a, b = F.col("x.size"), F.col("y.size")
     fits = (b * DEN >= a * NUM) & (a * DEN >= b * NUM)
-    left = met.filter("head < no").join(removed, "no", "left_anti").alias("x")
+    left = met.filter("head < no").join(_few(removed), "no", "left_anti").alias("x")
     pairs = left.join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & fits & (F.col("y.no") < F.col("x.no")))
-    pairs = pairs.select(F.col("x.no").alias("later"), F.col("y.no").alias("earlier")).distinct()
+    weight = F.lit(2) + F.col("x.key").bitwiseAND(F.lit(1).cast("long"))
+    pairs = pairs.groupBy(F.col("x.no").alias("later"), F.col("y.no").alias("earlier")).agg(
+        F.sum(weight).alias("weight"), F.min(_least(a, b)).alias("least")
+    )
     # What is compared already is left out.
-    pairs = _likely(classes, pairs.join(starts.select("later", "earlier"), ["later", "earlier"], "left_anti"))
+    pairs = cut(pairs.filter("weight > least").join(starts, ["later", "earlier"], "left_anti"))
+    lines = _lines(docs, classes, pairs)
     # The candidate with most in common is tried first; the others only for classes that it does not remove.
-    best = pairs.groupBy("later").agg(F.max(F.struct("share", "earlier")).alias("best")).select("later", "best.earlier")
-    nearest = _verified(docs, classes, best)
+    best = pairs.groupBy("later").agg(F.max(F.struct("weight", "earlier")).alias("best")).select("later", "best.earlier")
+    nearest = _verified(lines, best)
     others = pairs.join(nearest.withColumnRenamed("no", "later"), "later", "left_anti")
-    return removed.union(nearest).union(_verified(docs, classes, others.join(best, ["later", "earlier"], "left_anti")))
+    return removed.union(nearest).union(_verified(lines, others.join(best, ["later", "earlier"], "left_anti")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id (the key of the document), line_no of every line to remove; once each."""
     docs = _keyed(docs)
-    classes = _sets(docs).groupBy("name_a", "name_b").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
-    )
-    classes = _numbered(_stored(classes.select("name_a", "name_b", "at.*", "size", "prefix"), "line-classes"))
-    near = _few(cut(_near_lines(docs, classes))).withColumn("near", F.lit(True))
-    heads = classes.select("name_a", "name_b", "no", F.col("doc_id").alias("h_doc"), F.col("line_no").alias("h_line"))
-    heads = heads.join(near, "no", "left").drop("no")
-    found = _exploded(docs).drop("line").join(heads, ["name_a", "name_b"])
-    found = found.filter(F.col("near") | (F.col("doc_id") != F.col("h_doc")) | (F.col("line_no") != F.col("h_line")))
+    # Names that several lines have, and the place of the first one.
+    copied = _exploded(docs).groupBy("name_a", "name_b").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
+    copied = cut(copied.filter("n > 1").drop("n"))
+    rows = _stored(_sets(docs, copied).drop("name_a", "name_b"), "line-classes")
+    classes = rows.filter("not copy")
+    if classes.filter("many").count() > copied.count():  # rows of the same doc_id and text
+        classes = classes.dropDuplicates(["doc_id", "line_no"])
+    classes = _numbered(classes)
+    near = classes.join(_few(cut(_near_lines(docs, classes))), "no", "left_semi")
     # Kept, as it is used by document and is dear to make anew.
-    return cut(found.select("doc_id", "line_no").distinct())
+    return cut(rows.filter("copy").select("doc_id", "line_no").union(near.select("doc_id", "line_no")).distinct())
 
 
 def line_report(docs: DataFrame) -> DataFrame:
