@@ -6,16 +6,17 @@ set with a Jaccard similarity of at least 0.8, whether or not that earlier line
 1. Words are counted over the whole corpus in 2 ** TABLE_BITS buckets of their hash. A word's rarity is
    the class of its bucket's count, which any row can look up without a join. Lines become arrays of
    numbers, rarest word first.
-2. Equal lines are one class, standing where its first line stands. Copies end here. A class has a number that
+2. Equal lines are one class, standing where its first line stands. Copies end before their words are looked at. A class has a number that
    keeps this order.
-3. Classes meet on two words that are neighbours in their order, under the length filter. Of two similar sets,
-   with u and v words of their own, the first pairs 2u + v + 1 and 2v + u + 1 hold a pair of both: a word of its own
-   breaks two pairs of its set and one of the other's. Two neighbouring rare words are shared by far fewer sets than
-   one is. Pairs that one class alone has end here.
-4. Of the pairs of classes that meet, those stay whose rarest words have so much in common that they may be similar,
-   and are verified on the words themselves. Each class is first verified against one earlier class, the first of
-   those with the same pairs; only classes that this does not remove meet the others, the likeliest first. So a large
-   group of alike lines is verified by about one pair a line.
+3. Classes meet on runs of words that are neighbours in their order, under the length filter: two words from a rare
+   word on, three from others. A word of its own breaks at most two pairs or three runs of three of its set, and
+   one or two of the other's; so where a pair weighs 3 and a run of three 2, u and v words of their own break 6u + 4v,
+   and the first runs that weigh more hold one of both. Neighbouring rare words are shared by far fewer sets than
+   one is. Runs that one class alone has end here.
+4. Of the pairs of classes that meet, those stay whose common runs weigh as much as those of similar sets do, and whose
+   words' bits do not differ too much; they are verified on the words themselves. Each class is first verified against one
+   earlier class, the first of those with the same runs; only classes that this does not remove meet the others, the
+   likeliest first. So a large group of alike lines is verified by about one pair a line.
 
 Defined cases: null text is empty; lines without a word are always kept; words are separated by white
 space and compared as they are; rows with the same doc_id and text are taken as the same document, so
@@ -118,6 +119,22 @@ def _budget(size: Column) -> Column:
     return size + probe_length(size) - 1
 
 
+def _odd_bits(words: str) -> list[Column]:
+    """odd_a and odd_b: of 128 bits of the words' numbers, those that an odd number of words has.
+
+    Words that two sets share do not count, so that the sets differ in at least as many words as in these bits.
+    """
+
+    def odd(half: int) -> Column:
+        def flip(bits: Column, w: Column) -> Column:
+            one = w.bitwiseAND(1) if half else F.bitwise_not(w).bitwiseAND(1)
+            return bits.bitwiseXOR(F.call_function("shiftleft", one.cast("long"), F.shiftright(w, 1)))
+
+        return F.aggregate(words, F.lit(0).cast("long"), flip)
+
+    return [odd(0).alias("odd_a"), odd(1).alias("odd_b")]
+
+
 def _sets(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
     """Each line's place and name, its word set's size and its rarest words' numbers, as many as its runs need.
 
@@ -150,7 +167,7 @@ def _sets(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
     # As many as the longest runs need; two more words end the last one.
     most = (_budget(size) / F.lit(2)).cast("int") + 3
     ended = F.when(size < most, F.concat("words", F.array(F.lit(END), F.lit(END)))).otherwise(F.col("words"))
-    return rows.select(*place, size.alias("size"), F.slice(ended, 1, most).alias("prefix"))
+    return rows.select(*place, size.alias("size"), F.slice(ended, 1, most).alias("prefix"), *_odd_bits("words"))
 
 
 def _similar(common: Column, a: Column, b: Column) -> Column:
@@ -240,6 +257,9 @@ def _near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     removed = _verified(_lines(docs, classes, starts), starts)
     a, b = F.col("x.size"), F.col("y.size")
     fits = (b * DEN >= a * NUM) & (a * DEN >= b * NUM)
+    met = _stored(met.join(classes.select("no", "odd_a", "odd_b"), "no"), "line-bits")
+    differ = sum(F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in ("odd_a", "odd_b"))
+    fits &= differ <= a + b - _up(a + b, NUM, NUM + DEN) * 2
     left = met.filter("head < no").join(_few(removed), "no", "left_anti").alias("x")
     pairs = left.join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & fits & (F.col("y.no") < F.col("x.no")))
     weight = F.lit(2) + F.col("x.key").bitwiseAND(F.lit(1).cast("long"))

@@ -127,3 +127,41 @@ def test_numbers_keep_the_order_of_lines(spark, most, monkeypatch):
     got = lines._numbered(lines._exploded(docs).select("doc_id", "line_no")).collect()
     assert sorted(got, key=lambda r: r.no) == sorted(got, key=lambda r: (r.doc_id.id, r.line_no))
     assert len({r.no for r in got}) == 20
+
+
+def test_runs_weigh_more_than_words_of_their_own_break(spark):
+    """Any two similar sets have runs in common that weigh more than _least, wherever they differ, and meet so."""
+    import random
+
+    draw = random.Random(11)
+    rows = []
+    for k in range(60):
+        base = [f"x{k}y{n}" for n in range(draw.choice([1, 3, 4, 5, 7, 9, 14, 23, 45]))] + draw.sample([f"c{n}" for n in range(40)], draw.choice([0, 3, 12]))
+        gone = draw.randrange(len(base) // 9 + 1)
+        rows.append((k, "\n".join([" ".join(base), " ".join(base[gone:] + [f"new{k}n{n}" for n in range(gone)])])))
+    docs = lines._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    for rarest in (0, lines.PAIR_CLASS):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lines, "PAIR_CLASS", rarest)
+            assert lines.removed_lines(docs).count() == sum(map(len, brute(rows).values())) > 40
+
+
+def test_lines_that_share_one_pair_of_common_words_do_not_meet(spark):
+    """Two words that many lines have side by side are no run; three are asked for."""
+    rows = [(k, " ".join([f"a{k // 2}", f"b{k // 2}", *[f"w{n}" for n in range(k % 2, 40, 2)]])) for k in range(3000)]
+    docs = lines._keyed(spark.createDataFrame([(k, f"{t} left{k} over{k}") for k, t in rows], "doc_id long, text string"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines, "PAIR_CLASS", 0)
+        met = lines._meeting(lines._numbered(lines._sets(docs)))
+        keys = met.groupBy("key").count()
+        assert keys.filter("count = 2").count() == 0
+
+
+def test_bits_differ_in_no_more_than_the_words_do(spark):
+    sets = spark.createDataFrame([([3, 9, 300, 70000], [3, 9, 301, 70000, 8]), ([5], [5]), ([], [1 << 30])], "x array<int>, y array<int>")
+    for side in "xy":
+        bits = [c.alias(f"{side}{n}") for n, c in enumerate(lines._odd_bits(side))]
+        sets = sets.select("*", *bits)
+    differ = sum(F.bit_count(F.col(f"x{n}").bitwiseXOR(F.col(f"y{n}"))) for n in range(2))
+    got = sets.select("x", "y", differ.alias("n")).collect()
+    assert all(r.n <= len(set(r.x) ^ set(r.y)) and (r.n > 0) == (r.x != r.y) for r in got)
