@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexline.functions.session import cut
+from apexline.functions.session import cut_unsized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     by Spark, and minima are taken before the shuffle.
     """
     ways = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
-    ways = cut(ways)
-    labels = cut(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
+    ways = cut_unsized(ways)
+    labels = cut_unsized(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
         "node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")
     ))
     while not labels.filter("moved").isEmpty():
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
             "node", "root", F.least("root", "near").alias("next")
         )
         ahead = labels.select(F.col("node").alias("next"), F.col("root").alias("further"))
-        labels = cut(hooked.join(ahead, "next", "left").select(
+        labels = cut_unsized(hooked.join(ahead, "next", "left").select(
             "node",
             F.least("next", "further").alias("new"),
             "root",

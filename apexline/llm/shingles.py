@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexline.functions.session import cut
+from apexline.functions.session import cut_unsized
 from apexline.llm import simhash
 from apexline.llm.common import as_rows, whole_text
 from apexline.llm.graph import components
@@ -116,7 +116,7 @@ def _linked(nodes: DataFrame, distance: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are similar."""
-    pairs = cut(pairs)
+    pairs = cut_unsized(pairs)
     needed = pairs.select("a").union(pairs.select("b")).toDF("need").distinct()
     rows = docs.select(_node().alias("node"), whole_text().alias("text"))
     rows = rows.join(needed, F.col("node") == F.col("need"), "left_semi")
@@ -146,27 +146,27 @@ def _fits(a: str, b: str) -> Column:
 def _placed(met: DataFrame, links: DataFrame) -> DataFrame:
     """The members of the keys with their class by the links so far."""
     named = components(links).select(F.col("node").alias("n_node"), "root")
-    return cut(met.drop("part").join(named, F.col("node") == F.col("n_node"), "left").select(
+    return cut_unsized(met.drop("part").join(named, F.col("node") == F.col("n_node"), "left").select(
         "key", "node", "size", F.coalesce("root", "node").alias("part")
     ))
 
 
 def classes(docs: DataFrame, distance: int | None = None) -> DataFrame:
     """node, root of the distinct texts that are similar to another one."""
-    nodes = cut(_nodes(docs, distance is not None))
+    nodes = cut_unsized(_nodes(docs, distance is not None))
     keys = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("s_key"))
     met = keys.join(shared, F.col("key") == F.col("s_key"), "left_semi")
-    met = cut(met.select("key", "node", "size", F.col("node").alias("part")))
+    met = cut_unsized(met.select("key", "node", "size", F.col("node").alias("part")))
     links = None
     if distance is not None:
-        links = cut(_verified(docs, _linked(nodes.select("node", "fingerprint"), distance)))
+        links = cut_unsized(_verified(docs, _linked(nodes.select("node", "fingerprint"), distance)))
         met = _placed(met, links)
     for step in range(PIVOTS + 1):
         # Keys whose members are all in one class are done.
         spread = met.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
         mixed = spread.filter("low < high").select(F.col("key").alias("m_key"))
-        met = cut(met.join(mixed, F.col("key") == F.col("m_key"), "left_semi"))
+        met = cut_unsized(met.join(mixed, F.col("key") == F.col("m_key"), "left_semi"))
         if met.isEmpty():
             break
         if step < PIVOTS:
@@ -187,7 +187,7 @@ def classes(docs: DataFrame, distance: int | None = None) -> DataFrame:
             every = inside.select("key", "main", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
             pairs = outer.join(every, "key").filter((F.col("part_a") != F.col("part_b")) & once & _fits("size_a", "size_b")).select("a", "b")
         found = _verified(docs, pairs.distinct())
-        links = cut(found if links is None else links.union(found))
+        links = cut_unsized(found if links is None else links.union(found))
         met = _placed(met, links)
     if links is None:
         return keys.select("node", F.col("node").alias("root")).limit(0)
@@ -198,7 +198,7 @@ def one_of_each(docs: DataFrame, distance: int | None = None) -> DataFrame:
     """One row of every class, with all columns."""
     found = classes(docs, distance)
     keys = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("id"))
-    counts = cut(keys.groupBy("node", "id").agg(F.count("*").alias("n")))
+    counts = cut_unsized(keys.groupBy("node", "id").agg(F.count("*").alias("n")))
     named = counts.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
         "node", "id", "n", F.coalesce("root", "node").alias("root")
     )
@@ -208,7 +208,7 @@ def one_of_each(docs: DataFrame, distance: int | None = None) -> DataFrame:
     met = named.join(best.withColumnRenamed("root", "b_root"), F.col("root") == F.col("b_root"))
     stays = (F.col("node") == F.col("best.node")) & F.col("id").eqNullSafe(F.col("best.id"))
     # Copies of the row that stays are tied; all other rows of a class go.
-    judged = cut(met.filter(~stays | (F.col("n") > 1)).select("node", "id", stays.alias("tied")))
+    judged = cut_unsized(met.filter(~stays | (F.col("n") > 1)).select("node", "id", stays.alias("tied")))
     rows = as_rows(docs).withColumn("node", F.unhex(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
     same = lambda other: (rows["node"] == other["j_node"]) & rows["id"].eqNullSafe(other["j_id"])
     taken = judged.toDF("j_node", "j_id", "tied")

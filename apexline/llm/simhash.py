@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexline.functions.session import cut
+from apexline.functions.session import cut_unsized
 from apexline.llm.common import slices, whole_text, with_ids
 from apexline.llm.graph import components
 
@@ -90,16 +90,16 @@ def classes(prints: DataFrame, distance: int = 4) -> DataFrame:
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"),
     )
     shared = keys.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
-    met = cut(keys.join(shared.filter("n > 1"), ["mask", "key"]).select("mask", "key", "fp", "pivot"))
+    met = cut_unsized(keys.join(shared.filter("n > 1"), ["mask", "key"]).select("mask", "key", "fp", "pivot"))
     star = met.filter((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance))
-    star = cut(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
+    star = cut_unsized(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
     first = components(star)
 
     known = first.select(F.col("node").alias("fp"), "root")
     placed = met.join(known, "fp", "left").select(
         "mask", "key", "fp", F.coalesce("root", "fp").alias("part")
     )
-    placed = cut(placed)
+    placed = cut_unsized(placed)
     parts = placed.groupBy("mask", "key", "part").count()
     mixed = parts.groupBy("mask", "key").agg(
         F.count("*").alias("parts"), F.max(F.struct("count", "part"))["part"].alias("main")
@@ -116,7 +116,7 @@ def classes(prints: DataFrame, distance: int = 4) -> DataFrame:
     # The links left are between parts: find classes of parts, and follow them.
     between = cross.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
     joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    nodes = cut(placed.select("fp", F.col("part").alias("root")).distinct())
+    nodes = cut_unsized(placed.select("fp", F.col("part").alias("root")).distinct())
     return nodes.join(joined, "root", "left").select(
         F.col("fp").alias("fingerprint"), F.coalesce("last", "root").alias("root")
     )
@@ -124,7 +124,7 @@ def classes(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (bigint) and component_id, the smallest doc_id of the class."""
-    prints = cut(fingerprints(docs, words=words))
+    prints = cut_unsized(fingerprints(docs, words=words))
     firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     known = firsts.join(classes(prints, distance), "fingerprint", "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")

@@ -99,3 +99,11 @@ def test_components_of_chains_and_stars(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert graph.components(none).count() == 0
     assert graph.components(spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_guessed_size_does_not_grow_with_the_steps(spark):
+    """A chain needs several steps; the product of their joins' sizes must not be carried through them."""
+    chain = [(k * 5 % 13, (k + 1) * 5 % 13) for k in range(12)]
+    found = graph.components(spark.createDataFrame(chain, "a long, b long"))
+    assert found.select("root").distinct().count() == 1 and found.count() == 13
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
