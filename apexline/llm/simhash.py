@@ -90,7 +90,9 @@ def classes(prints: DataFrame, distance: int = 4) -> DataFrame:
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"),
     )
     shared = keys.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
-    met = cut_unsized(keys.join(shared.filter("n > 1"), ["mask", "key"]).select("mask", "key", "fp", "pivot"))
+    # Spark sizes the keys like the fingerprints that they are exploded from, and would send them all.
+    shared = shared.filter("n > 1").hint("merge")
+    met = cut_unsized(keys.join(shared, ["mask", "key"]).select("mask", "key", "fp", "pivot"))
     star = met.filter((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance))
     star = cut_unsized(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
     first = components(star)

@@ -101,6 +101,25 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
 
 
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the keys like the fingerprints below them, whose size it knows once they are shuffled."""
+    rows = spark.range(2000).select((F.col("id") * 7).alias("fingerprint"))
+    plans, kind = [], type(rows)
+    checkpoint = kind.checkpoint
+
+    def spied(df, eager=True):
+        kept = checkpoint(df, eager)
+        if not plans:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
+        return kept
+
+    monkeypatch.setattr(kind, "checkpoint", spied)
+    simhash.classes(rows)
+    assert "Generate posexplode" in plans[0]
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 def test_guessed_size_does_not_grow_with_the_steps(spark):
     """A chain needs several steps; the product of their joins' sizes must not be carried through them."""
     chain = [(k * 5 % 13, (k + 1) * 5 % 13) for k in range(12)]
